@@ -5,13 +5,15 @@ keys. Texts with equal sets collapse to one representative before anything is jo
 group of a million copies costs one posting. Posting keys are counted (partial aggregation),
 keys held once are dropped, and each representative posts only under its
 ``coordinates - threshold + 1`` rarest keys (prefix filter: two texts that agree in `threshold`
-coordinates share one of them). Every posting list first links its members to its smallest
-member only; then members of a list that are not in the list's largest component meet the
-others. A list of n mutual near copies thus makes n-1 candidates, not n^2, and no link
-between components is left out. Candidates agreeing in fewer than `threshold` coordinates
-are skipped; the rest are confirmed on full shingle sets.
-
-Misses: a pair at similarity 0.85 fails 16 of 32 coordinates with probability under 1e-6.
+coordinates share one of them). Every posting list first links its members to its hub only,
+the member whose keys are the most common. A list of n mutual near copies thus makes n-1
+candidates, not n^2. Then the members of a hub's lists that are not in its largest component
+meet the others of another component, so no link between components is left out: slices of
+outsiders stay in a task's memory while the hub's members stream past, and only pairs that agree in
+MARK_THRESHOLD of MARKS further coordinates leave it. Survivors are confirmed on full shingle sets.
+
+Misses: a pair at similarity 0.85 fails 16 of 32 coordinates with probability under 1e-6, and
+88 of 128 with probability under 1e-5.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from .components import components
 from .textops import Scratch, Words, chunks, constants, lower_ascii, mix, table
 
 COORDINATES, THRESHOLD, SHINGLE, PERCENT = 32, 16, 5, 85
+#: Further coordinates, kept as 16 bits each, and how many must agree.
+MARKS, MARK_THRESHOLD = 128, 88
+#: Outsiders held in memory at once.
+OUTSIDERS = 2000
 #: Members whose texts are compared with one hub's text in one task slice.
 SLICE = 64
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("marks", pa.binary())])
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -51,6 +57,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 def _signed(k: int, coordinates: int):
     flips, odds, tags = constants(coordinates, 21), constants(coordinates, 22), constants(coordinates, 23)
+    more_flips, more_odds = constants(MARKS, 24), constants(MARKS, 25)
 
     def run(batches):
         for batch in batches:
@@ -59,6 +66,7 @@ def _signed(k: int, coordinates: int):
                 sets = shingle_sets(part, k)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 keys = np.zeros((len(sets), coordinates), np.int64)
+                marks = np.zeros((len(sets), MARKS), np.uint16)
                 full = np.flatnonzero(sizes)
                 a = b = np.zeros(len(sets), np.int64)
                 if len(full):
@@ -70,8 +78,11 @@ def _signed(k: int, coordinates: int):
                     for j in range(coordinates):
                         least = np.minimum.reduceat((flat ^ flips[j]) * odds[j], begin)
                         keys[full, j] = mix(least ^ tags[j]).view(np.int64)
+                    for j in range(MARKS):
+                        least = np.minimum.reduceat((flat ^ more_flips[j]) * more_odds[j], begin)
+                        marks[full, j] = (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, coordinates, dtype=np.int32), pa.array(keys.ravel()))
-                yield table(_SIGNED, ids[at : at + len(part)], sizes, a, b, lists)
+                yield table(_SIGNED, ids[at : at + len(part)], sizes, a, b, lists, [m.tobytes() for m in marks])
 
     return run
 
@@ -79,7 +90,7 @@ def _signed(k: int, coordinates: int):
 def signatures(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, set key (set_a, set_b) and the posting keys of each text; one key per coordinate-value pair."""
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return cols.mapInArrow(_signed(k, coordinates), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return cols.mapInArrow(_signed(k, coordinates), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, marks binary")
 
 
 _CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -105,6 +116,36 @@ def _compare(k: int, percent: int):
     return run
 
 
+def _meet(threshold: int):
+    def run(batches):
+        group, names, parts, rows = None, [], [], []
+        for batch in batches:
+            g, reps, part, out_first, marks = (batch.column(i).to_pylist() for i in range(5))
+            at = 0
+            while at < len(g):
+                if g[at] != group:
+                    group, names, parts, rows = g[at], [], [], []
+                end = at
+                while end < len(g) and g[end] == group and out_first[end] == out_first[at]:
+                    end += 1
+                if out_first[at] == 0:
+                    names += reps[at:end]
+                    parts += part[at:end]
+                    rows += marks[at:end]
+                elif names:
+                    held = np.frombuffer(b"".join(marks[at:end]), np.uint16).reshape(-1, MARKS)
+                    ids, comp = np.array(reps[at:end]), np.array(part[at:end])
+                    out = []
+                    for x, x_part, m in zip(names, parts, rows, strict=True):
+                        near = (held == np.frombuffer(m, np.uint16)).sum(1) >= threshold
+                        out += [(min(x, y), max(x, y)) for y in ids[near & (comp != x_part)].tolist()]
+                    if out:
+                        yield table(_CHECKED, *zip(*out, strict=True))
+                at = end
+
+    return run
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
@@ -116,7 +157,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     ask = sliced.select(F.col("b").alias("doc_id"), F.xxhash64("a", "s").alias("g"), F.lit(False).alias("hub"))
     ask = ask.unionByName(sliced.select(F.col("a").alias("doc_id"), F.xxhash64("a", "s").alias("g"), F.lit(True).alias("hub")).distinct())
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = ask.join(texts, "doc_id").select("g", "doc_id", "hub", "text")
+    # merge: the texts are too large to broadcast at any size worth planning for
+    met = ask.hint("merge").join(texts, "doc_id").select("g", "doc_id", "hub", "text")
     met = met.repartition(parts, "g").sortWithinPartitions("g", F.desc("hub"))
     return met.mapInArrow(_compare(k, percent), "a long, b long")
 
@@ -131,16 +173,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.keep(signatures(docs, k, coordinates))
-    owner = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    owner = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
     owner = scratch.keep(owner)
     reps = owner.select("rep", "keys")
     posts = reps.select("rep", F.explode("keys").alias("key"))
     common = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     prefix = coordinates - threshold + 1
-    ranked = posts.join(common, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"))
+    ranked = posts.join(common, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"), F.sum("n").alias("weight"))
     # a key held once stands before every other in the order, and takes one place of the prefix
     room = F.lit(prefix) - (F.lit(coordinates) - F.size("held"))
-    lists = scratch.keep(ranked.where(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("h")).select("rep", F.col("h.key").alias("key")))
+    lists = scratch.keep(ranked.where(room > 0).select("rep", "weight", F.explode(F.slice("held", 1, room)).alias("h")).select("rep", "weight", F.col("h.key").alias("key")))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -149,20 +191,26 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
         both = pairs.join(sig("a"), "a").join(sig("b"), "b")
         return both.where(F.size(F.array_intersect("a_keys", "b_keys")) >= threshold).select("a", "b")
 
-    first = lists.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    star = lists.join(first, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    first = lists.groupBy("key").agg(F.min_by("rep", F.struct(-F.col("weight"), F.col("rep"))).alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    cluster = scratch.keep(lists.join(first, "key").select("a", "rep").distinct())
+    star = cluster.where("rep <> a").select("a", F.col("rep").alias("b"))
     star = scratch.keep(alike(star))
     links = scratch.keep(confirmed(star, texts, k, percent))
     parts = components(links, scratch)
 
-    member = lists.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    member = cluster.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("a", "rep", F.coalesce("component", "rep").alias("part"))
     member = scratch.keep(member)
-    sizes = member.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    odd = member.join(main, "key").where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"))
-    cross = odd.join(member, "key").where("x_part <> part")
-    cross = cross.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    cross = scratch.keep(alike(cross))
+    sizes = member.groupBy("a", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("a").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("odd")).where("parts > 1")
+    # every slice of a hub's outsiders meets all its members
+    slices = F.ceil(F.col("odd") / OUTSIDERS)
+    met = member.join(main, "a")
+    odd = met.where("part <> main").select("a", "rep", "part", F.pmod(F.xxhash64("rep"), slices).alias("s"), F.lit(0).alias("kind"))
+    rest = met.select("a", "rep", "part", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("s"), F.lit(1).alias("kind"))
+    both = odd.unionByName(rest).join(owner.select("rep", "marks"), "rep").select(F.xxhash64("a", "s").alias("g"), "rep", "part", "kind", "marks")
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(_meet(MARK_THRESHOLD), "a long, b long")
+    cross = scratch.keep(cross.distinct().join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     links = links.unionByName(confirmed(cross, texts, k, percent))
     parts = components(links, scratch)
 

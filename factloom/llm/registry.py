@@ -1,14 +1,58 @@
-"""The queries of this subpackage, as (spark, sf_dir) -> DataFrame."""
+"""The queries of this subpackage, as (spark, sf_dir) -> DataFrame, over whole tables with production parameters."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .byte_bpe import encode_decode
+from .language_id import identify_languages
+from .license_scan import license_digest, scan_licenses
 from .near_duplicates import near_duplicates
+from .substring_dedup import remove_repeated_windows
 from .textops import documents
+from .toxicity import score_toxicity
+
+
+
+def held_out():
+    """Rows whose labels stay out of training."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def tokenizer() -> tuple[str, str]:
+    """The rank file and the pre-token pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_license_scan(spark, sf_dir):
+    return license_digest(scan_licenses(documents(spark, sf_dir)))
+
+
+def op2_language_id(spark, sf_dir):
+    found = identify_languages(documents(spark, sf_dir, "doc_id", "text", "lang"), ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return score_toxicity(documents(spark, sf_dir), labels, ~held_out()).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_byte_bpe(spark, sf_dir):
+    ranks, pattern = tokenizer()
+    return encode_decode(documents(spark, sf_dir), ranks, pattern, digest=True)
 
 
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op8_near_duplicates,)}
+def op10_substring_dedup(spark, sf_dir):
+    cut = remove_repeated_windows(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op8_near_duplicates, op10_substring_dedup)}
 SQL: dict[str, str] = {}
