@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .textops import Words
 
 WINDOW, GRAM = 13, 5
-#: Blocks and buckets for each shuffle partition.
-SPREAD = 8
+#: Blocks for each shuffle partition. There is one bucket a partition: a block sends each bucket a row, so more would multiply rows.
+SPREAD = 4
 _LAST = np.iinfo(np.int64).max
 
 
@@ -217,7 +217,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, gram: int = GR
     larger than all others. Extra columns are ignored; an empty table gives no rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = buckets = SPREAD * parts
+    blocks, buckets = SPREAD * parts, parts
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     by_block = dealt.groupBy("block")
