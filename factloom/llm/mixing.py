@@ -83,7 +83,8 @@ def permuted(slots: DataFrame, seed: int) -> DataFrame:
         out = out.withColumn("pair", F.when(x < half, x).otherwise(x - half))
         flip = (x < 2 * half) & (F.xxhash64("pair", "key") % 2 == 0)
         out = out.withColumn("index", F.when(flip, F.when(x < half, x + half).otherwise(F.col("pair"))).otherwise(x))
-    return out.drop("key", "pair")
+    # never null: else the join's null filter is pushed through the rounds and the plan grows past any memory
+    return out.withColumn("index", F.coalesce("index", F.lit(-1).cast("long"))).drop("key", "pair")
 
 
 class Mix:

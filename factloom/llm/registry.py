@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_decode
 from .language_id import identify_languages
 from .license_scan import license_digest, scan_licenses
+from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .sharding import shard_documents
 from .substring_dedup import remove_repeated_windows
 from .textops import documents
 from .toxicity import score_toxicity
@@ -45,14 +47,22 @@ def op4_byte_bpe(spark, sf_dir):
     return encode_decode(documents(spark, sf_dir), ranks, pattern, digest=True)
 
 
+def op6_sharding(spark, sf_dir):
+    return shard_documents(documents(spark, sf_dir))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op9_mixing(spark, sf_dir):
+    return mix_sources(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     cut = remove_repeated_windows(documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op8_near_duplicates, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op6_sharding, op8_near_duplicates, op9_mixing, op10_substring_dedup)}
 SQL: dict[str, str] = {}
