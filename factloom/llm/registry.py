@@ -9,6 +9,7 @@ from .language_id import identify_languages
 from .license_scan import license_digest, scan_licenses
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .order_minhash import compare_with_edits
 from .sharding import shard_documents
 from .substring_dedup import remove_repeated_windows
 from .textops import documents
@@ -51,6 +52,10 @@ def op6_sharding(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir))
 
 
+def op7_order_minhash(spark, sf_dir):
+    return compare_with_edits(documents(spark, sf_dir))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
@@ -64,5 +69,5 @@ def op10_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op6_sharding, op8_near_duplicates, op9_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op6_sharding, op7_order_minhash, op8_near_duplicates, op9_mixing, op10_substring_dedup)}
 SQL: dict[str, str] = {}
