@@ -161,3 +161,25 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     total = F.coalesce("taken", F.lit(0))
     share = F.floor(total / F.col("copies")) + F.when(F.col("copy") < total % F.col("copies"), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """docs as mixed: for each pass p over a document, a row with the words of its blocks taken at least p times.
+
+    Blocks join by index and a row's words by one space; other columns keep their values, n_chars is that of the
+    new text. A document of which nothing is taken has no row, among them null, empty and blank texts. Rows that repeat doc_id and text are
+    one document. Columns: those of docs.
+    """
+    mix = Mix(docs, **options)
+    pieces = mix.pieces().groupBy("doc_id", "content").agg(F.collect_list(F.struct("from_word", "words", "uses")).alias("taken"))
+    t = pieces.select(F.col("doc_id").alias("t_id"), F.col("content").alias("t_content"), "taken")
+    met = docs.withColumn("t_key", F.xxhash64("text")).join(t.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("t_id")) & (F.col("t_key") == F.col("t_content")))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    most = F.array_max(F.transform("taken", lambda x: x["uses"]))
+    passes = met.withColumn("t_words", words).withColumn("t_pass", F.explode(F.sequence(F.lit(1), most)))
+    chosen = F.array_sort(F.filter("taken", lambda x: x["uses"] >= F.col("t_pass")))
+    text = F.array_join(F.flatten(F.transform(chosen, lambda x: F.slice("t_words", (x["from_word"] + 1).cast("int"), x["words"].cast("int")))), " ")
+    made = passes.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*docs.columns)

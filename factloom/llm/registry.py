@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .bit_sliced import top_k
 from .byte_bpe import encode_decode
 from .language_id import identify_languages
 from .license_scan import license_digest, scan_licenses
@@ -48,6 +49,11 @@ def op4_byte_bpe(spark, sf_dir):
     return encode_decode(documents(spark, sf_dir), ranks, pattern, digest=True)
 
 
+def op5_bit_sliced_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op6_sharding(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir))
 
@@ -69,5 +75,41 @@ def op10_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op6_sharding, op7_order_minhash, op8_near_duplicates, op9_mixing, op10_substring_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op5_bit_sliced_top_k, op6_sharding, op7_order_minhash, op8_near_duplicates, op9_mixing, op10_substring_dedup)}
+
+#: DuckDB twins of the operators that SQL can express.
+SQL: dict[str, str] = {
+    "op5_bit_sliced_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+                   where embedding is not null and len(embedding) > 0
+                     and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+        s as (select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score
+              from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5
+    """,
+    "op8_near_duplicates": """
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+        e as (select doc_id, unnest(s) as x from s),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+        l as (select a, b from p join s sa on sa.doc_id = a join s sb on sb.doc_id = b where 100 * n >= 85 * (len(sa.s) + len(sb.s) - n)),
+        g as (select a, b from l union all select b, a from l),
+        r(node, root) as (select doc_id, doc_id from s union select g.b, r.root from r join g on g.a = r.node)
+        select s.doc_id, len(s.s)::bigint as n_shingles, min(r.root) as component_id, s.doc_id = min(r.root) as kept
+        from s join r on r.node = s.doc_id group by s.doc_id, s.s
+    """,
+    "op10_substring_dedup": """
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        i as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from w),
+        h as (select doc_id, i, x, array_to_string(list(x) over (partition by doc_id order by i rows between current row and 12 following), ' ') as y,
+                     count(*) over (partition by doc_id order by i rows between current row and 12 following) as n from i),
+        d as (select doc_id, i, x, n = 13 and min(doc_id) over (partition by y, n = 13) < doc_id as gone from h),
+        k as (select doc_id, i, x, bool_or(gone) over (partition by doc_id order by i rows between 12 preceding and current row) as gone from d),
+        t as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, coalesce(string_agg(x, ' ' order by i) filter (not gone), '') as kept from k group by doc_id)
+        select w.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from w left join t using (doc_id)
+    """,
+}
