@@ -13,7 +13,7 @@ outsiders stay in a task's memory while the hub's members stream past, and only
 MARK_THRESHOLD of MARKS further coordinates leave it. Survivors are confirmed on full shingle sets.
 
 Misses: a pair at similarity 0.85 fails 16 of 32 coordinates with probability under 1e-6, and
-88 of 128 with probability under 1e-5.
+190 of 256 with probability under 1e-5.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .components import components
 from .textops import Scratch, Words, chunks, constants, lower_ascii, mix, table
 
 COORDINATES, THRESHOLD, SHINGLE, PERCENT = 32, 16, 5, 85
-#: Further coordinates, kept as 16 bits each, and how many must agree.
-MARKS, MARK_THRESHOLD = 128, 88
+#: Further coordinates, kept as 8 bits each, and how many must agree.
+MARKS, MARK_THRESHOLD = 256, 190
 #: Outsiders held in memory at once.
 OUTSIDERS = 2000
 #: Members whose texts are compared with one hub's text in one task slice.
@@ -66,7 +66,7 @@ def _signed(k: int, coordinates: int):
                 sets = shingle_sets(part, k)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 keys = np.zeros((len(sets), coordinates), np.int64)
-                marks = np.zeros((len(sets), MARKS), np.uint16)
+                marks = np.zeros((len(sets), MARKS), np.uint8)
                 full = np.flatnonzero(sizes)
                 a = b = np.zeros(len(sets), np.int64)
                 if len(full):
@@ -80,7 +80,7 @@ def _signed(k: int, coordinates: int):
                         keys[full, j] = mix(least ^ tags[j]).view(np.int64)
                     for j in range(MARKS):
                         least = np.minimum.reduceat((flat ^ more_flips[j]) * more_odds[j], begin)
-                        marks[full, j] = (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
+                        marks[full, j] = (mix(least) & np.uint64(0xFF)).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, coordinates, dtype=np.int32), pa.array(keys.ravel()))
                 yield table(_SIGNED, ids[at : at + len(part)], sizes, a, b, lists, [m.tobytes() for m in marks])
 
@@ -133,11 +133,11 @@ def _meet(threshold: int):
                     parts += part[at:end]
                     rows += marks[at:end]
                 elif names:
-                    held = np.frombuffer(b"".join(marks[at:end]), np.uint16).reshape(-1, MARKS)
+                    held = np.frombuffer(b"".join(marks[at:end]), np.uint8).reshape(-1, MARKS)
                     ids, comp = np.array(reps[at:end]), np.array(part[at:end])
                     out = []
                     for x, x_part, m in zip(names, parts, rows, strict=True):
-                        near = (held == np.frombuffer(m, np.uint16)).sum(1) >= threshold
+                        near = (held == np.frombuffer(m, np.uint8)).sum(1) >= threshold
                         out += [(min(x, y), max(x, y)) for y in ids[near & (comp != x_part)].tolist()]
                     if out:
                         yield table(_CHECKED, *zip(*out, strict=True))
