@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text after which a block closes.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 16 << 20
 #: The code points of Unicode's White_Space property, which Rust's \s means (Python's has four more).
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -131,7 +131,7 @@ def _cut(pattern: str, buckets: int, block_bytes: int):
             by: dict[int, list[int]] = {}
             for i in order:
                 by.setdefault(int(number[i]), []).append(i)
-            rows = [(_PLACES, count % buckets, block, _blob(zlib.compress(pa.array(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), 1), bytes(i is None for i in ids), np.array(lengths, np.int64).tobytes(), zlib.compress(_planes(np.concatenate(places) if places else np.zeros(0, np.uint32)), 1)))]
+            rows = [(_PLACES, count % buckets, block, _blob(zlib.compress(pa.array(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), 1), bytes(i is None for i in ids), np.array(lengths, np.int64).tobytes(), squeeze(np.concatenate(places), len(seen))))]
             for b, at in by.items():
                 body = _blob(np.array([len(words[i]) for i in at], np.uint32).tobytes(), b"".join(words[i] for i in at), np.array(at, np.uint32).tobytes())
                 rows.append((_WORDS, b, block, zlib.compress(body, 1)))
@@ -158,6 +158,35 @@ def _planes(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
+def _unplanes(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
+def squeeze(places: np.ndarray, n: int) -> bytes:
+    """Places in a vocabulary of n words numbered by first occurrence, in few bytes.
+
+    One byte a place: one of the 254 most frequent words, 254 for a word's first occurrence (whose number follows), or 255
+    for another word, whose number stands in a second stream.
+    """
+    common = np.argsort(-np.bincount(places, minlength=n), kind="stable")[:254]
+    code = np.full(n, 255, np.uint8)
+    code[common] = np.arange(len(common))
+    out = code[places]
+    out[np.unique(places, return_index=True)[1]] = 254
+    return _blob(common.astype(np.uint32).tobytes(), zlib.compress(out.tobytes(), 1), zlib.compress(_planes(places[out == 255]), 1))
+
+
+def expand(blob: bytes) -> np.ndarray:
+    common, codes, rest = _parts(blob, 3)
+    codes = np.frombuffer(zlib.decompress(codes), np.uint8)
+    named = np.concatenate((np.frombuffer(common, np.uint32), np.zeros(256, np.uint32)))
+    out = named[codes]
+    new = codes == 254
+    out[new] = np.arange(new.sum())
+    out[codes == 255] = _unplanes(zlib.decompress(rest))
+    return out
+
+
 def _encode(table) -> object:
     def run(batches):
         ranks, known = table.value, {}
@@ -192,12 +221,12 @@ def _assemble(table, digest: bool):
                 docs, null, lengths, places = _parts(body, 4)
             else:
                 flat, counts, at = (zlib.decompress(x) for x in _parts(body, 3))
-                flat = np.frombuffer(flat, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().tolist()
+                flat = _unplanes(flat).tolist()
                 lo = 0
                 for i, n in zip(np.frombuffer(at, np.uint32).tolist(), np.frombuffer(counts, np.uint32).tolist(), strict=True):
                     ids[i] = flat[lo : lo + n]
                     lo += n
-        places = np.frombuffer(zlib.decompress(places), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+        places = expand(places)
         digits = [b",".join(b"%d" % t for t in ids[i]) for i in range(len(ids))]
         raw = [b"".join([spelled[t] for t in ids[i]]) for i in range(len(ids))]
         sizes = np.fromiter((len(ids[i]) for i in range(len(ids))), np.int64, len(ids))
