@@ -1 +1,24 @@
-"""factloom."""
+"""Registered plans over the sample tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    """Adds a query under a key, with its SQL twin where there is one."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
