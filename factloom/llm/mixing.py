@@ -21,6 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textops import Scratch
+
 BLOCK, SHARDS, SHARE, CAP, SEED = 32, 64, 1.5, 2, 20240801
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -142,7 +144,8 @@ class Mix:
         reach = self.laid.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))))
         lo, hi = F.greatest("begin", F.col("index") * b), F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * b)
         cut = reach.select("doc_id", "content", "s", "index", (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("words"))
-        return cut.join(self.uses(), ["s", "index"])
+        # written first: joined in place, the permutation's rounds take the optimizer hundreds of MB
+        return cut.join(Scratch(self.spark, "mixing").keep(self.uses()), ["s", "index"])
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
