@@ -31,22 +31,20 @@ def item_name(marker: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(marker), "[^a-z0-9]", ""), 1, 7)
 
 
-def split_items(docs: DataFrame, key: str, text: str, pattern: str, until: str | None = None, before: str | None = None) -> DataFrame:
-    """key, item_no, item, body: from each marker (group 1 of the pattern) to the next, the last one to the first `until` match or the end.
+def split_items(docs: DataFrame, key: str, text: str, pattern: str, until: str | None = None, before: str | None = None, keep: bool = False) -> DataFrame:
+    """key, item_no, item, body: from each marker to the next, the last one to the first `until` match or the end.
 
-    With `before`, what precedes the first marker is item 0 of that name. Texts without a marker give no other row. Column functions only: the text
-    is cut at markers with lookahead, so a body never crosses rows and nothing is shuffled.
+    pattern starts with (?i) and its group 1 is the marker. With `before`, what precedes the first marker is an item of that name; else it is left
+    out, as are texts without a marker. `keep` leaves bodies untrimmed. Column functions only: the text is cut before markers, so nothing is shuffled.
     """
-    at = F.split(F.col(text), "(?=" + pattern.replace("(?i)", "", 1) + ")" if not pattern.startswith("(?i)") else "(?i)(?=" + pattern[4:] + ")")
-    parts = docs.select(key, F.posexplode(at).alias("item_no", "part"))
-    marker = F.regexp_extract("part", "^" + pattern[4:] if not pattern.startswith("(?i)") else "(?i)^" + pattern[4:], 1)
+    bare = pattern.removeprefix("(?i)")
+    parts = docs.select(key, F.posexplode(F.split(F.col(text), f"(?i)(?={bare})")).alias("item_no", "part"))
+    marker = F.regexp_extract("part", f"(?i)^{bare}", 1)
     body = F.substring(F.col("part"), F.length(marker) + 1, F.length("part"))
     if until is not None:
         body = F.when(marker != "", F.get(F.split(body, until, 2), F.lit(0))).otherwise(body)
-    named = parts.select(key, "item_no", F.when(marker != "", item_name(marker)).alias("item"), F.trim(body).alias("body"))
-    if before is None:
-        return named.where(F.col("item").isNotNull())
-    return named.withColumn("item", F.coalesce("item", F.lit(before)))
+    named = parts.select(key, "item_no", F.when(marker != "", item_name(marker)).alias("item"), (body if keep else F.trim(body)).alias("body"))
+    return named.where(F.col("item").isNotNull()) if before is None else named.withColumn("item", F.coalesce("item", F.lit(before)))
 
 
 def report_date(text: Column) -> Column:

@@ -208,7 +208,7 @@ def alias_references(found: DataFrame, docs: DataFrame, key: str, text: str) ->
     """key, alias, n_references: places of an alias after its definition. One join on the document."""
     base = found.where("role = 'base'").select(key, "alias", "paren").distinct()
     both = base.join(docs.select(key, text), key)
-    rest = F.substring_index(F.col(text), F.col("paren"), -1)
+    rest = F.substr(F.col(text), F.position("paren", F.col(text)) + F.length("paren"))
     return both.select(key, "alias", F.size(F.regexp_extract_all(rest, F.concat(F.lit("\\b\\Q"), F.col("alias"), F.lit("\\E\\b")), F.lit(0))).alias("n_references"))
 
 
