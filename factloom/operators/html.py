@@ -224,8 +224,6 @@ def sections(html: str | None) -> list[dict]:
     out = []
     for k, (at, title) in enumerate(bounds):
         end = bounds[k + 1][0] if k + 1 < len(bounds) else len(doc.pieces)
-        if end <= at and title == "before":
-            continue
         skip, tables, inserted = set(), [], {}
         for t in doc.tables:
             if at <= t["start"] < end and not t["outer"]:
@@ -241,6 +239,8 @@ def sections(html: str | None) -> list[dict]:
                 parts.append(inserted[i])
             if i not in skip and not doc.pieces[i]["in_title"]:
                 parts.append(doc.pieces[i]["text"])
+        if title == "before" and not tables and not "".join(parts):
+            continue
         out.append({"number": len(out), "title": title, "strategy": strategy, "text": " ".join(parts), "tables": tables})
     return out
 

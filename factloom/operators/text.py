@@ -96,7 +96,8 @@ def security_quantities(text: Column) -> Column:
 
 
 def certainty(sentence: Column) -> Column:
-    """struct<marker, level>: the first marker of a sentence; without one the level is 1."""
+    """struct<marker, level>: the first marker of a sentence; without one the level is 1. The month of May is no marker."""
+    sentence = F.regexp_replace(sentence, "\\bMay\\s+[0-9]", " ")
     words = [w for w in CERTAINTY if w not in NOT_MARKERS]
     marker = F.lower(first_match(sentence, "(?i)\\b(" + "|".join(words) + ")\\b"))
     level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for w in words for x in (w, CERTAINTY[w])]), marker), F.lit(1.0))

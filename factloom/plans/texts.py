@@ -54,7 +54,7 @@ _LEVELS = ", ".join(f"('{w}', {v})" for w, v in text.CERTAINTY.items() if w not
 
 @register("certainty", rf"""
     with l(w, v) as (values {_LEVELS}),
-    m as (select conv_id, turn, text, nullif(lower(regexp_extract(text, '(?i)\b({'|'.join(w for w in text.CERTAINTY if w not in text.NOT_MARKERS)})\b', 1)), '') as marker from conversations)
+    m as (select conv_id, turn, text, nullif(lower(regexp_extract(regexp_replace(text, '\bMay\s+[0-9]', ' ', 'g'), '(?i)\b({'|'.join(w for w in text.CERTAINTY if w not in text.NOT_MARKERS)})\b', 1)), '') as marker from conversations)
     select conv_id, turn, marker, coalesce(v, 1.0)::double as level from m left join l on w = marker""")
 def certainty(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.certainty(F.col("text")).alias("c")).select("conv_id", "turn", "c.marker", "c.level")
