@@ -1,0 +1,338 @@
+import base64
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import bit_sliced, byte_bpe, language_id, license_scan, mixing, near_duplicates, order_minhash, sharding, substring_dedup, suffix_automaton, toxicity
+from factloom.llm.components import components
+from factloom.llm.textops import Scratch, Words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def texts(seed=0, n=40):
+    """Short texts with exact and near copies, shared passages, ties, an empty, a blank, a null and a very long one."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(60)] + ["é", "The", "MIT", "license"]
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 60))) for _ in range(n)]
+    passage = " ".join(f"p{i}" for i in range(20))
+    out = base + [base[0], base[0], base[3] + "  " + passage, passage + "\t" + base[5], base[7] + " tail", "", " \n ", None, ("x" * 300 + " ") * 700]
+    for b in base[:6]:
+        w = b.split()
+        if len(w) > 30:
+            w[4] = "changed"
+        out.append(" ".join(w))
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en" if i % 2 else None, f"src{i % 3}" if i % 7 else None, len(t or ""), "z") for i, t in enumerate(rows)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def low(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_words():
+    data = ["a bb  c", "", " x\ty\x0b", "é b"]
+    words = Words([t.encode() for t in data])
+    assert words.counts().tolist() == [len(WORD.findall(t)) for t in data]
+    b = [words.hash[i] for i in (1, 6)]
+    assert b[0] != b[1] and len(set(words.hash.tolist())) == 7
+    assert Words([b"q bb"]).hash[1] == words.hash[1]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert got == {x: find(x) for x in root if x in got} and {x for e in edges if e[0] != e[1] for x in e} == set(got)
+
+
+def test_near_duplicates(spark, docs, rows, nothing):
+    sets = []
+    for t in rows:
+        w = WORD.findall(low(t))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            k = len(sets[a] & sets[b])
+            if k and 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs).collect()}
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(rows))}
+    assert near_duplicates.near_duplicates(nothing).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(odd).collect()), key=str) == [(1, 1, True), (1, 1, True), (None, None, False)]
+
+
+def test_near_copies_in_one_large_family(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    family = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(150)] = f"e{i}-{rng.random()}"
+        family.append(w)
+    sets = [{tuple(w[j : j + 5]) for j in range(146)} for w in family]
+    root = list(range(150))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(150):
+        for b in range(a):
+            k = len(sets[a] & sets[b])
+            if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = near_duplicates.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(family)], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in range(150)}
+
+
+def test_substring_dedup(spark, docs, rows, nothing):
+    own, want = {}, {}
+    for i, t in enumerate(rows):
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for j in range(len(w) - 12):
+            if own.setdefault(tuple(w[j : j + 13]), i) < i:
+                gone[j : j + 13] = [True] * 13
+        want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated_windows(docs).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 0
+    assert substring_dedup.remove_repeated_windows(nothing).count() == 0
+    same = " ".join(f"s{i}" for i in range(14))
+    odd = spark.createDataFrame([(1, same), (1, same), (None, same)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeated_windows(odd).collect()), key=str) == [(1, 0), (1, 0), (None, 14)]
+
+
+def test_byte_bpe(spark, docs, nothing):
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    extra = frame(spark, ["a\x1cb \x1d c   x\u0085y\n\n  z don't I'll 123 ½", "x" * 3000, "ab" * 900 + " " * 500 + "q", "😀 日本語 \t "]).withColumn("doc_id", F.col("doc_id") + 1000)
+    all_ = docs.unionByName(extra)
+    want = {r.doc_id: ref.encode_ordinary(r.text or "") for r in all_.collect()}
+    full = {r.doc_id: r for r in byte_bpe.encode_decode(all_, path, P.PATTERN, block_bytes=2000).collect()}
+    assert {i: r.ids for i, r in full.items()} == want
+    assert {i: bytes(r.decoded) for i, r in full.items()} == {r.doc_id: (r.text or "").encode() for r in all_.collect()}
+    digest = {r.doc_id: r for r in byte_bpe.encode_decode(all_, path, P.PATTERN, digest=True).collect()}
+    assert all(digest[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and digest[i].n_tokens == len(ids) for i, ids in want.items())
+    assert byte_bpe.encode_decode(nothing, path, P.PATTERN, digest=True).count() == 0
+
+
+def test_squeeze():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 300, 5000):
+        raw = (rng.pareto(0.6, n) * 3).astype(np.int64)
+        seen = {}
+        places = np.array([seen.setdefault(int(x), len(seen)) for x in raw], np.uint32)
+        assert (byte_bpe.expand(byte_bpe.squeeze(places, len(seen))) == places).all()
+
+
+def test_suffix_automaton():
+    rng = random.Random(2)
+    for _ in range(200):
+        seqs = [[rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(3)]
+        a = suffix_automaton.SuffixAutomaton()
+        for s in seqs:
+            a.add(s)
+        runs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        stream = [rng.choice("abcd") for _ in range(20)]
+        state = length = 0
+        for e, token in enumerate(stream, 1):
+            state, length = a.step(state, length, token)
+            assert length == max((n for n in range(1, e + 1) if tuple(stream[e - n : e]) in runs), default=0)
+            for number, end in a.places[state].items():
+                if length:
+                    assert tuple(seqs[number][end - length : end]) == tuple(stream[e - length : e])
+
+
+def test_license_scan(spark, nothing):
+    full = "Intro. " + license_scan.WORDINGS["bsd"][0].upper() + ". MIT License, mit-license; Apache\nLicense. gnu general public license"
+    docs = spark.createDataFrame([(1, full), (2, None), (3, ""), (4, "mit. licensee"), (5, "é MIT LİCENSE")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_digest(license_scan.scan_licenses(docs)).collect()}
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(full))
+    places = [i for p in license_scan.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word) == (len(words), len(places), min(places), max(places))
+    assert got[1].base_labels == "apache,gpl,mit" and "bsd" in got[1].labels.split(",") and got[1].score == 1.0
+    assert all((got[i].n_base, got[i].first_word, got[i].base_labels, got[i].labels) == (0, None, "", "") for i in (2, 3, 4, 5))
+    assert license_scan.scan_licenses(nothing).count() == 0
+
+
+def test_language_id(spark, nothing):
+    stems = {"en": "the and of thing ing er th", "de": "der und sch ung keit ich ein", "fr": "le que eau oux ment tion è", "es": "el que ción ado ez la ñ"}
+    rng = random.Random(0)
+    rows = [(i, " ".join("".join(rng.choice(stems[v].split()) for _ in range(rng.randint(1, 3))) for _ in range(40)), v) for i in range(400) for v in [list(stems)[i % 4]]]
+    rows += [(1000, None, "en"), (1001, "123 !?", "en"), (1002, "the thing", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify_languages(docs, F.col("doc_id") % 5 != 0).collect()}
+    held = [r for r in rows[:400] if r[0] % 5 == 0]
+    assert sum(got[i].lang_pred == v for i, _, v in held) >= 0.95 * len(held)
+    assert got[1000].lang_pred == got[1001].lang_pred == "und" and 0 <= got[1002].score <= 1
+    assert language_id.identify_languages(nothing, F.lit(True)).count() == 0
+    assert {r.lang_pred for r in language_id.identify_languages(docs.limit(5), F.lit(False)).collect()} == {"und"}
+
+
+def test_toxicity(spark, nothing):
+    rng = random.Random(1)
+    clean = [f"{a}{b}" for a in ("stone", "river", "green", "paper", "cloud") for b in ("", "s", "ing", "er")]
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(clean) + rng.choice("abcdefgh") * 2 for _ in range(40)]
+        if i % 5 == 0:
+            w[7] = rng.choice(["moron", "idiot"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1 if i % 5 == 0 else 0))
+    hidden = [(500, "you m0r0n"), (501, "such an i d i o t here"), (502, "idiiiiiot!"), (503, "river stones"), (504, None), (505, ""), (506, "24be64 $$$ ###")]
+    docs = spark.createDataFrame(rows + hidden, "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(500, None), (501, 7), (None, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, marks, F.col("doc_id") % 3 != 0).collect()}
+    assert all(got[i].predicted == 1 for i in (500, 501, 502)) and all(got[i].predicted == 0 for i in (503, 504, 505, 506))
+    held = [(i, t) for i, t in labels if i % 3 == 0]
+    assert all(got[i].predicted == t for i, t in held)
+    assert toxicity.score_toxicity(nothing, marks, F.lit(True)).count() == 0
+    assert {r.score for r in toxicity.score_toxicity(docs.limit(3), marks.limit(0), F.lit(True)).collect()} == {0.0}
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    v = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
+    v += [(i, v[0][1]) for i in range(300, 330)]  # ties
+    v += [(400, None), (450, [1.0] * 7 + [float("nan")]), (401, [1.0] * 7 + [None]), (402, [0.5] * 3), (500, [0.25] * 3), (403, [])]
+    df = spark.createDataFrame([(i, x, "z") for i, x in v], "vec_id long, embedding array<float>, label string")
+    fit = {i: [int(np.floor(256 * float(np.float32(c)))) for c in x] for i, x in v if x and all(c is not None and np.isfinite(c) for c in x)}
+    want = set()
+    for q in (i for i in fit if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(fit[q], fit[j], strict=True)), j) for j in fit if j != q and len(fit[j]) == len(fit[q]))
+        want |= {(q, r, j, -s) for r, (s, j) in enumerate(scores[:5], 1)}
+    got = {tuple(r) for r in bit_sliced.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, slice_queries=3).collect()}
+    assert got == want
+    assert bit_sliced.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_minimax():
+    rng = np.random.default_rng(0)
+
+    def brute(sizes, k):
+        p = np.concatenate(([0], np.cumsum(sizes)))
+        best = list(p)
+        for _ in range(k - 1):
+            best = [min(max(best[j], p[i] - p[j]) for j in range(i + 1)) for i in range(len(p))]
+        return best[-1]
+
+    for _ in range(200):
+        sizes, k = rng.integers(1, 50, rng.integers(0, 20)), int(rng.integers(1, 7))
+        capacity, cuts = sharding.minimax_cuts(sizes, k)
+        ends = [0, *cuts, len(sizes)]
+        assert capacity == brute(sizes, k)
+        assert all(a <= b and sizes[a:b].sum() <= capacity for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_sharding(spark, docs, rows, nothing):
+    for fine in (200_000, 5):
+        got = sharding.shard_documents(docs, fine_rows=fine).toPandas()
+        assert got["size"].tolist() == [len((rows[i] or "").encode()) + 8 for i in got.doc_id]
+        by = got.groupby("shard")
+        assert (by.slot.max() + 1 == by.slot.count()).all() and not got.duplicated(["shard", "slot"]).any() and got.shard.between(0, 23).all()
+        where = dict(zip(got.doc_id, got.shard, strict=True))
+        for t in set(rows):
+            assert len({where[i] for i, x in enumerate(rows) if x == t}) == 1
+        groups = Counter()
+        for i, t in enumerate(rows):
+            groups[t] += len((t or "").encode()) + 8
+        assert by["size"].sum().max() <= max(max(groups.values()), sum(groups.values()) / 24 + max(groups.values()))
+    assert sharding.shard_documents(nothing).count() == 0
+
+
+def test_order_minhash(spark, docs, rows, nothing):
+    got = {r.doc_id: r for r in order_minhash.compare_with_edits(docs).collect()}
+    ring = sorted(range(len(rows)), reverse=True)
+    for p, i in enumerate(ring):
+        t, nxt = rows[i] or "", rows[ring[(p + 1) % len(ring)]] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[0].fingerprint == got[40].fingerprint != got[1].fingerprint
+    long = [i for i in got if got[i].n_chars > 100]
+    assert sum(got[i].near_edited for i in long) > 2 * sum(got[i].near_next for i in long)
+    assert order_minhash.compare_with_edits(nothing).count() == 0
+    odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c d"), (None, None)], "doc_id long, text string")
+    assert order_minhash.compare_with_edits(odd).count() == 4
+
+
+def test_order_matters(spark):
+    a, b = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in [*range(50, 100), *range(50)])
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(order_minhash.fingerprint(F.col("a")).alias("a"), order_minhash.fingerprint(F.col("b")).alias("b"))
+    assert 0.5 < df.select(order_minhash.likeness(F.col("a"), F.col("b")).alias("x")).first().x < 0.9  # plain MinHash would see 0.96
+
+
+def test_mixing(spark, docs, rows, nothing):
+    got = mixing.mix_sources(docs).toPandas()
+    assert dict(zip(got.doc_id, got["size"], strict=True)) == {i: len(WORD.findall(t or "")) for i, t in enumerate(rows)}
+    assert (got.taken <= 2 * got["size"]).all()
+    by = got.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((by.target - by.taken).abs() <= mixing.BLOCK + 1).all()
+    again = mixing.mix_sources(docs.repartition(3)).toPandas()
+    key = lambda d: sorted(map(tuple, d.values.tolist()))
+    assert key(got) == key(again)
+    mixed = mixing.mixed_texts(docs).toPandas()
+    counts = mixed.groupby("doc_id").text.apply(lambda s: sum(len(x.split(" ")) for x in s)).to_dict()
+    taken = {i: n for i, n in zip(got.doc_id, got.taken, strict=True) if n}
+    assert counts == taken and list(mixed.columns) == docs.columns
+    assert mixing.mix_sources(nothing).count() == 0 and mixing.mixed_texts(nothing).count() == 0
+
+
+def test_targets_and_permutation(spark):
+    assert mixing.fill_targets([10, 100], [3, 1], 1.5, 2) == [20.0, 145.0]
+    assert mixing.fill_targets([], [], 1.5, 2) == []
+    slots = spark.range(999).select(F.lit(2).alias("s"), F.lit(1).cast("long").alias("epoch"), F.col("id").alias("at"), F.lit(999).cast("long").alias("size"))
+    index = [r["index"] for r in mixing.permuted(slots, 1).orderBy("at").collect()]
+    assert sorted(index) == list(range(999)) and index != list(range(999))
+    drawn = mixing.draw([100, 7, 0], 8, 1)
+    assert drawn.sum(0).tolist() == [100, 7, 0] and (drawn >= 0).all()
