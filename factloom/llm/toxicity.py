@@ -118,7 +118,7 @@ class Decoder:
         return out
 
 
-def unlike(rows: list[tuple[str, int]], coordinates: int = 12, alike: int = 3) -> list[tuple[str, int]]:
+def unlike(rows: list[tuple[str, int]], coordinates: int = 24, alike: int = 12) -> list[tuple[str, int]]:
     """The rows without near copies of earlier ones, whose words would count as independent evidence."""
     flips = np.random.default_rng(5).integers(1, 1 << 32, coordinates, np.uint64)
     posted: dict[tuple[int, int], list[int]] = {}
