@@ -111,7 +111,7 @@ def negated(sentence: Column) -> Column:
 
 def exercise_price(sentence: Column) -> Column:
     """struct<amount, currency> if exactly one price follows "exercise (conversion, redemption...) price", else null."""
-    price = f"(?i)(?:exercis\\w*|conver\\w*|redem\\w*|redeem\\w*|issuance)\\s+(?:at\\s+an?\\s+)?(?:\\w+\\s+){{0,3}}?prices?\\s+(?:\\w+\\s+){{0,4}}?(?:of|at|is|to|equal to)?\\s*({MONEY}(?:\\s*(?:to|-|and)\\s*{MONEY})?)"
+    price = f"(?i)(?:exercis\\w*|conver\\w*|redem\\w*|redeem\\w*|issuance)\\s+(?:at\\s+an?\\s+)?(?:\\w+\\s+){{0,3}}?prices?\\s+(?:\\w+\\s+){{0,8}}?(?:of|at|is|to|equal to)?\\s*({MONEY}(?:\\s*(?:to|-|and)\\s*{MONEY})?)"
     found = F.array_distinct(all_matches(sentence, price, 1))
     amounts = all_matches(only(found), MONEY)
     return F.when(F.size(amounts) == 1, F.struct(quantity(F.get(amounts, F.lit(0))).alias("amount"), F.lit("$").alias("currency")))
