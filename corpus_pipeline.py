@@ -36,9 +36,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; text and n_chars of those with repeated windows are what is left, others keep theirs."""
     cut = remove_repeated_windows(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cut_id")
     met = docs.join(cut, docs.doc_id.eqNullSafe(cut.cut_id), "left")
-    text = F.when(F.col("cut_id").isNotNull(), F.col("kept_text")).otherwise(docs.text)
-    chars = F.when(F.col("cut_id").isNotNull(), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(docs.n_chars)
-    return met.select(*[text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    changed = cut.kept_text.isNotNull()
+    new = {"text": cut.kept_text, "n_chars": F.length(cut.kept_text)}
+    return met.select(*[F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,14 +174,14 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     one document. Columns: those of docs.
     """
     mix = Mix(docs, **options)
-    pieces = mix.pieces().groupBy("doc_id", "content").agg(F.collect_list(F.struct("from_word", "words", "uses")).alias("taken"))
-    t = pieces.select(F.col("doc_id").alias("t_id"), F.col("content").alias("t_content"), "taken")
-    met = docs.withColumn("t_key", F.xxhash64("text")).join(t.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("t_id")) & (F.col("t_key") == F.col("t_content")))
+    pieces = mix.pieces().groupBy("doc_id", "content").agg(F.collect_list(F.struct("from_word", "words", "uses")).alias("__mix_taken"))
+    t = pieces.select(F.col("doc_id").alias("__mix_id"), F.col("content").alias("__mix_content"), "__mix_taken")
+    met = docs.withColumn("__mix_key", F.xxhash64("text")).join(t.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_key") == F.col("__mix_content")))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    most = F.array_max(F.transform("taken", lambda x: x["uses"]))
-    passes = met.withColumn("t_words", words).withColumn("t_pass", F.explode(F.sequence(F.lit(1), most)))
-    chosen = F.array_sort(F.filter("taken", lambda x: x["uses"] >= F.col("t_pass")))
-    text = F.array_join(F.flatten(F.transform(chosen, lambda x: F.slice("t_words", (x["from_word"] + 1).cast("int"), x["words"].cast("int")))), " ")
+    most = F.array_max(F.transform("__mix_taken", lambda x: x["uses"]))
+    passes = met.withColumn("__mix_words", words).withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), most)))
+    chosen = F.array_sort(F.filter("__mix_taken", lambda x: x["uses"] >= F.col("__mix_pass")))
+    text = F.array_join(F.flatten(F.transform(chosen, lambda x: F.slice("__mix_words", (x["from_word"] + 1).cast("int"), x["words"].cast("int")))), " ")
     made = passes.withColumn("text", text)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

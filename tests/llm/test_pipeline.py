@@ -28,7 +28,11 @@ def test_run_and_registry(spark):
 def test_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     odd = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(1).withColumn("source", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long")))
-    for rows in (odd, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+    clash = docs.withColumns({c: F.lit("x") for c in ("cut_id", "kept_text", "toxic_id", "gone_id", "taken", "content", "size", "index", "s", "block", "rep", "key", "label", "toxic")})
+    for rows in (odd, docs.limit(0), clash):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            columns, rows = rows.columns, stage(spark, rows, SF)
+            assert rows.columns == columns
+        for _, stage in corpus_pipeline.STAGES[-1:]:
             rows = stage(spark, rows, SF)
         rows.count()
