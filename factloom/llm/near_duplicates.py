@@ -9,8 +9,8 @@ coordinates share one of them). Every posting list first links its members to it
 the member whose keys are the most common. A list of n mutual near copies thus makes n-1
 candidates, not n^2. Then the members of a hub's lists that are not in its largest component
 meet the others of another component, so no link between components is left out: slices of
-outsiders stay in a task's memory while the hub's members stream past, and only pairs that agree in
-MARK_THRESHOLD of MARKS further coordinates leave it. Survivors are confirmed on full shingle sets.
+outsiders stay in a task's memory while the hub's members stream past; pairs that agree in MARK_THRESHOLD of MARKS
+further coordinates are confirmed there on full shingle sets, and only links leave the task.
 
 Misses: a pair at similarity 0.85 fails 16 of 32 coordinates with probability under 1e-6, and
 190 of 256 with probability under 1e-5.
@@ -29,8 +29,8 @@ from .textops import Scratch, Words, chunks, constants, lower_ascii, mix, table
 COORDINATES, THRESHOLD, SHINGLE, PERCENT = 32, 16, 5, 85
 #: Further coordinates, kept as 8 bits each, and how many must agree.
 MARKS, MARK_THRESHOLD = 256, 190
-#: Outsiders held in memory at once.
-OUTSIDERS = 2000
+#: Shingles of the outsiders that one task holds in memory, about.
+OUTSIDER_SHINGLES = 2_000_000
 #: Members whose texts are compared with one hub's text in one task slice.
 SLICE = 64
 
@@ -116,31 +116,43 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _meet(threshold: int):
+def _meet(threshold: int, k: int, percent: int):
+    """Links between a slice's outsiders, held as shingle sets, and the hub's members that stream past."""
+
     def run(batches):
-        group, names, parts, rows = None, [], [], []
+        group, names, parts, rows, sets = None, [], [], [], []
         for batch in batches:
-            g, reps, part, out_first, marks = (batch.column(i).to_pylist() for i in range(5))
+            g, reps, part, kind, marks, texts = (batch.column(i).to_pylist() for i in range(6))
             at = 0
             while at < len(g):
                 if g[at] != group:
-                    group, names, parts, rows = g[at], [], [], []
+                    group, names, parts, rows, sets = g[at], [], [], [], []
                 end = at
-                while end < len(g) and g[end] == group and out_first[end] == out_first[at]:
+                while end < len(g) and g[end] == group and kind[end] == kind[at]:
                     end += 1
-                if out_first[at] == 0:
+                if kind[at] == 0:
                     names += reps[at:end]
                     parts += part[at:end]
-                    rows += marks[at:end]
+                    rows += [np.frombuffer(m, np.uint8) for m in marks[at:end]]
+                    for _, held in chunks(texts[at:end]):
+                        sets += shingle_sets(held, k)
                 elif names:
                     held = np.frombuffer(b"".join(marks[at:end]), np.uint8).reshape(-1, MARKS)
-                    ids, comp = np.array(reps[at:end]), np.array(part[at:end])
-                    out = []
-                    for x, x_part, m in zip(names, parts, rows, strict=True):
-                        near = (held == np.frombuffer(m, np.uint8)).sum(1) >= threshold
-                        out += [(min(x, y), max(x, y)) for y in ids[near & (comp != x_part)].tolist()]
-                    if out:
-                        yield table(_CHECKED, *zip(*out, strict=True))
+                    comp = np.array(part[at:end])
+                    near: dict[int, list[int]] = {}
+                    for x, m in enumerate(rows):
+                        for y in np.flatnonzero(((held == m).sum(1) >= threshold) & (comp != parts[x])).tolist():
+                            near.setdefault(y, []).append(x)
+                    met = sorted(near)
+                    for first, some in chunks([texts[at + y] for y in met]):
+                        out = []
+                        for y, found in zip(met[first:], shingle_sets(some, k), strict=False):
+                            for x in near[y]:
+                                both = len(np.intersect1d(found, sets[x], assume_unique=True))
+                                if 100 * both >= percent * (len(found) + len(sets[x]) - both):
+                                    out.append((names[x], reps[at + y]))
+                        if out:
+                            yield table(_CHECKED, *zip(*out, strict=True))
                 at = end
 
     return run
@@ -199,19 +211,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     parts = components(links, scratch)
 
     member = cluster.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("a", "rep", F.coalesce("component", "rep").alias("part"))
-    member = scratch.keep(member)
-    sizes = member.groupBy("a", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("a").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("odd")).where("parts > 1")
+    member = scratch.keep(member.join(owner.select("rep", "n_shingles"), "rep"))
+    sizes = member.groupBy("a", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    main = sizes.groupBy("a").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), (F.sum("weight") - F.max_by("weight", F.struct("n", "part"))).alias("odd")).where("parts > 1")
     # every slice of a hub's outsiders meets all its members
-    slices = F.ceil(F.col("odd") / OUTSIDERS)
+    slices = F.ceil(F.col("odd") / OUTSIDER_SHINGLES)
     met = member.join(main, "a")
     odd = met.where("part <> main").select("a", "rep", "part", F.pmod(F.xxhash64("rep"), slices).alias("s"), F.lit(0).alias("kind"))
     rest = met.select("a", "rep", "part", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("s"), F.lit(1).alias("kind"))
-    both = odd.unionByName(rest).join(owner.select("rep", "marks"), "rep").select(F.xxhash64("a", "s").alias("g"), "rep", "part", "kind", "marks")
+    both = odd.unionByName(rest).join(owner.select("rep", "marks"), "rep")
+    both = both.hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(F.xxhash64("a", "s").alias("g"), "rep", "part", "kind", "marks", "text")
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(_meet(MARK_THRESHOLD), "a long, b long")
-    cross = scratch.keep(cross.distinct().join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    links = links.unionByName(confirmed(cross, texts, k, percent))
+    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(_meet(MARK_THRESHOLD, k, percent), "a long, b long")
+    links = links.unionByName(cross)
     parts = components(links, scratch)
 
     of_set = owner.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
