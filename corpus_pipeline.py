@@ -14,31 +14,34 @@ from factloom.llm.byte_bpe import encode_decode
 from factloom.llm.mixing import mixed_texts
 from factloom.llm.near_duplicates import near_duplicates
 from factloom.llm.registry import held_out, tokenizer
-from factloom.llm.substring_dedup import remove_repeated_windows
+from factloom.llm.substring_dedup import cut_rows
 from factloom.llm.textops import Scratch
-from factloom.llm.toxicity import score_toxicity
+from factloom.llm.toxicity import clean_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic. A doc_id goes if any of its rows is."""
+    """Rows not predicted toxic by their own text, whatever their doc_id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    toxic = score_toxicity(docs.select("doc_id", "text"), labels, ~held_out()).where("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(toxic, docs.doc_id.eqNullSafe(toxic.toxic_id), "left_anti")
+    return clean_rows(docs, labels, ~held_out())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; unlinked documents and those without doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(found, docs.doc_id == found.gone_id, "left_anti")
+    """One document of each near-duplicate group; unlinked documents and those without doc_id stay.
+
+    Where a doc_id holds several texts, each of them is a document, named by a hash of both.
+    """
+    text = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__several")).agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low < high").select("__several")
+    several = Scratch(spark, "several").keep(several)
+    own = docs.join(several, docs.doc_id == several["__several"], "left")
+    own = own.withColumn("__own", F.when(F.col("__several").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    found = near_duplicates(own.select(F.col("__own").alias("doc_id"), "text")).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    return own.join(found, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; text and n_chars of those with repeated windows are what is left, others keep theirs."""
-    cut = remove_repeated_windows(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cut_id")
-    met = docs.join(cut, docs.doc_id.eqNullSafe(cut.cut_id), "left")
-    changed = cut.kept_text.isNotNull()
-    new = {"text": cut.kept_text, "n_chars": F.length(cut.kept_text)}
-    return met.select(*[F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns])
+    return cut_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textops import Words
 
@@ -178,10 +180,12 @@ def _send_windows(width: int, gram: int, buckets: int):
     return run
 
 
-def _remove(width: int):
+def _remove(width: int, carry: pa.DataType | None = None):
+    """Rows of DONE; with `carry`, the type of the column row, (text, n_removed, row), text as it was where nothing is removed."""
+
     def run(group: pa.Table, back: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return _rows([], _DONE)
+            return _rows([], _DONE if carry is None else pa.schema([("text", pa.binary()), ("n_removed", pa.int64()), ("row", carry)]))
         ids, words, texts = _texts(group)
         starts, rows = _inside(words, width, 0)
         windows = words.windows(width)[starts]
@@ -202,7 +206,11 @@ def _remove(width: int):
         for i, (a, b) in enumerate(zip(words.first.tolist(), words.last.tolist(), strict=True)):
             kept = np.flatnonzero(~gone[a:b]) + a
             text = b" ".join([data[s:e] for s, e in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True)])
-            out.append((given[i], b - a, b - a - len(kept), text.decode()))
+            out.append((given[i], b - a, b - a - len(kept), text.decode() if carry is None else text))
+        if carry is not None:
+            was = group.column("text").to_pylist()
+            cut = pa.array([o[3] if o[2] else t for o, t in zip(out, was, strict=True)], pa.binary())
+            return pa.table({"text": cut, "n_removed": pa.array([o[2] for o in out], pa.int64()), "row": group.column("row")})
         return _rows(out, _DONE)
 
     return run
@@ -216,12 +224,30 @@ def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, gram: int = GR
     one space (empty for null, empty, blank and fully removed texts). A null doc_id counts as
     larger than all others. Extra columns are ignored; an empty table gives no rows.
     """
+    return _by_blocks(docs, width, gram, _remove(width), DONE)
+
+
+def cut_rows(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, with all their columns; text and n_chars of a row that loses words are those of its own kept_text."""
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
+    kind = docs.select(rest).schema["row"].dataType
+    schema = T.StructType([T.StructField("text", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("row", kind)])
+    done = _by_blocks(docs, width, gram, _remove(width, to_arrow_type(kind)), schema, rest)
+    text = F.col("text").cast(docs.schema["text"].dataType)
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        was = F.col("row").getField("n_chars")
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(was)
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _by_blocks(docs: DataFrame, width: int, gram: int, remove, schema, *more: Column) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks, buckets = SPREAD * parts, parts
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     by_block = dealt.groupBy("block")
     shared = by_block.applyInArrow(_send_anchors(width, gram, buckets), SENT).groupBy("bucket").applyInArrow(_shared, BACK)
     windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(width, gram, buckets), SENT)
     owners = windows.groupBy("bucket").applyInArrow(_owners, BACK)
-    return by_block.cogroup(owners.groupBy("block")).applyInArrow(_remove(width), DONE)
+    return by_block.cogroup(owners.groupBy("block")).applyInArrow(remove, schema)

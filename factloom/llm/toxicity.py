@@ -246,6 +246,22 @@ def _score(shared):
     return run
 
 
+def _clean(shared, at: int, threshold: float):
+    def run(batches):
+        lexicon = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def _learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: dict[int, int] | None):
+    """The lexicon learnt from labels, as a broadcast."""
+    decoder = Decoder(character_counts(docs))
+    lexicon = Lexicon(decoder).fit(labelled_sample(docs, labels.where(training), per_label or PER_LABEL))
+    return docs.sparkSession.sparkContext.broadcast(lexicon)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, per_label: dict[int, int] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, score (0 to 1), predicted (1 from `threshold` on).
 
@@ -253,8 +269,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, per_lab
     null are skipped. Null and empty texts score 0, as does every text if nothing can be
     learned. Repeated rows stay apart; extra columns are ignored; an empty table gives no rows.
     """
-    decoder = Decoder(character_counts(docs))
-    lexicon = Lexicon(decoder).fit(labelled_sample(docs, labels.where(training), per_label or PER_LABEL))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = _learn(docs, labels, training, per_label)
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return cols.mapInArrow(_score(shared), "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, training: Column, per_label: dict[int, int] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score_toxicity doesn't predict toxic; each row is judged by its own text."""
+    shared = _learn(docs.select("doc_id", "text"), labels, training, per_label)
+    return docs.mapInArrow(_clean(shared, docs.columns.index("text"), threshold), docs.schema)
