@@ -18,6 +18,9 @@ from factloom.llm.substring_dedup import cut_rows
 from factloom.llm.textops import Scratch
 from factloom.llm.toxicity import clean_rows
 
+#: Least similarity of the near-duplicates stage, in percent of the union of five-word shingles; op8's 85 binds that query only.
+PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows not predicted toxic by their own text, whatever their doc_id."""
@@ -35,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     several = Scratch(spark, "several").keep(several)
     own = docs.join(several, docs.doc_id == several["__several"], "left")
     own = own.withColumn("__own", F.when(F.col("__several").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
-    found = near_duplicates(own.select(F.col("__own").alias("doc_id"), "text")).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    found = near_duplicates(own.select(F.col("__own").alias("doc_id"), "text"), percent=PERCENT).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     return own.join(found, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 

@@ -9,15 +9,18 @@ coordinates share one of them). Every posting list first links its members to it
 the member whose keys are the most common. A list of n mutual near copies thus makes n-1
 candidates, not n^2. Then the members of a hub's lists that are not in its largest component
 meet the others of another component, so no link between components is left out: slices of
-outsiders stay in a task's memory while the hub's members stream past; pairs that agree in MARK_THRESHOLD of MARKS
+outsiders stay in a task's memory while the hub's members stream past; pairs that agree in enough of MARKS
 further coordinates are confirmed there on full shingle sets, and only links leave the task.
 
-Misses: a pair at similarity 0.85 fails 16 of 32 coordinates with probability under 1e-6, and
-190 of 256 with probability under 1e-5.
+Misses: how many coordinates and marks must agree follows from `percent`, so that a pair at
+exactly that similarity fails them with probability under MISS and MARK_MISS: 16 of 32 and
+190 of 256 at 85, 13 of 32 and 174 of 256 at 80.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .textops import Scratch, Words, chunks, constants, lower_ascii, mix, table
 
-COORDINATES, THRESHOLD, SHINGLE, PERCENT = 32, 16, 5, 85
-#: Further coordinates, kept as 8 bits each, and how many must agree.
-MARKS, MARK_THRESHOLD = 256, 190
+COORDINATES, SHINGLE, PERCENT = 32, 5, 85
+#: Further coordinates, kept as 8 bits each.
+MARKS = 256
+#: Probabilities that a pair at the least similarity has too few equal coordinates, or marks.
+MISS, MARK_MISS = 1e-6, 3e-6
 #: Shingles of the outsiders that one task holds in memory, about.
 OUTSIDER_SHINGLES = 2_000_000
 #: Members whose texts are compared with one hub's text in one task slice.
@@ -37,6 +42,16 @@ SLICE = 64
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("marks", pa.binary())])
 
 
+def agreeing(n: int, percent: int, miss: float, alike: float = 0.0) -> int:
+    """The largest count that n coordinates of a pair at `percent` stay below with probability under `miss`; unequal minima agree with probability `alike`."""
+    p = percent / 100
+    p += (1 - p) * alike
+    below, t = 0.0, 0
+    while t < n and (below := below + math.comb(n, t) * p**t * (1 - p) ** (n - t)) < miss:
+        t += 1
+    return max(1, t)
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than k words make one shingle, none an empty set."""
     words = Words(lower_ascii(texts))
@@ -175,7 +190,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return met.mapInArrow(_compare(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, threshold: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts whose shingle sets meet ``100 * |A & B| >= percent * |A | B|`` are linked. Null, empty
@@ -183,6 +198,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     a repeated row gets the same values as its first. A row without doc_id forms no link
     and has a null component. Extra columns are ignored; an empty table gives no rows.
     """
+    threshold = threshold or agreeing(coordinates, percent, MISS)
+    marks_alike = agreeing(MARKS, percent, MARK_MISS, 1 / 256)
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.keep(signatures(docs, k, coordinates))
     owner = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
@@ -222,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     both = odd.unionByName(rest).join(owner.select("rep", "marks"), "rep")
     both = both.hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(F.xxhash64("a", "s").alias("g"), "rep", "part", "kind", "marks", "text")
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(_meet(MARK_THRESHOLD, k, percent), "a long, b long")
+    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(_meet(marks_alike, k, percent), "a long, b long")
     links = links.unionByName(cross)
     parts = components(links, scratch)
 

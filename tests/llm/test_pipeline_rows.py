@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from factloom.llm import near_duplicates
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,3 +59,36 @@ def test_cut_rows(spark):
     assert got.schema.simpleString() == docs.schema.simpleString()
     made = [(i, want.get(j, t), "en", f"src{j % 2}", len(want.get(j, t) or "")) for j, (i, t) in enumerate(rows)]
     assert bag(got) == Counter(made)
+
+
+def test_near_duplicates_from_80(spark):
+    rng = random.Random(9)
+    rows, base = [], words(7, 200)
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(200)] = f"e{i}-{rng.random()}"
+        rows.append((i, " ".join(w)))
+    a, b = words(8, 104), words(10, 104)
+    rows += [(100, " ".join(a)), (101, " ".join([*a[:-11], *words(11, 11)])), (102, " ".join(b)), (103, " ".join([*b[:-12], *words(12, 12)]))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shares = {}
+    for x in sets:
+        for y in sets:
+            k = len(sets[x] & sets[y])
+            if y < x and 100 * k >= 80 * (len(sets[x]) + len(sets[y]) - k):
+                shares[x, y] = k / (len(sets[x]) + len(sets[y]) - k)
+                p, q = find(x), find(y)
+                root[max(p, q)] = min(p, q)
+    assert 0.8 <= shares[101, 100] < 0.81 and (103, 102) not in shares
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert {r.doc_id for r in got.collect()} == {i for i in sets if find(i) == i}
+    assert [near_duplicates.agreeing(32, p, near_duplicates.MISS) for p in (85, 80)] == [16, 13]
+    assert [near_duplicates.agreeing(256, p, near_duplicates.MARK_MISS, 1 / 256) for p in (85, 80)] == [190, 174]
