@@ -41,8 +41,13 @@ _TAIL = re.compile(r"^[^\w@$]*|[^\w]+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\W\d_][\d@$!|+(€£]|[\d@$!|+(€£][^\W\d_]|([^\W\d_])\1\1")
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"\b[^\W_](?:[ .\-_*]{1,2}[^\W_]\b){2,}")
-_GAP = re.compile(r"[ .\-_*]+")
+#: A single letter, digit or symbol of LEET, and what sets them apart: white space, also of no width, and some punctuation.
+_UNIT, _APART = r"(?:[^\W_]|[@$!|+(€£])", r"[\s\u200b-\u200d\u2060\ufeff.\-_*]"
+_SPACED = re.compile(rf"(?<![^\W_]){_UNIT}(?:{_APART}{{1,2}}{_UNIT}(?![^\W_])){{2,}}")
+_GAP, _WIDE = re.compile(rf"{_APART}+"), re.compile(rf"{_APART}{{2}}")
+_PUNCTUATION = re.compile(r"[^\w@$!|+(€£]+")
+#: A letter is a word by itself if this share of the words that start with it are.
+_ALONE = 0.05
 
 
 def _symbol(c: str) -> int:
@@ -59,9 +64,10 @@ class Decoder:
         bigram = (pair + 20 * unigram) / (pair.sum(1, keepdims=True) + 20)
         trigram = (cube + 20 * bigram[None]) / (cube.sum(2, keepdims=True) + 20)
         self.log = np.log(trigram)
+        self.alone = {chr(96 + x) for x in range(1, 27) if cube[0, x, 0] > _ALONE * cube[0, x].sum()}
 
-    def restore(self, token: str) -> str:
-        """The likeliest reading of a lower-cased token without spaces."""
+    def restore(self, token: str, breaks: bool = False) -> str:
+        """The likeliest reading of a lower-cased token without spaces; with `breaks`, a word may end after any letter."""
         runs, i = [], 0
         while i < len(token):
             j = i + 1
@@ -69,8 +75,9 @@ class Decoder:
                 j += 1
             runs.append((token[i], j - i))
             i = j
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for char, count in runs:
+        # a reading is a chain (output, chain before it), so a step costs the same at any length
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for at, (char, count) in enumerate(runs):
             options: list[tuple[str, float]] = []
             letters = char if char.isalpha() else LEET.get(char, "")
             change = 0.0 if char.isalpha() else _COST - math.log(max(1, len(letters)))
@@ -78,10 +85,14 @@ class Decoder:
                 options.append((x, change + (_SINGLE if count == 2 else 0.0)))
                 if count > 1:
                     options.append((x + x, change + (0.0 if count == 2 else _DOUBLE)))
+                    if breaks:
+                        options.append((x + " " + x, change))
+            if breaks and at:
+                options += [(" " + out, cost) for out, cost in options]
             if not char.isalpha():
                 options.append((" ", _KEEP))
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, chain) in best.items():
                 for out, cost in options:
                     p, q, s = a, b, score + cost
                     for x in out:
@@ -89,32 +100,48 @@ class Decoder:
                         s += self.log[p, q, r]
                         p, q = q, r
                     if (p, q) not in step or s > step[p, q][0]:
-                        step[p, q] = (s, text + out)
+                        step[p, q] = (s, (out, chain))
             best = step
-        return max((s + self.log[a, b, 0], t) for (a, b), (s, t) in best.items())[1].strip()
+        chain = max(((s + self.log[a, b, 0], c) for (a, b), (s, c) in best.items()), key=lambda x: x[0])[1]
+        outs = []
+        while chain:
+            out, chain = chain
+            outs.append(out)
+        return "".join(reversed(outs)).strip()
 
     def readings(self, token: str) -> list[str]:
-        """Words of a token after restoration."""
+        """Words of a token after restoration; punctuation that stands for no letter parts the token."""
         token = token.lower()
         if token.isalpha() and not _TRIPLE.search(token):
             return [token]
-        core = _EDGES.sub("", token)
-        if not _ODD.search(core):
-            return _LETTERS.findall(token)
-        bare = _TAIL.sub("", core)
-        words = _LETTERS.findall(bare)
-        # symbols that only enclose a word are read both as letters and as punctuation
-        for part in {core, bare}:
-            if 2 < len(part) <= 64 and _ODD.search(part):
-                words += self.restore(part).split()
+        words: list[str] = []
+        for piece in _PUNCTUATION.split(token):
+            core = _EDGES.sub("", piece)
+            if not _ODD.search(core):
+                words += _LETTERS.findall(piece)
+                continue
+            bare = _TAIL.sub("", core)
+            words += _LETTERS.findall(bare)
+            # symbols that only enclose a word are read both as letters and as punctuation
+            for part in {core, bare}:
+                if len(part) > 2 and _ODD.search(part):
+                    words += self.restore(part).split()
         return words
 
     def spaced(self, text: str) -> list[str]:
-        """Readings of runs of single letters; a run of any length is read as a whole."""
+        """Readings of runs of single letters: of the whole, with and without breaks, of what wider gaps part, and without a one-letter word at an end."""
         out = []
         for m in _SPACED.finditer(text):
-            letters = _GAP.sub("", m.group()).lower()
-            out += self.restore(letters).split()
+            run = m.group().lower()
+            for part in dict.fromkeys([run, *_WIDE.split(run)]):
+                letters = _GAP.sub("", part)
+                if len(letters) < 3:
+                    continue
+                out += self.restore(letters).split() + self.restore(letters, breaks=True).split()
+                if letters[0] in self.alone and len(letters) > 3:
+                    out += self.restore(letters[1:]).split()
+                if letters[-1] in self.alone and len(letters) > 3:
+                    out += self.restore(letters[:-1]).split()
         return out
 
 
