@@ -164,6 +164,26 @@ def test_byte_bpe(spark, docs, nothing):
     digest = {r.doc_id: r for r in byte_bpe.encode_decode(all_, path, P.PATTERN, digest=True).collect()}
     assert all(digest[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and digest[i].n_tokens == len(ids) for i, ids in want.items())
     assert byte_bpe.encode_decode(nothing, path, P.PATTERN, digest=True).count() == 0
+    again = [(None, "one two"), (None, "one two"), (7, "one two"), (7, None), (7, " ".join(f"long{i % 977}" for i in range(9000)))]
+    odd = spark.createDataFrame(again, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("block", F.lit(1))
+    for size in (50, 1 << 24):  # texts larger than a block, and cut in stretches
+        for stretch in (7, 1 << 20):
+            got = byte_bpe.encode_decode(odd, path, P.PATTERN, block_bytes=size, stretch=stretch).collect()
+            assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=str) == sorted(((i, ref.encode_ordinary(t or ""), (t or "").encode()) for i, t in again), key=str)
+        digests = byte_bpe.encode_decode(odd, path, P.PATTERN, digest=True, block_bytes=size, stretch=5).collect()
+        assert sorted(((r.doc_id, r.ids_sha256) for r in digests), key=str) == sorted(((i, hashlib.sha256(",".join(map(str, ref.encode_ordinary(t or ""))).encode()).hexdigest()) for i, t in again), key=str)
+
+
+def test_places_reach_all_buckets():
+    """Blocks of many tasks don't meet in a few buckets."""
+    import pyarrow as pa
+
+    from factloom.llm.byte_bpe import _PLACES, _cut
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([f"text {i} here" for i in range(400)])], names=["doc_id", "text"])
+    found = [r for out in _cut(r"\w+|\s+", 16, 30, 1 << 20)([batch]) for r in out.to_pylist() if r["kind"] == _PLACES]
+    shares = Counter(r["bucket"] for r in found)
+    assert len(shares) == 16 and max(shares.values()) < 3 * len(found) / 16
 
 
 def test_squeeze():
@@ -172,7 +192,12 @@ def test_squeeze():
         raw = (rng.pareto(0.6, n) * 3).astype(np.int64)
         seen = {}
         places = np.array([seen.setdefault(int(x), len(seen)) for x in raw], np.uint32)
-        assert (byte_bpe.expand(byte_bpe.squeeze(places, len(seen))) == places).all()
+        assert (byte_bpe.expand(byte_bpe.squeeze(places, len(seen), 0)) == places).all()
+        half = n // 2
+        known = int(places[:half].max(initial=0)) + 1 if half else 0
+        assert (byte_bpe.expand(byte_bpe.squeeze(places[half:], len(seen), known)) == places[half:]).all()
+    words = sorted({b"", b"a", b"ab", b"abc", b"b" * 300, b"b" * 299 + b"c", "é".encode()})
+    assert list(byte_bpe.unfront(byte_bpe.front(words))) == words and list(byte_bpe.unfront(byte_bpe.front([]))) == []
 
 
 def test_suffix_automaton():
