@@ -115,10 +115,16 @@ class Mix:
         schema = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("s", T.IntegerType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("begins", T.ArrayType(T.LongType())))])
         # sources x buckets numbers: bounded by what the driver just summed
         plan = self.spark.createDataFrame([(v, i, self.sizes[i], self.targets[i], before[i].tolist()) for i, v in enumerate(names)], schema)
-        order = W.partitionBy("source", "bucket").orderBy("doc_id", "content").rowsBetween(W.unboundedPreceding, -1)
-        laid = sized.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0)))
+        order = W.partitionBy("source", "bucket").orderBy("doc_id", "content")
+        laid = sized.withColumn("within", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        laid = laid.withColumn("copy", (F.row_number().over(order) - F.rank().over(order)).cast("int"))
         laid = laid.join(F.broadcast(plan.withColumnRenamed("source", "name")), laid.source.eqNullSafe(F.col("name")))
-        self.laid = laid.select("doc_id", "source", "content", "size", "s", "source_size", "target", (F.element_at("begins", F.col("bucket") + 1) + F.col("within")).alias("begin"))
+        self.plan = plan
+        self.laid = laid.select("doc_id", "source", "content", "copy", "size", "s", "source_size", "target", (F.element_at("begins", F.col("bucket") + 1) + F.col("within")).alias("begin"))
+
+    def names(self) -> DataFrame:
+        """(s, source), one row a source."""
+        return F.broadcast(self.plan.select("s", "source"))
 
     def slots(self) -> DataFrame:
         """(shard, slot, s, index): the block each slot of the output takes."""
@@ -139,44 +145,49 @@ class Mix:
         return self.slots().groupBy("s", "index").agg(F.count("*").cast("int").alias("uses"))
 
     def pieces(self) -> DataFrame:
-        """(doc_id, content, ..., index, from_word, words, uses) for each document and block it reaches into."""
+        """(s, doc_id, content, copy, index, from_word, words, uses) for each row and block it reaches into; copy numbers rows that repeat source, doc_id and text."""
         b = self.block
         reach = self.laid.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))))
         lo, hi = F.greatest("begin", F.col("index") * b), F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * b)
-        cut = reach.select("doc_id", "content", "s", "index", (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("words"))
+        cut = reach.select("doc_id", "content", "copy", "s", "index", (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("words"))
         # written first: joined in place, the permutation's rounds take the optimizer hundreds of MB
         return cut.join(Scratch(self.spark, "mixing").keep(self.uses()), ["s", "index"])
 
 
+_ROW = ("s", "doc_id", "content", "copy")
+
+
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs (doc_id, source, text): doc_id, size, source_size, target, taken.
 
     taken counts the words the mix takes, repeats included: at most twice size. Null and empty texts
-    have size 0 and give nothing. Rows that repeat doc_id and text share evenly in what their copies give (the total
-    is exact, the split by row order). A null source is a source of its own, last in order; extra columns are
+    have size 0 and give nothing. Rows that repeat source, doc_id and text are numbered and each
+    stands in the stream for itself. A null source is a source of its own, last in order; extra columns are
     ignored; an empty table gives no rows.
     """
     mix = Mix(docs, **options)
-    taken = mix.pieces().groupBy("doc_id", "content").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    copies = mix.laid.withColumn("copies", F.count("*").over(W.partitionBy("doc_id", "content"))).withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "content").orderBy("begin")) - 1)
-    t = taken.select(F.col("doc_id").alias("t_id"), F.col("content").alias("t_content"), "taken")
-    out = copies.join(t, copies.doc_id.eqNullSafe(t.t_id) & copies.content.eqNullSafe(t.t_content), "left")
-    total = F.coalesce("taken", F.lit(0))
-    share = F.floor(total / F.col("copies")) + F.when(F.col("copy") < total % F.col("copies"), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+    t = mix.pieces().groupBy(*[F.col(c).alias(f"t_{c}") for c in _ROW]).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in _ROW]
+    out = mix.laid.join(t, [*same], "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """docs as mixed: for each pass p over a document, a row with the words of its blocks taken at least p times.
+    """docs as mixed: for each pass p over a row, a row with the words of its blocks taken at least p times.
 
     Blocks join by index and a row's words by one space; other columns keep their values, n_chars is that of the
-    new text. A document of which nothing is taken has no row, among them null, empty and blank texts. Rows that repeat doc_id and text are
-    one document. Columns: those of docs.
+    new text. A row of which nothing is taken gives none, among them null, empty and blank texts. Rows that repeat source, doc_id
+    and text each give their own words, numbered by their other plain columns. Columns: those of docs.
     """
     mix = Mix(docs, **options)
-    pieces = mix.pieces().groupBy("doc_id", "content").agg(F.collect_list(F.struct("from_word", "words", "uses")).alias("__mix_taken"))
-    t = pieces.select(F.col("doc_id").alias("__mix_id"), F.col("content").alias("__mix_content"), "__mix_taken")
-    met = docs.withColumn("__mix_key", F.xxhash64("text")).join(t.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_key") == F.col("__mix_content")))
+    pieces = mix.pieces().join(mix.names(), "s").groupBy("doc_id", "content", "copy", "source").agg(F.collect_list(F.struct("from_word", "words", "uses")).alias("__mix_taken"))
+    t = pieces.select(F.col("doc_id").alias("__mix_id"), F.col("content").alias("__mix_content"), F.col("copy").alias("__mix_number"), F.col("source").alias("__mix_of"), "__mix_taken")
+    given, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    plain = [f.name for f in docs.schema if f.name not in ("doc_id", "text", "source") and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    keyed = docs.withColumn("__mix_key", F.xxhash64("text"))
+    one = W.partitionBy(given, source, "__mix_key").orderBy(*[F.col(f"`{c}`") for c in plain] or [F.lit(0)])
+    keyed = keyed.withColumn("__mix_copy", F.row_number().over(one) - 1)
+    met = keyed.join(t.hint("merge"), given.eqNullSafe(F.col("__mix_id")) & source.eqNullSafe(F.col("__mix_of")) & (F.col("__mix_key") == F.col("__mix_content")) & (F.col("__mix_copy") == F.col("__mix_number")))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     most = F.array_max(F.transform("__mix_taken", lambda x: x["uses"]))
     passes = met.withColumn("__mix_words", words).withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), most)))
@@ -185,4 +196,4 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     made = passes.withColumn("text", text)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])

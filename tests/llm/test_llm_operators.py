@@ -353,6 +353,46 @@ def test_mixing(spark, docs, rows, nothing):
     assert mixing.mix_sources(nothing).count() == 0 and mixing.mixed_texts(nothing).count() == 0
 
 
+def brute_mix(mix):
+    """Words taken of each row, from the slots as drawn: streams laid out, cut in blocks, and looked up by index."""
+    laid = [r.asDict() for r in mix.laid.collect()]
+    out = Counter()
+    uses = Counter()
+    for r in mix.slots().collect():
+        uses[r["s"], r["index"]] += 1
+    for s in {r["s"] for r in laid}:
+        stream = {}
+        for r in (r for r in laid if r["s"] == s):
+            for k in range(r["size"]):
+                assert r["begin"] + k not in stream
+                stream[r["begin"] + k] = (r["doc_id"], r["content"], r["copy"])
+        assert sorted(stream) == list(range(len(stream)))
+        for at, row in stream.items():
+            out[(s, *row)] += uses[s, at // mix.block]
+    return {(r["s"], r["doc_id"], r["content"], r["copy"]): (r["size"], out[r["s"], r["doc_id"], r["content"], r["copy"]]) for r in laid}
+
+
+def test_mixing_by_brute_force(spark, docs):
+    mix = mixing.Mix(docs, block=8, shards=5)
+    want = Counter((k[1], *v) for k, v in brute_mix(mix).items())
+    assert Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix_sources(docs, block=8, shards=5).collect()) == want
+    drawn = mix.draws.sum(0).tolist()
+    assert [sum(1 for r in mix.slots().collect() if r["s"] == s) for s in range(len(drawn))] == drawn
+
+
+def test_mixing_of_repeated_rows(spark):
+    text = " ".join(f"a{i}" for i in range(50))
+    rows = [(1, text, "x", 0), (1, text, "x", 1), (1, text, "y", 2), (None, text, None, 3), (None, text, None, 4), (None, None, "x", 5), (2, " ", "x", 6)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("copy", F.lit("clash")).withColumn("s", F.lit(1))
+    got = mixing.mix_sources(odd, block=8).collect()
+    assert len(got) == 7 and all(r.taken <= 2 * r["size"] for r in got)
+    mixed = mixing.mixed_texts(odd, block=8).collect()
+    assert sum(r.taken for r in got) == sum(len(r.text.split()) for r in mixed) and mixed[0].asDict().keys() == {*odd.columns}
+    for r in mixed:  # words of one row stand once in a pass, in text order
+        at = [int(w[1:]) for w in r.text.split()]
+        assert at == sorted(set(at)) and r.n_chars == len(r.text)
+
+
 def test_targets_and_permutation(spark):
     assert mixing.fill_targets([10, 100], [3, 1], 1.5, 2) == [20.0, 145.0]
     assert mixing.fill_targets([], [], 1.5, 2) == []
