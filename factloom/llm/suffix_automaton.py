@@ -8,7 +8,7 @@ from collections.abc import Hashable, Iterable, Iterator
 class SuffixAutomaton:
     """Recognises every run of tokens of every added sequence; at most two states for each token added.
 
-    `places[state]` maps a sequence's number to the index after one of its occurrences of the
+    `places[state]` maps a sequence's number to the indexes, in order, after each of its occurrences of the
     state's strings.
     """
 
@@ -16,7 +16,7 @@ class SuffixAutomaton:
         self.next: list[dict[Hashable, int]] = [{}]
         self.link: list[int] = [-1]
         self.length: list[int] = [0]
-        self.places: list[dict[int, int]] = [{}]
+        self.places: list[dict[int, list[int]]] = [{}]
         self.sizes: list[int] = []
 
     def _state(self, length: int, after: dict, link: int) -> int:
@@ -51,18 +51,21 @@ class SuffixAutomaton:
     def add(self, tokens: Iterable[Hashable]) -> int:
         """Adds a sequence and returns its number."""
         number, last, n = len(self.sizes), 0, 0
-        ends = []
         for token in tokens:
             last = self._extend(last, token)
             n += 1
-            ends.append(last)
         self.sizes.append(n)
-        for end, state in enumerate(ends, 1):
-            while state > 0 and number not in self.places[state]:
-                self.places[state][number] = end
-                state = self.link[state]
         return number
 
+    def place(self, sequences: Iterable[Iterable[Hashable]]) -> None:
+        """Fills `places` for the added sequences, given again in order: to be called once, after the last add()."""
+        for number, tokens in enumerate(sequences):
+            state = 0
+            for end, token in enumerate(tokens, 1):
+                state = self.next[state][token]
+                for s in self.ancestors(state):
+                    self.places[s].setdefault(number, []).append(end)
+
     def state_of(self, tokens: Iterable[Hashable]) -> int:
         """The state that holds a run of tokens, or -1."""
         state = 0
