@@ -9,8 +9,9 @@ stays empty needlessly.
 For 100 TB: group sizes stay in a table. The driver sees sums over key prefixes (16^3 at first) and refines only
 prefixes into which a cut may fall, one hexadecimal digit at a time, until they hold at most
 `fine_rows` groups; then it reads those groups' sizes. Rows find their shard by comparing keys with the 23
-cut keys, without a join, and their slot from bucket counts and a window inside a bucket; buckets
-of a hot group are salted by doc_id.
+cut keys, without a join, and their slot from a range partitioning by shard, key, doc_id and row, so
+that no group, however large, or doc_id is one task's: the driver sums rows by range and
+shard, a window numbers them inside a range.
 """
 
 from __future__ import annotations
@@ -19,15 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .textops import Scratch
 
 SHARDS, EXTRA = 24, 8
 #: Groups that the driver may hold while it places the cuts.
 FINE_ROWS = 200_000
-#: Rows that a slot bucket may hold before it is salted.
-BUCKET_ROWS = 500_000
 
 
 def greedy(prefix: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -71,12 +69,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, fine_rows: int = FINE
 
     size is the text's UTF-8 bytes plus 8. Law `bytes`: sizes of shards are as equal as whole groups
     of equal texts allow. A null text has size 8, no crc, and groups with other nulls; an empty text is a group apart. slot
-    numbers a shard's rows without gaps from 0, groups together, then by doc_id; repeated rows get slots of their own. With fewer
+    numbers a shard's rows without gaps from 0, groups together, then by doc_id, null first; repeated rows get slots of their own. With fewer
     groups than shards some stay empty. Extra columns are ignored; an empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sharding")
     raw = F.col("text").cast("binary")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.coalesce(F.sha2(raw, 256), F.lit("")).alias("sha"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.coalesce(F.sha2(raw, 256), F.lit("")).alias("sha"), F.monotonically_increasing_id().alias("tie"))
     keyed = scratch.keep(keyed)
     groups = scratch.keep(keyed.groupBy("sha").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
     total = groups.agg(F.sum("size")).first()[0] or 0
@@ -111,20 +109,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, fine_rows: int = FINE
     rank = F.concat(F.when(F.col("sha").isin(names), "0").otherwise("1") if names else F.lit("1"), F.col("sha"))
     shard = sum((F.when(rank >= b, 1).otherwise(0) for b in bounds), F.lit(0))
 
-    placed = keyed.withColumn("rank", rank).withColumn("shard", shard.cast("int")).withColumn("stem", F.substring("rank", 1, 4))
-    # a key's rows are consecutive only inside a salt; hot keys alone are salted
-    hot = [r["sha"] for r in groups.where(F.col("rows") > BUCKET_ROWS).select("sha").collect()]
-    salt = F.when(F.col("sha").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0) if hot else F.lit(0)
-    placed = placed.withColumn("salt", salt.cast("int"))
-    counts = placed.groupBy("shard", "stem", "salt").agg(F.count("*").alias("n")).collect()  # at most 4096 stems and 64 salts a hot key
+    order = ["shard", "rank", "doc_id", "tie"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = keyed.withColumn("rank", rank).withColumn("shard", shard.cast("int")).drop("sha")
+    placed = scratch.keep(placed.repartitionByRange(parts, *order).withColumn("span", F.spark_partition_id()))
+    counts = placed.groupBy("shard", "span").agg(F.count("*").alias("n")).collect()  # at most a row a range and a row a cut
     begin, at, last = [], 0, None
-    for r in sorted(counts, key=lambda r: (r["shard"], r["stem"], r["salt"])):
+    for r in sorted(counts, key=lambda r: (r["shard"], r["span"])):
         at = 0 if r["shard"] != last else at
-        begin.append((r["shard"], r["stem"], r["salt"], at))
+        begin.append((r["shard"], r["span"], at))
         at, last = at + r["n"], r["shard"]
-    offsets = spark.createDataFrame(begin, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("stem", T.StringType()), T.StructField("salt", T.IntegerType()), T.StructField("begin", T.LongType())]))
-    inside = F.row_number().over(W.partitionBy("shard", "stem", "salt").orderBy("rank", "doc_id")) - 1
-    out = placed.withColumn("inside", inside).join(F.broadcast(offsets), ["shard", "stem", "salt"])
+    offsets = spark.createDataFrame(begin, "shard int, span int, begin long")
+    inside = F.row_number().over(W.partitionBy("shard", "span").orderBy(*order[1:])) - 1
+    out = placed.withColumn("inside", inside).join(F.broadcast(offsets), ["shard", "span"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
