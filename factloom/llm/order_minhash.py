@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .textops import Scratch
 
 K, SKETCHES = 2, 32
-#: Bits for a word's place; texts of 2^26 words and more share the last place.
+#: Bits for a word's place; a text of more than 2^26 words has its places in units of as many words as that takes.
 _PLACE = 26
 
 
@@ -28,31 +28,33 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fingerprint(text: Column, k: int = K, sketches: int = SKETCHES) -> Column:
+def fingerprint(text: Column, k: int = K, sketches: int = SKETCHES, place_bits: int = _PLACE) -> Column:
     """array<bigint> of `sketches` hashes, null where neither part has a member.
 
     Words are separated by the characters 0x20 and 0x09-0x0D. Fewer than k words make one k-mer;
-    null, empty and blank texts have a fingerprint of nulls. Equal texts have equal fingerprints.
+    null, empty and blank texts have a fingerprint of nulls. Equal texts have equal fingerprints. Every word of a text of any length enters:
+    beyond 2^place_bits words, selected k-mers less than a place's unit apart count as in hash order.
     """
     parts = 2 * sketches
-    top, mask = (parts - 1).bit_length(), (1 << _PLACE) - 1
+    top, mask = (parts - 1).bit_length(), (1 << place_bits) - 1
     words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
     def hashed(w: Column) -> Column:
         # k-mer hash in the high bits, place in the low ones; sorted, equal k-mers stand together in text order
         last = F.greatest(F.size(w) - k, F.lit(0))
         kmer = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
-        packed = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(F.shiftrightunsigned(kmer(i), _PLACE), _PLACE).bitwiseOR(F.least(i, F.lit(mask)).cast("long")))
-        return F.when(F.size(w) > 0, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>"))
+        at = lambda place: F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(F.shiftrightunsigned(kmer(i), place_bits), place_bits).bitwiseOR(place(i).cast("long"))))
+        unit = F.ceil(F.size(w) / (mask + 1))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) <= mask + 1, at(lambda i: i)).otherwise(at(lambda i: F.floor(i / unit)))
 
     def numbered(p: Column) -> Column:
         # runs of one k-mer: (first index of each), then every member's number in its run enters its hash
         n = F.size(p)
-        same = lambda a, b: F.shiftrightunsigned(a, _PLACE) == F.shiftrightunsigned(b, _PLACE)
+        same = lambda a, b: F.shiftrightunsigned(a, place_bits) == F.shiftrightunsigned(b, place_bits)
         new = F.filter(F.transform(p, lambda x, i: F.when((i > 0) & same(x, F.get(p, i - 1)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
 
         def runs(starts: Column) -> Column:
-            member = lambda s, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(F.get(p, i), _PLACE), i - s), _PLACE), _PLACE).bitwiseOR(F.get(p, i).bitwiseAND(F.lit(mask)))
+            member = lambda s, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(F.get(p, i), place_bits), i - s), place_bits), place_bits).bitwiseOR(F.get(p, i).bitwiseAND(F.lit(mask)))
             return F.flatten(F.transform(starts, lambda s, j: F.transform(F.sequence(s, F.coalesce(F.get(starts, j + 1), n) - 1), lambda i: member(s, i))))
 
         return F.when(n > 0, _let(new, runs)).otherwise(p)
@@ -68,7 +70,7 @@ def fingerprint(text: Column, k: int = K, sketches: int = SKETCHES) -> Column:
             def one(j: Column) -> Column:
                 a, b = F.try_element_at(t, 2 * j), F.try_element_at(t, 2 * j + 1)
                 place = lambda x: x.bitwiseAND(F.lit(mask))
-                name = lambda x: F.shiftrightunsigned(x, _PLACE)
+                name = lambda x: F.shiftrightunsigned(x, place_bits)
                 ordered = F.when(place(a) <= place(b), F.xxhash64(name(a), name(b), F.lit(0))).otherwise(F.xxhash64(name(b), name(a), F.lit(1)))
                 return F.when(a.isNotNull() & b.isNotNull(), ordered).when(a.isNotNull(), F.xxhash64(name(a))).when(b.isNotNull(), F.xxhash64(name(b)))
 
