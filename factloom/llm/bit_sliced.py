@@ -47,7 +47,7 @@ class BlockIndex:
 
     def scores(self, query: list[int]) -> tuple[list[int], int]:
         """(score slices, least first; what to add to the number they spell)."""
-        columns: list[list[int]] = [[] for _ in range(self.bits + 64)]
+        columns: list[list[int]] = [[] for _ in range(self.bits + max((abs(q).bit_length() for q in query), default=0) + len(query).bit_length() + 3)]
         base = 0
         for q, planes in zip(query, self.slices, strict=True):
             base += q * self.low
@@ -136,15 +136,17 @@ def _pack(group: pa.Table) -> pa.Table:
 def top_k(rows: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE, block_rows: int = BLOCK_ROWS, slice_queries: int = SLICE_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows of `rows` (vec_id, embedding).
 
-    Components become floor(scale * x). Vectors that are null, empty, or hold a null or non-finite component or one beyond
-    2^31 after scaling take no part, nor do rows without vec_id. Vectors meet those of their own length. A query id that
+    Components become floor(scale * x). Vectors that are null, empty, or hold a null or non-finite component
+    take no part, nor do rows without vec_id. A component of 2^62 or more after scaling, and a result's score beyond a
+    long, is an error. Vectors meet those of their own length. A query id that
     repeats asks once, with its smallest vector; repeated candidate rows each count. A query without
     candidates gives no row. Extra columns are ignored; an empty table gives no rows.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale))
-    sound = F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) * scale < float(1 << 31)), F.lit(False)))
+    far = F.raise_error(F.lit("top_k: a scaled component of 2^62 or more has no score that fits a long"))
+    x = F.transform("embedding", lambda v: F.when(F.abs(v.cast("double")) * scale < float(1 << 62), F.floor(v.cast("double") * scale)).otherwise(far))
+    sound = F.forall("embedding", lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)))
     fit = rows.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & sound)
     fit = fit.select(F.col("vec_id").cast("long").alias("id"), F.size("embedding").alias("width"), x.alias("q"), is_query.alias("asks"))
     sizes = fit.groupBy("width").agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).collect()  # one row per vector length
