@@ -143,12 +143,12 @@ def _predict(model_of):
 
 
 def sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """(text, lang) of about `per_language` rows of each language, chosen by a hash of the text."""
+    """(text, lang) of about `per_language` different texts of each language, chosen by a hash of the text; all, where there are no more."""
     rows = docs.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()
     if not sizes:
         return []
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["n"]))])
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     return sorted((r["text"], r["lang"]) for r in rows.where(chosen).select("text", "lang").distinct().collect())
 
