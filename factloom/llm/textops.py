@@ -9,6 +9,7 @@ so reruns and other machines agree.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -118,11 +119,12 @@ def lower_ascii(texts: Iterable[bytes]) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode (tests), an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="factloom-"))
-        _LOCAL.setdefault("own", found)
     return found.rstrip("/")
 
 
@@ -132,34 +134,43 @@ _LOCAL: dict[str, str] = {}
 def _forget() -> None:
     import shutil
 
-    shutil.rmtree(_LOCAL.get("own", "/nonexistent"), ignore_errors=True)
+    shutil.rmtree(_LOCAL.get("dir", "/nonexistent"), ignore_errors=True)
 
 
 atexit.register(_forget)
 
 
 class Scratch:
-    """Intermediate tables written as Parquet to the shared folder; each cuts the lineage before it."""
+    """Intermediate tables written as Parquet to the shared folder; each cuts the lineage before it.
+
+    A lazy result still reads its operator's tables, so only who has consumed it can drop them: see opened() and drop().
+    """
+
+    _opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        Scratch._opened.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for f in frames:
-            p = jvm.org.apache.hadoop.fs.Path(f._scratch_path)
-            p.getFileSystem(conf).delete(p, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @classmethod
+    def opened(cls) -> int:
+        """A mark for drop()."""
+        return len(cls._opened)
+
+    @classmethod
+    def drop(cls, since: int) -> None:
+        """Deletes the tables of all that was opened since the mark; their readers must be done."""
+        for s in cls._opened[since:]:
+            p = s.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.root)
+            p.getFileSystem(s.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        del cls._opened[since:]
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
