@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -207,15 +208,16 @@ def test_suffix_automaton():
         a = suffix_automaton.SuffixAutomaton()
         for s in seqs:
             a.add(s)
+        a.place(seqs)
         runs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
         stream = [rng.choice("abcd") for _ in range(20)]
         state = length = 0
         for e, token in enumerate(stream, 1):
             state, length = a.step(state, length, token)
             assert length == max((n for n in range(1, e + 1) if tuple(stream[e - n : e]) in runs), default=0)
-            for number, end in a.places[state].items():
-                if length:
-                    assert tuple(seqs[number][end - length : end]) == tuple(stream[e - length : e])
+            if length:
+                tail = stream[e - length : e]
+                assert {n: p for n, p in a.places[state].items()} == {n: at for n, s in enumerate(seqs) if (at := [i for i in range(length, len(s) + 1) if s[i - length : i] == tail])}
 
 
 def test_license_scan(spark, nothing):
@@ -230,6 +232,74 @@ def test_license_scan(spark, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def brute_spans(words, wordings, min_match, min_cover, max_gap):
+    """Spans by the definition: runs of words that stand in a wording, chained left to right for each wording, the widest first."""
+    every = [(label, t.split()) for label, texts in wordings.items() for t in texts]
+    stands = lambda run, t: [i + len(run) for i in range(len(t) - len(run) + 1) if t[i : i + len(run)] == run]
+    longest = [max((n for n in range(1, e + 1) if any(stands(words[e - n : e], t) for _, t in every)), default=0) for e in range(len(words) + 1)]
+    ends = [e for e in range(1, len(words) + 1) if longest[e] and (e == len(words) or longest[e + 1] <= longest[e])]
+    found = []
+    for number, (label, t) in enumerate(every):
+        chains = []
+        for e in ends:
+            n = longest[e]
+            places = stands(words[e - n : e], t)
+            if n < min_match or not places:
+                continue
+            if chains:
+                start, end, covered, place = chains[-1]
+                over = max(0, end - (e - n))
+                after = [p for p in places if p - (n - over) >= place]
+                if e - n - end <= max_gap and after:
+                    chains[-1] = (start, e, covered + n - over, after[0])
+                    continue
+            chains.append((e - n, e, n, places[0]))
+        found += [(c, s, e, number) for s, e, c, _ in chains if c >= min_cover * len(t)]
+    out = []
+    for c, s, e, number in sorted(found, key=lambda f: (-f[0], -f[0] / len(every[f[3]][1]), f[1], f[3])):
+        if all(e <= a or b <= s for _, a, b, _ in out):
+            out.append((every[number][0], s, e, c / len(every[number][1])))
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def test_license_spans_by_brute_force():
+    rng = random.Random(4)
+    for case in range(300):
+        wordings = {f"l{k}": tuple(" ".join(rng.choice("abcde") for _ in range(rng.randint(3, 12))) for _ in range(2)) for k in range(3)}
+        words = []
+        while len(words) < 50:
+            t = rng.choice(rng.choice(list(wordings.values()))).split()
+            words += t[rng.randrange(3) :][: rng.randint(2, 12)] + ["x"] * rng.choice([0, 0, 1, 4]) + [rng.choice("abcde")] * rng.choice([0, 1])
+        scanner = license_scan.Scanner({"b c": "base"}, wordings, 2, 0.7, 3)
+        base, spans = scanner.scan([w.encode() for w in words])
+        assert spans == brute_spans(words, wordings, 2, 0.7, 3), case
+        assert [i for _, i in base] == [i for i in range(len(words) - 1) if words[i : i + 2] == ["b", "c"]]
+
+
+def test_license_texts(spark):
+    mit, apache = license_scan.WORDINGS["mit"][0].split(), license_scan.WORDINGS["apache"][0].split()
+    changed = [w if i % 17 else "acme" for i, w in enumerate(mit, 1)]
+    rows = [
+        (1, "Licensed under CC BY-NC 4.0."), (2, "x " * 5 + " ".join(changed) + " and " + " ".join(apache)), (3, " ".join(mit[: len(mit) // 4])), (4, "licensed under the terms we like"),
+        (5, "word " * 200_000 + "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. " + "word " * 1000), (1, "Licensed under CC BY-NC 4.0."), (None, "cc0 1.0 universal public domain dedication"),
+    ]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string")
+    got = license_scan.license_digest(license_scan.scan_licenses(docs)).collect()
+    assert sorted((str(r.doc_id), r.labels) for r in got) == sorted([("1", "cc-by-nc"), ("1", "cc-by-nc"), ("2", "apache,mit"), ("3", ""), ("4", ""), ("5", "cc-by-sa"), ("None", "cc0")])
+    spans = {r.doc_id: [(s.label, s.start, s.end) for s in r.spans] for r in got}
+    assert spans[2][0][0] == "mit" and spans[2][0][1] == 5 and spans[2][1][:1] == ("apache",) and spans[5] == [("cc-by-sa", 200_000, 200_014)]
+
+
+def test_language_of_few_texts(spark):
+    rows = [(i, f"alpha beta gamma {i} delta epsilon", "en") for i in range(300)] + [(1000 + i, "où être là çà très", "fr") for i in range(300)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
+    got = language_id.identify_languages(docs.unionByName(docs.limit(2)), F.lit(True), per_language=20).collect()
+    assert len(got) == 602 and all(r.lang_pred == ("fr" if r.doc_id >= 1000 else "en") for r in got)
+    long = spark.createDataFrame([(1, "où être là çà très " * 60_000, None), (2, "alpha beta " * 100_000, None)], "doc_id long, text string, lang string")
+    found = language_id.identify_languages(docs.drop("score").unionByName(long), F.col("doc_id") > 2, per_language=20)
+    assert {r.doc_id: r.lang_pred for r in found.where("lang_pred is not null").collect() if r.doc_id in (1, 2)}[1] in ("fr", "en")
+
+
 def test_language_id(spark, nothing):
     stems = {"en": "the and of thing ing er th", "de": "der und sch ung keit ich ein", "fr": "le que eau oux ment tion è", "es": "el que ción ado ez la ñ"}
     rng = random.Random(0)
@@ -279,6 +349,12 @@ def test_top_k(spark):
     got = {tuple(r) for r in bit_sliced.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, slice_queries=3).collect()}
     assert got == want
     assert bit_sliced.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    wide = spark.createDataFrame([(50, [1e7, -1.0]), (1, [1e6, 1.0]), (2, [-1e6, 3e6]), (1, [1e6, 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    found = [(r["rank"], r.vec_id, r.score) for r in bit_sliced.top_k(wide, F.col("vec_id") == 50).orderBy("rank").collect()]
+    x, y = 256 * 10**7, -256
+    assert found == [(i, v, x * 256 * a + y * 256 * b) for i, v, a, b in ((1, 1, 10**6, 1), (2, 1, 10**6, 1), (3, 2, -(10**6), 3 * 10**6))]
+    with pytest.raises(Exception, match="2\\^62"):
+        bit_sliced.top_k(spark.createDataFrame([(50, [1e300])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
 
 
 def test_minimax():
@@ -299,19 +375,42 @@ def test_minimax():
         assert all(a <= b and sizes[a:b].sum() <= capacity for a, b in zip(ends, ends[1:], strict=False))
 
 
+def brute_capacity(sizes, k):
+    """The least largest sum of k runs, by dynamic programming over cuts."""
+    p = np.concatenate(([0], np.cumsum(sizes)))
+    best = p.copy()
+    for _ in range(k - 1):
+        best = np.array([np.maximum(best[: j + 1], p[j] - p[: j + 1]).min() for j in range(len(p))])
+    return int(best[-1])
+
+
 def test_sharding(spark, docs, rows, nothing):
+    more = [(i, t) for i, t in enumerate(rows)] + [(3, rows[3]), (3, rows[3]), (None, rows[4]), (None, None), (90, rows[0])]
+    odd = spark.createDataFrame([(i, t, 0, "clash") for i, t in more], "doc_id long, text string, shard int, rank string")
     for fine in (200_000, 5):
-        got = sharding.shard_documents(docs, fine_rows=fine).toPandas()
-        assert got["size"].tolist() == [len((rows[i] or "").encode()) + 8 for i in got.doc_id]
-        by = got.groupby("shard")
-        assert (by.slot.max() + 1 == by.slot.count()).all() and not got.duplicated(["shard", "slot"]).any() and got.shard.between(0, 23).all()
-        where = dict(zip(got.doc_id, got.shard, strict=True))
-        for t in set(rows):
-            assert len({where[i] for i, x in enumerate(rows) if x == t}) == 1
-        groups = Counter()
-        for i, t in enumerate(rows):
-            groups[t] += len((t or "").encode()) + 8
-        assert by["size"].sum().max() <= max(max(groups.values()), sum(groups.values()) / 24 + max(groups.values()))
+        for given, of in ((odd, more), (docs, list(enumerate(rows)))):
+            got = sharding.shard_documents(given, fine_rows=fine).collect()
+            text = {i: t for i, t in of}
+            assert len(got) == len(of) and all(r["size"] == len((text[r.doc_id] or "").encode()) + 8 for r in got if r.doc_id is not None)
+            key = lambda t: "" if t is None else hashlib.sha256(t.encode()).hexdigest()
+            groups = Counter()
+            for _, t in of:
+                groups[key(t)] += len((t or "").encode()) + 8
+            total = sum(groups.values())
+            order = sorted(groups, key=lambda k: (groups[k] * 24 <= total, k))
+            held = Counter()
+            for r in got:
+                held[r.shard] += r["size"]
+            assert max(held.values()) == brute_capacity([groups[k] for k in order], 24)
+            # slots: gapless, groups together in key order, then by doc_id
+            crc = {key(t): (zlib.crc32(t.encode()) if t is not None else None) for _, t in of}
+            rank = {crc[k]: n for n, k in enumerate(order)}
+            for s in held:
+                mine = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+                assert [r.slot for r in mine] == list(range(len(mine)))
+                places = [(rank[r.text_crc32], -1 if r.doc_id is None else r.doc_id) for r in mine]
+                assert places == sorted(places)
+            assert len({(r.text_crc32, r.shard) for r in got}) == len(groups)
     assert sharding.shard_documents(nothing).count() == 0
 
 
@@ -331,6 +430,59 @@ def test_order_minhash(spark, docs, rows, nothing):
     assert order_minhash.compare_with_edits(odd).count() == 4
 
 
+def xx(*values):
+    """Spark's xxhash64 of strings, longs and ints with seed 42, one after another."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for kind, v in values:
+        raw = v.encode() if kind == "s" else struct.pack("<q", v) if kind == "l" else struct.pack("<i", v)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_fingerprint(text, k=2, sketches=32, bits=26):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    u = lambda x: x & ((1 << 64) - 1)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    seen, members = Counter(), []
+    unit = max(1, -(-len(words) // (1 << bits)))
+    for i in range(max(1, len(words) - k + 1) if words else 0):
+        name = u(xx(*[("s", w) for w in words[i : i + k]])) >> bits
+        members.append((u(xx(("l", name), ("i", seen[name]))) >> bits, i // unit))
+        seen[name] += 1
+    least = {}
+    for name, place in sorted(members):
+        # the least of a part, in the order of signed numbers
+        part = name >> (64 - bits - (2 * sketches - 1).bit_length())
+        value = signed(name << bits | place)
+        least[part] = min(least.get(part, value), value)
+    out = []
+    for j in range(sketches):
+        pair = [(u(least[p]) >> bits, u(least[p]) & ((1 << bits) - 1)) if p in least else None for p in (2 * j, 2 * j + 1)]
+        a, b = pair
+        if a and b:
+            out.append(xx(("l", a[0]), ("l", b[0]), ("i", 0)) if a[1] <= b[1] else xx(("l", b[0]), ("l", a[0]), ("i", 1)))
+        else:
+            out.append(xx(("l", (a or b)[0])) if a or b else None)
+    return out
+
+
+def test_fingerprint_by_brute_force(spark, rows):
+    repeated = [*rows, "a b a b a b a", "one", "the the the the " * 50, " ".join(f"w{i % 7}" for i in range(500))]
+    df = spark.createDataFrame([(t,) for t in repeated], "text string")
+    for bits in (26, 6):  # 6: places in units of several words
+        got = df.select("text", order_minhash.fingerprint(F.col("text"), place_bits=bits).alias("f")).collect()
+        assert all(list(r.f) == brute_fingerprint(r.text, bits=bits) for r in got)
+    both = df.select(order_minhash.fingerprint(F.col("text")).alias("f"), order_minhash.fingerprint(F.reverse("text")).alias("g")).withColumn("x", order_minhash.likeness(F.col("f"), F.col("g")))
+    for r in both.collect():
+        some = sum(1 for a, b in zip(r.f, r.g, strict=True) if a is not None or b is not None)
+        same = sum(1 for a, b in zip(r.f, r.g, strict=True) if a is not None and a == b)
+        assert abs(r.x - ((same / some) ** 0.5 if some else 1.0)) < 1e-12
+
+
 def test_order_matters(spark):
     a, b = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in [*range(50, 100), *range(50)])
     df = spark.createDataFrame([(a, b)], "a string, b string").select(order_minhash.fingerprint(F.col("a")).alias("a"), order_minhash.fingerprint(F.col("b")).alias("b"))
