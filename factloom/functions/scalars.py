@@ -27,11 +27,11 @@ def lookup(table: dict, key: Column) -> Column:
 def american_number(text: Column) -> Column:
     """A number with comma groups and a decimal point, as double.
 
-    One lone comma followed by other than three digits is a decimal comma. A point before a comma, and several points, give null.
+    One lone comma followed by one or two characters is a decimal comma. A point before a comma, and several points, give null.
     """
     points, commas = F.length(F.regexp_replace(text, "[^.]", "")), F.length(F.regexp_replace(text, "[^,]", ""))
     plain = F.regexp_replace(text, ",", "")
-    decimal_comma = (points == 0) & (commas == 1) & ~text.rlike(",[0-9]{3}$")
+    decimal_comma = (points == 0) & (commas == 1) & text.rlike(",[0-9]{1,2}$")
     value = F.when(~text.rlike("^[0-9.,]*[0-9][0-9.,]*$"), None).when((points > 1) | text.rlike("[.].*,"), None).when(decimal_comma, F.regexp_replace(text, ",", ".")).otherwise(plain)
     return value.try_cast("double")
 

@@ -40,15 +40,14 @@ def latest(rows: DataFrame, entity: str, by: str, *ties: Column) -> DataFrame:
 
 
 def runway(net_cash: DataFrame, burn: DataFrame, entity: str, as_of: str) -> DataFrame:
-    """entity, burn_rate, burn_rate_date, net_cash, net_cash_date, days_of_cash, is_infinite as of a date.
+    """entity, burn_rate, burn_rate_date, net_cash, net_cash_date, days_of_cash, days_of_cash_date as of a date.
 
     The latest net cash is carried forward at the latest burn rate to as_of, its absolute value divided by the absolute
-    rate and rounded to 2 places. A rate of 0 or above never uses cash up: days_of_cash is null and is_infinite true.
+    rate and rounded to 2 places. A rate of 0 or above never uses cash up: days_of_cash is infinity.
     """
     cash = latest(net_cash, entity, "instant", F.desc("amount")).select(entity, F.col("amount").alias("net_cash"), F.col("instant").alias("net_cash_date"))
     rate = latest(burn, entity, "to_date", F.desc("from_date")).select(entity, F.col("burn_rate_total").alias("burn_rate"), F.col("to_date").alias("burn_rate_date"))
     both = cash.join(rate, entity)
     left = F.col("net_cash") + F.col("burn_rate") * F.datediff(F.lit(as_of).cast("date"), "net_cash_date")
-    infinite = F.col("burn_rate") >= 0
-    days = F.when(~infinite, F.round(F.abs(left) / F.abs("burn_rate"), 2))
-    return both.select(entity, "burn_rate", "burn_rate_date", "net_cash", "net_cash_date", days.alias("days_of_cash"), infinite.alias("is_infinite"))
+    days = F.when(F.col("burn_rate") >= 0, F.lit(float("inf"))).otherwise(F.round(F.abs(left) / F.abs("burn_rate"), 2))
+    return both.select(entity, "burn_rate", "burn_rate_date", "net_cash", "net_cash_date", days.alias("days_of_cash"), F.lit(as_of).cast("date").alias("days_of_cash_date"))

@@ -1,36 +1,59 @@
-"""Trees and directed graphs as edge tables (graph, parent, child), by recursive queries."""
+"""Trees and directed graphs as edge tables (parent, child), by path doubling.
+
+A round joins the paths of k edges with what they reach, so a chain of n edges takes log2(n) rounds, whatever its depth; each
+round is written to the shared folder and ends the lineage before it. A round that adds no pair is the last, so cycles end too. Only
+counts reach the driver.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
+from ..scratch import Rounds
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    """Distinct edges (child, ancestor) with both ends known, without loops."""
+    return edges.where(F.col("parent").isNotNull() & F.col("child").isNotNull() & (F.col("parent") != F.col("child"))).select("child", F.col("parent").alias("ancestor")).distinct()
 
 
-def _recursive(edges: DataFrame, body: str, **names: str) -> DataFrame:
-    edges.createOrReplaceTempView("_edges")
-    return edges.sparkSession.sql(body.format(depth=MAX_DEPTH, **names))
+def _beyond(paths: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows of `more` (child, ...) that start where `paths` (child, ancestor) end, with the start of the path as child."""
+    ends = paths.select("child", F.col("ancestor").alias("_via"))
+    return ends.join(more.withColumnRenamed("child", "_via"), "_via").drop("_via")
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(child, ancestor, depth): transitive closure, without the node itself."""
-    return _recursive(edges.select("parent", "child"), """
-        with recursive up(child, ancestor, depth) as (
-            select child, parent, 1 from _edges
-            union all
-            select up.child, e.parent, up.depth + 1 from up join _edges e on e.child = up.ancestor where up.depth < {depth})
-        select child, ancestor, depth from up""")
+    """(child, ancestor, depth): every ancestor once, with the least number of edges to it; a node is not its own ancestor. Edges with a null end are left out."""
+    rounds = Rounds(edges.sparkSession, "ancestors")
+    exact = rounds.keep(_steps(edges))  # pairs joined by a path of exactly `reach` edges
+    closure, reach = rounds.keep(exact.withColumn("depth", F.lit(1).cast("long"))), 1
+    known = closure.count()
+    while known:
+        far = _beyond(exact, closure).select("child", "ancestor", (F.col("depth") + reach).alias("depth")).where("child <> ancestor")
+        closure = rounds.keep(closure.unionByName(far).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        if (now := closure.count()) == known:
+            break
+        exact, known, reach = rounds.keep(_beyond(exact, exact).distinct()), now, 2 * reach
+    return closure
 
 
 def root_paths(edges: DataFrame) -> DataFrame:
-    """(leaf, path): the nodes from each root to each leaf, root first."""
-    return _recursive(edges.select("parent", "child"), """
-        with recursive down(node, path, depth) as (
-            select distinct parent, array(parent), 1 from _edges where parent not in (select child from _edges where child is not null)
-            union all
-            select e.child, array_append(down.path, e.child), down.depth + 1 from down join _edges e on e.parent = down.node where down.depth < {depth})
-        select node as leaf, path from down where node not in (select parent from _edges where parent is not null)""")
+    """(leaf, path): the nodes from each root to each leaf, root first; a path visits a node once. A path is assembled from pieces of 2^i edges."""
+    rounds = Rounds(edges.sparkSession, "paths")
+    steps = rounds.keep(_steps(edges))
+    parents, children = steps.select(F.col("ancestor").alias("node")).distinct(), steps.select(F.col("child").alias("node")).distinct()
+    ends = parents.join(children, "node", "left_anti")
+    down = rounds.keep(ends.select("node", F.array("node").alias("path")))  # paths from a root of fewer than `reach` edges
+    pieces = rounds.keep(steps.select(F.col("ancestor").alias("first"), F.col("child").alias("last"), F.array("child").alias("rest")))
+    while not pieces.isEmpty():
+        longer = down.join(pieces, F.col("node") == F.col("first")).where(~F.arrays_overlap("path", "rest"))
+        down = rounds.keep(down.unionByName(longer.select(F.col("last").alias("node"), F.concat("path", "rest").alias("path"))))
+        a, b = pieces.alias("a"), pieces.alias("b")
+        joined = a.join(b, F.col("a.last") == F.col("b.first")).where(~F.arrays_overlap("a.rest", "b.rest") & ~F.array_contains(F.col("b.rest"), F.col("a.first")))
+        pieces = rounds.keep(joined.select(F.col("a.first").alias("first"), F.col("b.last").alias("last"), F.concat("a.rest", "b.rest").alias("rest")))
+    return down.join(parents, "node", "left_anti").select(F.col("node").alias("leaf"), "path")
 
 
 def ultimate_origins(edges: DataFrame) -> DataFrame:
@@ -39,29 +62,33 @@ def ultimate_origins(edges: DataFrame) -> DataFrame:
     return up.join(edges.select(F.col("child").alias("ancestor")).distinct(), "ancestor", "left_anti").select("child", F.col("ancestor").alias("origin")).distinct()
 
 
-def tree_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, distance, meeting): number of nodes on the path of each pair (a, b), through the nearest common ancestor."""
-    up = ancestors(edges).select("child", "ancestor", "depth")
-    own = edges.select(F.explode(F.array("parent", "child")).alias("child")).distinct().select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
-    closure = up.unionByName(own)
+def _with_self(edges: DataFrame) -> DataFrame:
+    """The closure with each node as its own ancestor at depth 0."""
+    own = edges.select(F.explode(F.array("parent", "child")).alias("child")).where("child is not null").distinct()
+    return ancestors(edges).unionByName(own.select("child", F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("depth")))
+
+
+def _meetings(closure: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, m: struct<total, meeting, da, db>): the nearest common ancestor of each pair."""
     left = closure.select(F.col("child").alias("a"), "ancestor", F.col("depth").alias("da"))
     right = closure.select(F.col("child").alias("b"), "ancestor", F.col("depth").alias("db"))
-    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "ancestor"])
-    return met.groupBy("a", "b").agg((F.min(F.col("da") + F.col("db")) + 1).alias("distance"), F.min_by("ancestor", F.struct(F.col("da") + F.col("db"), F.col("ancestor"))).alias("meeting"))
-
-
-def shortest_paths(edges: DataFrame, pairs: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
-    """(a, b, path): a shortest path between two nodes of a tree, edges taken either way."""
-    edges.select("parent", "child").createOrReplaceTempView("_edges")
-    pairs.select("a", "b").createOrReplaceTempView("_pairs")
-    return edges.sparkSession.sql(f"""
-        with recursive both as (select parent as x, child as y from _edges union all select child, parent from _edges),
-        walk(a, b, node, path) as (
-            select a, b, a, array(a) from _pairs
-            union all
-            select w.a, w.b, e.y, array_append(w.path, e.y) from walk w join both e on e.x = w.node
-            where w.node <> w.b and not array_contains(w.path, e.y) and size(w.path) < {limit})
-        select a, b, min_by(path, struct(size(path), path)) as path from walk where node = b group by a, b""")
+    met = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "ancestor"])
+    return met.groupBy("a", "b").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("total"), F.col("ancestor").alias("meeting"), "da", "db")).alias("m"))
+
+
+def tree_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, distance, meeting): number of nodes on the path of each pair (a, b), through the nearest common ancestor; pairs without one have no row."""
+    return _meetings(_with_self(edges), pairs).select("a", "b", (F.col("m.total") + 1).cast("int").alias("distance"), F.col("m.meeting").alias("meeting"))
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, path): the path between two nodes of a tree (a child has one parent), edges taken either way: up from a to the nearest common ancestor, down to b."""
+    closure = _with_self(edges)
+    met = _meetings(closure, pairs).select("a", "b", "m.da", "m.db")
+    up = met.join(closure.select(F.col("child").alias("a"), "ancestor", "depth"), "a").where("depth <= da").select("a", "b", F.col("depth").alias("at"), "ancestor")
+    down = met.join(closure.select(F.col("child").alias("b"), "ancestor", "depth"), "b").where("depth < db").select("a", "b", (F.col("da") + F.col("db") - F.col("depth")).alias("at"), "ancestor")
+    nodes = up.unionByName(down).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("at", "ancestor"))).alias("n"))
+    return nodes.select("a", "b", F.col("n.ancestor").alias("path"))
 
 
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:

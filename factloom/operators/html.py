@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,24 @@ _STYLE_CENTER = re.compile(r"text-align\s*:\s*center", re.I)
 _STYLE_UNDER = re.compile(r"text-decoration[^;]*underline", re.I)
 
 
+_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+
+
+class Style(NamedTuple):
+    """What a piece of text inherits from the tags around it."""
+
+    hidden: bool
+    bold: bool
+    under: bool
+    centered: bool
+    heading: str | None
+    href: str | None
+    in_title: bool
+
+
+_PLAIN = Style(False, False, False, False, None, None, False)
+
+
 class Document(HTMLParser):
     """Text pieces with their surroundings, anchors, links and tables of one document."""
 
@@ -53,7 +73,16 @@ class Document(HTMLParser):
                 rows[-1].append([[], int(span) if span.isdigit() and 0 < int(span) < 1000 else 1])
                 self.open_tables[-1]["header"] |= tag == "th"
         if tag not in _VOID:
-            self.stack.append((tag, at))
+            self.stack.append((tag, self._under(tag, at, self.stack[-1][1] if self.stack else _PLAIN)))
+
+    def _under(self, tag: str, at: dict[str, str], above: Style) -> Style:
+        """What text inside a tag inherits."""
+        style = at.get("style", "")
+        return Style(
+            above.hidden or tag in self.exclude, above.bold or tag in _BOLD or bool(style and _STYLE_BOLD.search(style)), above.under or tag == "u" or bool(style and _STYLE_UNDER.search(style)),
+            above.centered or tag == "center" or at.get("align", "").lower() == "center" or bool(style and _STYLE_CENTER.search(style)), above.heading or (tag if tag in _HEADINGS else None),
+            at["href"][1:] if tag == "a" and at.get("href", "").startswith("#") else above.href, above.in_title or tag == "title",
+        )
 
     def handle_endtag(self, tag):
         if tag in _BLOCK:
@@ -66,23 +95,14 @@ class Document(HTMLParser):
             self.open_tables.pop()["end"] = len(self.pieces)
 
     def handle_data(self, data):
-        if any(t in self.exclude for t, _ in self.stack):
+        now = self.stack[-1][1] if self.stack else _PLAIN
+        if now.hidden or not (text := " ".join(data.split())):
             return
-        text = " ".join(data.split())
-        if not text:
-            return
-        tags = [t for t, _ in self.stack]
-        style = ";".join(a.get("style", "") for _, a in self.stack)
-        centered = "center" in tags or any(a.get("align", "").lower() == "center" for _, a in self.stack) or bool(_STYLE_CENTER.search(style))
-        bold = any(t in _BOLD for t in tags) or bool(_STYLE_BOLD.search(style))
-        under = "u" in tags or bool(_STYLE_UNDER.search(style))
-        heading = next((t for t in tags if re.fullmatch("h[1-6]", t)), None)
-        href = next((a["href"] for t, a in reversed(self.stack) if t == "a" and a.get("href", "").startswith("#")), None)
-        if href:
-            self.links.append((href[1:], text, len(self.pieces)))
+        if now.href:
+            self.links.append((now.href, text, len(self.pieces)))
         if self.open_tables and self.open_tables[-1]["rows"] and self.open_tables[-1]["rows"][-1]:
             self.open_tables[-1]["rows"][-1][-1][0].append(text)
-        self.pieces.append({"text": text, "block": self.block, "bold": bold, "centered": centered, "under": under, "heading": heading, "in_table": bool(self.open_tables), "in_title": "title" in tags})
+        self.pieces.append({"text": text, "block": self.block, "bold": now.bold, "centered": now.centered, "under": now.under, "heading": now.heading, "in_table": bool(self.open_tables), "in_title": now.in_title})
 
 
 def parse(html: str | None, exclude: tuple[str, ...] = ()) -> Document:
@@ -119,7 +139,8 @@ def clean_matrix(rows: list[list[str | None]]) -> list[list[str]]:
 
 
 _BULLET = re.compile(r"^(?:[·•●○▪■◦‣*–—-]|\(?[0-9]{1,2}[.)]|\(?[a-z][.)])$")
-_REGISTRATION = (re.compile(r"(?i)amount.*registered|aggregate\s*offering.*price"), re.compile(r"(?i)fee"))
+#: Headers that a registration table has, all of them.
+_REGISTRATION = (re.compile(r"(?i)title\s*of\s*each\s*class.*regi"), re.compile(r"(?i)amount\s*(?:being|to\s*be)\s*registered|proposed\s+(?:maximum)?\s*(?:aggregate)?\s*offering\s*price"), re.compile(r"(?i)amount\s*of\s*registration\s*fee"))
 
 
 def classify(rows: list[list[str]]) -> str:
@@ -167,8 +188,10 @@ def headers(doc: Document, reach: int = 400) -> list[tuple[int, str, bool]]:
     return [(i, t, up) for i, t, up, _ in out]
 
 
+#: Items that a table of contents has, and phrases of cover pages and notes.
 _TOC = (re.compile(r"(?i)plan\s+of\s+distribution|rescission\s+offer|legal\s+matters"), re.compile(r"(?i)use\s+of\s+proceeds"))
 _COVER = re.compile(r"(?i)^\s*(?:preliminary\s+)?prospectus\b|subject\s+to\s+completion")
+_NOTE = re.compile(r"EXPLANATORY\s*NOTE")
 
 
 def toc_tables(doc: Document, required=_TOC) -> list[dict]:
@@ -214,19 +237,31 @@ def covers(doc: Document) -> list[int]:
     return out
 
 
+def front(doc: Document, cover: int) -> dict[int, str]:
+    """Starts before the first cover page: the front page, and an explanatory note if there is one."""
+    out = {next((i for i, p in enumerate(doc.pieces) if not p["in_title"]), 0): "front page"} if cover else {}
+    note = next((i for i in range(cover) if _NOTE.search(doc.pieces[i]["text"]) and not doc.pieces[i]["in_title"]), None)
+    return out if note is None else out | {note: "explanatory note"}
+
+
 def sections(html: str | None) -> list[dict]:
-    """Sections in order: title, strategy, text (data tables left out, layout tables as text), tables. What stands before the first start is "before"."""
+    """Sections in order: title, strategy, text (data tables left out, layout tables as text), tables.
+
+    What stands before a first cover page is the front page, with an explanatory note as a section of its own; before any other first start it is "before".
+    """
     doc = parse(html)
     strategy, starts = section_starts(doc)
     cover = covers(doc)
-    starts = sorted({**dict.fromkeys(cover, "cover page"), **dict(starts)}.items()) if cover else starts
+    if cover:
+        starts = sorted({**front(doc, cover[0]), **dict.fromkeys(cover, "cover page"), **dict(starts)}.items())
     bounds = [(0, "before"), *starts] if not starts or starts[0][0] else starts
     out = []
     for k, (at, title) in enumerate(bounds):
         end = bounds[k + 1][0] if k + 1 < len(bounds) else len(doc.pieces)
         skip, tables, inserted = set(), [], {}
         for t in doc.tables:
-            if at <= t["start"] < end and not t["outer"]:
+            # a table without text at the very end starts where the pieces end
+            if (at <= t["start"] < end or t["start"] == end == len(doc.pieces)) and not t["outer"]:
                 rows = clean_matrix(matrix(t, "separate"))
                 kind = classify(rows)
                 text = as_text(kind, rows)
@@ -307,7 +342,11 @@ def row_ignorable(row: Column, pattern: str) -> Column:
 
 def header_has(rows: Column, patterns: list[str]) -> Column:
     """The first row has a field for every pattern."""
-    return F.lit(True) if not patterns else F.array_min(F.array(*[F.exists(F.get(rows, F.lit(0)), lambda c, p=p: c.rlike(p)).cast("int") for p in patterns])) == 1
+
+    def field(pattern: str) -> Column:
+        return F.exists(F.get(rows, F.lit(0)), lambda c: c.rlike(pattern))
+
+    return reduce(lambda a, b: a & b, map(field, patterns), F.lit(True))
 
 
 def shape_within(rows: Column, max_rows: int, max_columns: int, max_chars: int) -> Column:

@@ -9,16 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def overlap_groups(rows: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str] = ()) -> DataFrame:
+def overlap_groups(rows: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str] = (), alone: bool = False) -> DataFrame:
     """Intervals that overlap another of their key, with the number of their group (from 1); closed ends touch.
 
-    An interval opens a group if it starts after all that came before have ended. Groups of one are left out.
+    An interval opens a group if it starts after all that came before have ended. Groups of one are left out unless `alone`.
     """
     w = W.partitionBy(*keys).orderBy(start, end, *order)
     before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (before < F.col(start)), 1).otherwise(0)
     island = rows.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    sized = island.withColumn("_size", F.count("*").over(W.partitionBy(*keys, "_island"))).where("_size > 1")
+    sized = island.withColumn("_size", F.count("*").over(W.partitionBy(*keys, "_island")))
+    sized = sized if alone else sized.where("_size > 1")
     return sized.withColumn("group_no", F.dense_rank().over(W.partitionBy(*keys).orderBy("_island"))).drop("_opens", "_island", "_size")
 
 

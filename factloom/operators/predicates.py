@@ -65,3 +65,17 @@ def route(form: Column, suffix: Column, registry: dict[tuple[str | None, str], s
     exact = F.create_map(*[F.lit(x) for (f, s), h in registry.items() if f is not None for x in (f"{f}|{s}", h)])
     general = F.create_map(*[F.lit(x) for (f, s), h in registry.items() if f is None for x in (s, h)])
     return F.coalesce(F.element_at(exact, F.concat_ws("|", form, suffix)), F.element_at(general, suffix))
+
+
+def numbered(rows: DataFrame, by: str, then: list[str], name: str) -> DataFrame:
+    """rows with their place, from 1, in the order of `by` and then `then`; `by` is dropped.
+
+    Each value of `by` is numbered in a task of its own; its offset comes from the counts of all values, one row a value.
+    """
+    from pyspark.sql import Window as W
+
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy(by).orderBy(*then))
+    placed = rows.withColumn("_in", inside).join(counts.select(by, before.alias("_before")), by)
+    return placed.withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_in", "_before", by)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import durations, parse_date, quantity, security_key
+from ..functions.scalars import durations, parse_date, quantity, security_key, swap_case_after
+from .intervals import longest_per_group, overlap_groups
 
 #: Certainty of modal verbs and adverbs.
 CERTAINTY = {
@@ -43,6 +44,26 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def places(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start, end, text>> of the matches of a pattern, in text order; ends are exclusive."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, text: string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["hit"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+
+    pairs = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("hit")))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
+def literal(word: Column) -> Column:
+    """A pattern that matches a text as a whole word, whatever it holds."""
+    return F.concat(F.lit("(?<![\\w-])\\Q"), word, F.lit("\\E(?![\\w-])"))
+
+
 def only(found: Column) -> Column:
     """The one element of an array, null if there are none or several."""
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
@@ -205,12 +226,78 @@ def aliases(docs: DataFrame, key: str, text: str) -> DataFrame:
     return quoted.withColumn("role", F.when(F.col("alias_no") == last, "base").otherwise("component"))
 
 
-def alias_references(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, alias, n_references: places of an alias after its definition. One join on the document."""
+def alias_variants(alias: Column) -> Column:
+    """The alias, and with the case of each letter after a hyphen changed."""
+    return F.array_distinct(F.array(alias, swap_case_after(alias, "-")))
+
+
+def alias_places(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, alias, start, end: places of base aliases, or their variants, after their definition. Of overlapping places the longest stays; those inside any definition don't count."""
     base = found.where("role = 'base'").select(key, "alias", "paren").distinct()
-    both = base.join(docs.select(key, text), key)
-    rest = F.substr(F.col(text), F.position("paren", F.col(text)) + F.length("paren"))
-    return both.select(key, "alias", F.size(F.regexp_extract_all(rest, F.concat(F.lit("\\b\\Q"), F.col("alias"), F.lit("\\E\\b")), F.lit(0))).alias("n_references"))
+    defined = F.position("paren", F.col(text)) + F.length("paren") - 1
+    both = base.join(docs.select(key, text), key).withColumn("_from", defined).withColumn("_word", F.explode(alias_variants(F.col("alias"))))
+    hits = both.withColumn("_p", F.explode(places(F.substr(F.col(text), F.col("_from") + 1), literal(F.col("_word")))))
+    hits = hits.select(key, "alias", (F.col("_p.start") + F.col("_from")).alias("start"), (F.col("_p.end") + F.col("_from")).alias("end")).distinct()
+    parens = docs.select(key, F.explode(places(F.col(text), "\\([^(]*\\)")).alias("_p")).where(F.col("_p.text").rlike("[\"“][^\"“”]+[\"”]"))
+    parens = parens.select(key, F.col("_p.start").alias("_a"), F.col("_p.end").alias("_b"))
+    inside = [hits[key] == parens[key], hits["start"] >= parens["_a"], hits["end"] <= parens["_b"]]
+    free = hits.join(parens, inside, "left_anti").withColumn("last", F.col("end") - 1)
+    groups = overlap_groups(free, [key], "start", "last", ["alias"], alone=True)
+    return longest_per_group(groups, [key], "start", "end").select(key, "alias", "start", "end")
+
+
+def alias_references(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, alias, n_references of every base alias, 0 where it is never used again."""
+    used = alias_places(found, docs, key, text).groupBy(key, "alias").agg(F.count("*").alias("n"))
+    base = found.where("role = 'base'").select(key, "alias").distinct()
+    return base.join(used, [key, "alias"], "left").select(key, "alias", F.coalesce("n", F.lit(0)).cast("long").alias("n_references"))
+
+
+def second_pass(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, secu_key, start, end: every place of a security the document names, in any case, singular or plural; of overlapping places the longest stays."""
+    named = docs.select(key, text, F.explode(F.array_distinct(F.transform(securities(F.col(text)), security_key))).alias("secu_key"))
+    words = F.array_join(F.transform(F.split("secu_key", "\\s+"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
+    either = F.concat(F.lit("(?i)\\b"), words, F.lit("(?:s|es)?\\b"))
+    hits = named.withColumn("_p", F.explode(places(F.col(text), either))).select(key, "secu_key", F.col("_p.start").alias("start"), F.col("_p.end").alias("end"), (F.col("_p.end") - 1).alias("last"))
+    groups = overlap_groups(hits, [key], "start", "last", ["secu_key"], alone=True)
+    return longest_per_group(groups, [key], "start", "end").select(key, "secu_key", "start", "end")
+
+
+def alias_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, sentence_no, origin, alias, span_distance, similar_pairs, alias_length: securities and the aliases that may name them.
+
+    An alias is a lone quoted string in parentheses to the right of its origin in the same sentence; text before it in the parentheses must hold none of
+    ALIAS_STOPS. Distances are those of the middles, in words.
+    """
+    s = explode_sentences(docs, key, text)
+    word = lambda c, at: F.size(F.split(F.substr(c, F.lit(1), at), "\\s+"))
+    middle = lambda c, p: (word(c, p["start"] + 1) + word(c, p["end"])) / 2
+    c = F.col("sentence")
+    origins = s.select(key, "sentence_no", "sentence", F.explode(places(c, f"(?i)\\b{SECURITY}\\b{_NOT_AFTER}")).alias("o"))
+    parens = s.select(key, "sentence_no", F.explode(places(c, "\\([^(]*\\)")).alias("p"))
+    lone = parens.withColumn("q", all_matches(F.col("p.text"), "[\"“]([^\"“”]+)[\"”]", 1)).where("size(q) = 1").withColumn("alias", F.get("q", F.lit(0)))
+    before = F.split(F.col("p.text"), "[\"“]", 2)[0]
+    lone = lone.where(~before.rlike(ALIAS_STOPS))
+    at = F.col("p.start") + F.position(F.col("alias"), F.col("p.text")) - 1
+    lone = lone.select(key, "sentence_no", "alias", F.struct(at.alias("start"), (at + F.length("alias")).alias("end")).alias("a"))
+    met = origins.join(lone, [key, "sentence_no"]).where(F.col("a.start") > F.col("o.start"))
+    words = lambda x: F.transform(F.split(F.lower(x), "[\\s-]+"), lambda w: F.regexp_replace(w, "s$", ""))
+    similar = F.size(F.filter(words(F.col("alias")), lambda w: F.array_contains(words(F.col("o.text")), w)))
+    return met.select(key, "sentence_no", F.col("o").alias("origin"), "alias", F.abs(middle(c, F.col("a")) - middle(c, F.col("o"))).alias("span_distance"), similar.alias("similar_pairs"), F.size(words(F.col("alias"))).alias("alias_length"))
+
+
+def assign_aliases(docs: DataFrame, key: str, text: str, least: float = 1.4) -> DataFrame:
+    """key, sentence_no, origin, alias, score: best_alias over alias_candidates, within a document."""
+    found = alias_candidates(docs, key, text)
+    score = alias_score(F.lit(None).cast("double"), F.col("span_distance"), F.col("similar_pairs"), F.col("alias_length"), F.lower("alias").isin("company", "we"))
+    scored = found.withColumn("score", score).withColumn("_o", F.struct(key, "sentence_no", "origin.start", "origin.end")).withColumn("_a", F.struct(key, "sentence_no", "alias"))
+    return best_alias(scored, "_o", "_a", "score", least).select(key, "sentence_no", F.col("origin.text").alias("origin"), "alias", "score")
+
+
+def chain_references(mentions: DataFrame, aliases_: DataFrame, key: str) -> DataFrame:
+    """key, alias, start, end: mentions (key, chain, start, end) of a coreference chain that holds a place of an alias (key, alias, start, end), the place itself left out."""
+    held = mentions.join(aliases_, [key, "start", "end"]).select(key, "chain", "alias").distinct()
+    return mentions.join(held, [key, "chain"]).join(aliases_.select(key, "start", "end"), [key, "start", "end"], "left_anti").select(key, "alias", "start", "end")
 
 
 def alias_score(dep_distance: Column, span_distance: Column, similar_pairs: Column, alias_length: Column, special: Column) -> Column:
@@ -225,12 +312,19 @@ def best_alias(pairs: DataFrame, origin: str, alias: str, score: str, least: flo
 
 
 def classify(text: Column) -> Column:
-    """Sorted labels of a registration statement: atm, preliminary, resale, shelf."""
-    label = lambda p, name: F.when(text.rlike(p), name)
+    """Sorted labels of a registration statement: atm, preliminary, resale, shelf. A word that a pattern needs is looked for first, which spares most texts the pattern."""
+    low = F.lower(text)
+
+    def label(name: str, pattern: str, *needs: str) -> Column:
+        near = low.contains(needs[0])
+        for n in needs[1:]:
+            near = near | low.contains(n)
+        return F.when(near, F.when(text.rlike(pattern), name))
+
     return F.array_sort(F.array_compact(F.array(
-        label("(?i)at[\\s-]the[\\s-]market|equity\\s+distribution\\s+agreement|sales\\s+agreement\\s+with", "atm"), label(PRELIMINARY, "preliminary"),
-        label("(?i)selling\\s+(?:security|stock|share)\\s*holders?|we\\s+will\\s+not\\s+receive\\s+any\\s+(?:of\\s+the\\s+)?proceeds", "resale"),
-        label("(?i)from\\s+time\\s+to\\s+time.{0,200}(?:one\\s+or\\s+more|offerings?)|shelf\\s+registration", "shelf"),
+        label("atm", "(?i)at[\\s-]the[\\s-]market|equity\\s+distribution\\s+agreement|sales\\s+agreement\\s+with", "market", "agreement"), label("preliminary", PRELIMINARY, "completion", "not complete"),
+        label("resale", "(?i)selling\\s+(?:security|stock|share)\\s*holders?|we\\s+will\\s+not\\s+receive\\s+any\\s+(?:of\\s+the\\s+)?proceeds", "selling", "proceeds"),
+        label("shelf", "(?i)from\\s+time\\s+to\\s+time.{0,200}(?:one\\s+or\\s+more|offerings?)|shelf\\s+registration", "from", "shelf"),
     )))
 
 

@@ -13,11 +13,13 @@ AS_OF = "2002-01-01"
 def _flows(spark, sf):
     """Orders as cash flows: a customer's period from order to last shipment, an amount by return flag."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.to_date("l_shipdate").alias("ship"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"))
-    span = lines.groupBy("l_orderkey").agg(F.max("ship").alias("to_date"))
-    kinds = F.when(F.col("l_returnflag") == "A", "operating").when(F.col("l_returnflag") == "R", "investing").otherwise("financing")
-    by_kind = lines.groupBy("l_orderkey", kinds.alias("kind")).agg(F.sum("amount").alias("amount"))
+    # one pass over the lines: a sum for each kind beside the last shipment
+    flags = {"operating": F.col("l_returnflag") == "A", "investing": F.col("l_returnflag") == "R"}
+    flags["financing"] = ~(flags["operating"] | flags["investing"]) | F.col("l_returnflag").isNull()
+    wide = lines.groupBy("l_orderkey").agg(F.max("ship").alias("to_date"), *[F.sum(F.when(f, F.col("amount"))).alias(k) for k, f in flags.items()])
+    by_kind = wide.select("l_orderkey", "to_date", F.explode(F.create_map(*[x for k in flags for x in (F.lit(k), F.col(k))])).alias("kind", "amount")).where("amount is not null")
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("company_id"), F.to_date("o_orderdate").alias("from_date"))
-    met = by_kind.join(span, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    met = by_kind.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     sign = F.when(F.col("kind") == "financing", 1).otherwise(-1)
     return met.groupBy("company_id", "kind", "from_date", "to_date").agg((F.sum(F.col("amount")) * F.max(sign)).alias("amount"))
 
@@ -51,13 +53,13 @@ def _round(df, *columns):
     n as (select * from net qualify row_number() over (partition by company_id order by instant desc nulls first, amount desc) = 1),
     b as (select * from burn qualify row_number() over (partition by company_id order by to_date desc nulls first, from_date desc) = 1)
     select company_id, round(burn_rate_total, 2) as burn_rate, strftime(to_date, '%Y-%m-%d') as burn_rate_date, amount as net_cash, strftime(instant, '%Y-%m-%d') as net_cash_date,
-           case when burn_rate_total < 0 then round(abs(amount + burn_rate_total * datediff('day', instant, date '{AS_OF}')) / abs(burn_rate_total), 2) end as days_of_cash,
-           burn_rate_total >= 0 as is_infinite
+           case when burn_rate_total < 0 then round(abs(amount + burn_rate_total * datediff('day', instant, date '{AS_OF}')) / abs(burn_rate_total), 2) else 'infinity'::double end as days_of_cash,
+           '{AS_OF}' as days_of_cash_date
     from n join b using (company_id)""")
 def runway_summary(spark, sf):
     net = table(spark, sf, "orders").select(F.col("o_custkey").alias("company_id"), F.to_date("o_orderdate").alias("instant"), F.col("o_totalprice").alias("amount"))
     out = cash.runway(net, _burn(spark, sf), "company_id", AS_OF)
-    return _round(out, "burn_rate").withColumns({c: F.col(c).cast("string") for c in ("burn_rate_date", "net_cash_date")})
+    return _round(out, "burn_rate").withColumns({c: F.col(c).cast("string") for c in ("burn_rate_date", "net_cash_date", "days_of_cash_date")})
 
 
 @register("burn_rate", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import facts, graph, intervals, joins, predicates
+from ..operators import graph, intervals, joins, predicates
 from . import register, table
 
 
@@ -71,10 +71,10 @@ def self_reference(spark, sf):
     return joins.with_reference(p, "p_partkey", "under", ["p_name"], "underlying_").select("p_partkey", "underlying_p_name")
 
 
-@register("or_join", "select distinct s_suppkey, l_orderkey, l_linenumber from supplier join lineitem on s_suppkey = l_suppkey or s_suppkey = l_partkey")
+@register("or_join", "select s_suppkey, l_orderkey, l_linenumber from supplier join lineitem on s_suppkey = l_suppkey or s_suppkey = l_partkey")
 def or_join(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    return joins.join_either(table(spark, sf, "supplier").select("s_suppkey"), li, "s_suppkey", "l_suppkey", "l_partkey").select("s_suppkey", "l_orderkey", "l_linenumber").distinct()
+    return joins.join_either(table(spark, sf, "supplier").select("s_suppkey"), li, "s_suppkey", "l_suppkey", "l_partkey").select("s_suppkey", "l_orderkey", "l_linenumber")
 
 
 @register("bridge_join", "select s_name, p_brand, count(*) as n from supplier join lineitem on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by 1, 2")
@@ -88,12 +88,6 @@ def item_counts(spark, sf):
     return joins.counted(table(spark, sf, "lineitem").select("l_partkey"), table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"), "p_type")
 
 
-@register("type_by_keyword", """select p_partkey, case when lower(p_name) like '%common%' then 'CommonShare' when lower(p_name) like '%preferred%' then 'PreferredShare' when lower(p_name) like '%option%' then 'Option'
-    when lower(p_name) like '%warrant%' then 'Warrant' when lower(p_name) like '%note%' then 'DebtSecurity' else 'DebtSecurity' end as kind from part""")
-def type_by_keyword(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", S.security_type(F.col("p_name")).alias("kind"))
-
-
 @register("identifying_attributes", "select o_orderkey, case when o_orderstatus = 'F' then 2 when o_totalprice > 100000 then 3 end::bigint as n from orders where o_orderstatus = 'F' or o_totalprice > 100000")
 def identifying_attributes(spark, sf):
     o = table(spark, sf, "orders")
@@ -182,7 +176,7 @@ def tree_distance(spark, sf):
 @register("shortest_path", f"""with recursive {_EDGES}, {_PAIRS}, u(child, anc, depth) as (select child, child, 0 from e union all select u.child, e.parent, u.depth + 1 from u join e on e.child = u.anc)
     select a, b, (min(x.depth + y.depth) + 1)::int as nodes from p join u x on x.child = a join u y on y.child = b and x.anc = y.anc group by 1, 2""")
 def shortest_path(spark, sf):
-    return graph.shortest_paths(_edges(spark, sf), _pairs(spark, sf), 5).select("a", "b", F.size("path").alias("nodes"))
+    return graph.shortest_paths(_edges(spark, sf), _pairs(spark, sf)).select("a", "b", F.size("path").alias("nodes"))
 
 
 _NUMBERS = "n as (select doc_id, i, x from (select doc_id, unnest(m) as x, generate_subscripts(m, 1) as i from (select doc_id, regexp_extract_all(text, '[0-9][0-9.,]*') as m from documents)))"
@@ -194,7 +188,7 @@ def _numbers(spark, sf):
 
 
 _AMERICAN = r"""case when length(regexp_replace(x, '[^.]', '', 'g')) > 1 or regexp_matches(x, '[.].*,') then null
-    when not contains(x, '.') and length(regexp_replace(x, '[^,]', '', 'g')) = 1 and not regexp_matches(x, ',[0-9]{3}$') then try_cast(replace(x, ',', '.') as double)
+    when not contains(x, '.') and length(regexp_replace(x, '[^,]', '', 'g')) = 1 and regexp_matches(x, ',[0-9]{1,2}$') then try_cast(replace(x, ',', '.') as double)
     else try_cast(replace(x, ',', '') as double) end"""
 
 
@@ -225,20 +219,6 @@ def durations(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.aggregate(S.durations(phrase), F.lit(0.0), lambda a, x: a + x).alias("days"))
 
 
-@register("file_index", "select source, count(*) as n, min(doc_id) as first from documents group by 1")
-def file_index(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "lang"))).alias("files"))
-    return d.select("source", F.size("files").cast("long").alias("n"), F.get("files", F.lit(0))["doc_id"].alias("first"))
-
-
 @register("set_difference", "select c_nationkey as k from customer except select s_nationkey from supplier where s_acctbal > 5000")
 def set_difference(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, sf, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
-
-
-@register("first_wins_union", "with o as (select l_suppkey as k, 'o' as v from lineitem where l_linenumber = 1 group by 1), n as (select l_suppkey as k, min(l_shipmode_) as v from (select l_suppkey, l_returnflag as l_shipmode_ from lineitem) group by 1) select k, v from o union all select k, v from n where k not in (select k from o)")
-def first_wins_union(spark, sf):
-    li = table(spark, sf, "lineitem")
-    o = li.where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), F.lit("o").alias("v")).distinct()
-    n = li.groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_returnflag").alias("v"))
-    return facts.dedup_by(o.withColumn("a", F.lit(0)).unionByName(n.withColumn("a", F.lit(1))), ["k"], [F.col("a")]).drop("a")

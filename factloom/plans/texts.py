@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import html, items, predicates, text
+from ..operators import items, predicates, text
 from ..streaming import incremental
 from . import register, table
 
@@ -23,122 +23,20 @@ def item_split(spark, sf):
     return cut.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("item_no")).cast("int").alias("n"), "body").select("doc_id", (F.col("n") - 1).alias("item_no"), "body")
 
 
-@register("marker_items", r"""
-    with m as (select doc_id, regexp_extract_all(text, '(?i)\blicensed? under the [a-z]+') as m from documents)
-    select doc_id, lower(unnest(m)) as marker from m""")
-def marker_items(spark, sf):
-    found = text.all_matches(F.col("text"), "(?i)\\blicensed? under the [a-z]+")
-    return _docs(spark, sf).select("doc_id", F.explode(found).alias("marker")).withColumn("marker", F.lower("marker"))
-
-
-@register("alias_find", r"""
-    with p as (select doc_id, unnest(regexp_extract_all(text, '\([^(]*\)')) as paren from documents)
-    select doc_id, paren from p""")
-def alias_find(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.explode(text.all_matches(F.col("text"), "\\([^(]*\\)")).alias("paren"))
-
-
-@register("quoted_aliases")
-def quoted_aliases(spark, sf):
-    return text.aliases(_docs(spark, sf), "doc_id", "text")
-
-
-@register("alias_references")
-def alias_references(spark, sf):
-    d = _docs(spark, sf)
-    return text.alias_references(text.aliases(d, "doc_id", "text"), d, "doc_id", "text")
-
-
-_LEVELS = ", ".join(f"('{w}', {v})" for w, v in text.CERTAINTY.items() if w not in text.NOT_MARKERS)
-
-
-@register("certainty", rf"""
-    with l(w, v) as (values {_LEVELS}),
-    m as (select conv_id, turn, text, nullif(lower(regexp_extract(regexp_replace(text, '\bMay\s+[0-9]', ' ', 'g'), '(?i)\b({'|'.join(w for w in text.CERTAINTY if w not in text.NOT_MARKERS)})\b', 1)), '') as marker from conversations)
-    select conv_id, turn, marker, coalesce(v, 1.0)::double as level from m left join l on w = marker""")
-def certainty(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", text.certainty(F.col("text")).alias("c")).select("conv_id", "turn", "c.marker", "c.level")
-
-
-@register("doc_classify", r"""
-    select doc_id, array_to_string(list_sort(list_filter([
-        case when regexp_matches(text, '(?i)at[\s-]the[\s-]market|equity\s+distribution\s+agreement|sales\s+agreement\s+with') then 'atm' end,
-        case when regexp_matches(text, 'SUBJECT TO COMPLETION|(?:is|are) not complete and may be changed') then 'preliminary' end,
-        case when regexp_matches(text, '(?i)selling\s+(?:security|stock|share)\s*holders?|we\s+will\s+not\s+receive\s+any\s+(?:of\s+the\s+)?proceeds') then 'resale' end,
-        case when regexp_matches(text, '(?i)from\s+time\s+to\s+time.{0,200}(?:one\s+or\s+more|offerings?)|shelf\s+registration') then 'shelf' end], lambda x: x is not null)), ',') as labels from documents""")
-def doc_classify(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.array_join(text.classify(F.col("text")), ",").alias("labels"))
-
-
 @register("first_non_null_merge", "select conv_id, arg_min(case when role = 'user' then text end, turn) filter (role = 'user') as asked, arg_min(text, turn) filter (role = 'assistant') as answered from conversations group by 1")
 def first_non_null_merge(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("asked"), F.when(F.col("role") == "assistant", F.col("text")).alias("answered"))
     return text.merge_first_known(c, ["conv_id"], [F.col("turn")], ["asked", "answered"])
 
 
-@register("enumeration_split")
-def enumeration_split(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.posexplode(text.split_enumeration(F.col("text"))).alias("n", "item"))
-
-
-@register("security_mentions")
-def security_mentions(spark, sf):
-    return text.security_objects(_docs(spark, sf), "doc_id", "text")
-
-
-@register("security_relations")
-def security_relations(spark, sf):
-    return text.security_relations(_docs(spark, sf), "doc_id", "text").where(text.is_outstanding_quantity(F.struct("negated", "date", "certainty", "amods", "amount")))
-
-
-@register("entity_export", r"""select doc_id, len(regexp_extract_all(text, '[0-9]+')) as n from documents""")
-def entity_export(spark, sf):
-    found = text.all_matches(F.col("text"), "[0-9]+")
-    j = text.annotation(F.lit("x"), F.transform(found, lambda m: F.struct(m.alias("text"), F.lit("NUMBER").alias("label"))))
-    return _docs(spark, sf).select("doc_id", F.size(F.from_json(j, "text string, ents array<struct<text string, label string>>")["ents"]).cast("long").alias("n"))
-
-
-@register("coverage_counts", "select conv_id, role, count(*) as n, count(*) filter (contains(text, '?')) as asks, sum(length(text))::bigint as chars from conversations group by 1, 2")
-def coverage_counts(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("?"))).alias("asks"), F.sum(F.length("text")).alias("chars"))
-
-
-@register("distinct_mentions", r"select distinct lower(unnest(regexp_extract_all(text, '(?i)\b(mit|apache|gnu)\b'))) as mention from documents")
-def distinct_mentions(spark, sf):
-    return _docs(spark, sf).select(F.explode(text.all_matches(F.col("text"), "(?i)\\b(mit|apache|gnu)\\b")).alias("m")).select(F.lower("m").alias("mention")).distinct()
-
-
-@register("sections")
-def sections(spark, sf):
-    return html.summary(html.split_sections(table(spark, sf, "pages"), "page_id", "html")).drop("tables")
-
-
-@register("filing_numbers")
-def filing_numbers(spark, sf):
-    return html.filing_numbers(html.split_sections(table(spark, sf, "pages"), "page_id", "html"), "page_id").select("page_id", "number", "title", "filing_no")
-
-
-@register("clean_text")
-def clean_text(spark, sf):
-    return html.text_content(table(spark, sf, "pages"), "page_id", "html")
-
-
 @register("page_titles", r"select page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') as title from pages")
 def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"))
 
 
-@register("greedy_spans", "select 1::bigint as k, 2 as spans")
-def greedy_spans(spark, sf):
-    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 3), (2, 9), (8, 10), (10, 12))])
-    from ..operators.intervals import keep_longest
-
-    return spark.range(1, 2).select(F.col("id").alias("k"), F.size(keep_longest(spans)).alias("spans"))
-
-
 @register("incremental_ingest", "select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1")
 def incremental_ingest(spark, sf):
-    out = incremental.ingest_once(spark, f"{sf}/events.parquet", "event_id", "ts")
+    out = incremental.ingest_once(spark, f"{sf}/events.parquet", ["event_id"], "ts", "30 days")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

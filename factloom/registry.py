@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from .plans import QUERIES, SQL, money, records, texts  # noqa: F401
+from .plans import QUERIES, SQL, filings, language, money, records, texts  # noqa: F401

@@ -27,19 +27,23 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUBMISSIONS_SCHEMA).json(path, multiLine=True).withColumn("cik", F.coalesce(F.lpad("cik", 10, "0"), cik_of()))
 
 
-def read_overviews(spark: SparkSession, path: str) -> DataFrame:
+def defaulted(overviews: DataFrame) -> DataFrame:
     """Company overviews that have a cik; a missing code is 9999, Nonclassifiable."""
-    rows = spark.read.schema(OVERVIEW_SCHEMA).json(path, multiLine=True).where("cik is not null")
+    rows = overviews.where("cik is not null")
     return rows.withColumns({"sic_description": F.when(F.col("sic_code").isNull(), "Nonclassifiable").otherwise(F.col("sic_description")), "sic_code": F.coalesce("sic_code", F.lit("9999"))})
 
 
+def read_overviews(spark: SparkSession, path: str) -> DataFrame:
+    return defaulted(spark.read.schema(OVERVIEW_SCHEMA).json(path, multiLine=True))
+
+
 def read_sics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=SIC_SCHEMA)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of <cik>.csv indexes; paths come out with forward slashes."""
-    rows = spark.read.csv(path, header=True, schema=INDEX_SCHEMA).withColumn("cik", F.regexp_extract(F.col("_metadata.file_path"), "([0-9]+)\\.csv$", 1))
+def read_index(spark: SparkSession, path: str, cik: str = "([0-9]+)\\.csv$") -> DataFrame:
+    """A folder of <cik>.csv indexes, or another pattern of the cik in their paths; paths come out with forward slashes."""
+    rows = spark.read.csv(path, header=True, schema=INDEX_SCHEMA).withColumn("cik", F.regexp_extract(F.col("_metadata.file_path"), cik, 1))
     return rows.withColumn("file_path", F.translate("file_path", "\\", "/"))
 
 

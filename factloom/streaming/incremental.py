@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import upsert_newer
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="factloom-stream-")
-    return f"{root.rstrip('/')}/ingest-{uuid.uuid4().hex[:12]}"
+from ..scratch import new_folder
 
 
 def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keys: list[str], watermark: tuple[str, str] | None = None):
     """Starts a query that appends files of `source` not seen before to `sink`, a key once within the watermark, and stops when it has caught up."""
     rows = spark.readStream.schema(schema).parquet(source)
     if watermark:
-        rows = rows.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
+        time, lateness = watermark
+        # watermarks take timestamps with a zone only
+        rows = rows.withColumn("_event_time", F.col(time).cast("timestamp")).withWatermark("_event_time", lateness).dropDuplicatesWithinWatermark(keys).drop("_event_time")
     return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -46,12 +37,10 @@ def upsert_stream(spark: SparkSession, source: str, schema, state: str, checkpoi
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_once(spark: SparkSession, path: str, key: str, time: str) -> DataFrame:
-    """Runs ingest() over one table and gives what it wrote."""
-    root = shared_folder(spark)
+def ingest_once(spark: SparkSession, path: str, keys: list[str], time: str, lateness: str) -> DataFrame:
+    """Runs ingest() over one table and gives what it wrote: a key once within the watermark."""
+    root, schema = new_folder(spark, "ingest"), spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name.replace('.parquet', '[.]parquet')}")
-    query = rows.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
+    # a file is found by a pattern: a stream's source is a folder or a glob
+    ingest(spark, f"{folder}/{name.replace('.parquet', '[.]parquet')}", schema, f"{root}/rows", f"{root}/log", keys, (time, lateness)).awaitTermination()
     return spark.read.schema(schema).parquet(f"{root}/rows")

@@ -4,25 +4,25 @@ from pyspark.sql import functions as F
 
 from factloom.operators import extract, paths
 
-PAGE = """<html><body><p>PROSPECTUS</p><p>We may offer from time to time in one or more offerings securities with an aggregate offering price of up to $75,000,000.</p>
+PAGE = """<html><body><p>PROSPECTUS</p><p>We may offer from time to time in one or more offerings securities with an aggregate offering price of up to $40,000,000.</p>
 <table><tr><td><a href="#u">Use of Proceeds</a></td></tr><tr><td><a href="#p">Plan of Distribution</a></td></tr></table>
-<h2 id="u">Use of Proceeds</h2><p>The exercise price of the Series A warrants is $2.50. The Series A warrants expire on August 6, 2025.
-As of May 4, 2021 there were 1,000 shares of common stock outstanding.</p><h2 id="p">Plan of Distribution</h2><p>x</p></body></html>"""
+<h2 id="u">Use of Proceeds</h2><p>The exercise price of the Series A warrants is $2.50. The Series A warrants expire on March 9, 2031.
+As of June 30, 2019 there were 1,000 shares of common stock outstanding.</p><h2 id="p">Plan of Distribution</h2><p>x</p></body></html>"""
 ATM = "<html><body><h1>PROSPECTUS SUPPLEMENT</h1><p>an at the market offering with an aggregate offering price of up to $9 million</p></body></html>"
-XML = "<edgarSubmission><submissionType>EFFECT</submissionType><effectiveData><finalEffectivenessDispDate>2022-09-06</finalEffectivenessDispDate><form>S-3</form><filer><cik>77</cik><fileNumber>333-1</fileNumber></filer></effectiveData></edgarSubmission>"
+XML = "<edgarSubmission><submissionType>EFFECT</submissionType><effectiveData><finalEffectivenessDispDate>2021-04-07</finalEffectivenessDispDate><form>S-3</form><filer><cik>77</cik><fileNumber>333-1</fileNumber></filer></effectiveData></edgarSubmission>"
 
 
 def test_round(spark):
     d = datetime.date
-    rows = [("a1", "S-3", "333-1", d(2021, 5, 5), "x/a1.htm", PAGE), ("a2", "S-3", "333-1", d(2021, 9, 27), "x/a2.htm", ATM), ("a3", "EFFECT", "333-1", d(2022, 9, 7), "x/a3.xml", XML), ("a4", "S-3", "9", d(2020, 1, 1), "x/a4.htm", PAGE), ("a5", "EFFECT", "1", d(2020, 1, 1), "x/a5.pdf", "")]
+    rows = [("a1", "S-3", "333-1", d(2020, 3, 4), "x/a1.htm", PAGE), ("a2", "S-3", "333-1", d(2020, 8, 1), "x/a2.htm", ATM), ("a3", "EFFECT", "333-1", d(2021, 4, 8), "x/a3.xml", XML), ("a4", "S-3", "9", d(2020, 1, 1), "x/a4.htm", PAGE), ("a5", "EFFECT", "1", d(2020, 1, 1), "x/a5.pdf", "")]
     filings = spark.createDataFrame(rows, "accn string, form_type string, file_number string, filing_date date, path string, content string")
     history = spark.createDataFrame([("a4", d(2020, 2, 2))], "accession_number string, date_parsed date")
     out = extract.parse_new(filings, history, ["S-3", "EFFECT"], "2023-01-01")
     shelf = out["shelf_registrations"].collect()
-    assert [(r.accn, r.capacity, r.expiry) for r in shelf] == [("a1", "7.5E7", d(2021, 5, 5) + datetime.timedelta(extract.SHELF_DAYS))]
+    assert [(r.accn, r.capacity, r.expiry) for r in shelf] == [("a1", "4.0E7", d(2020, 3, 4) + datetime.timedelta(extract.SHELF_DAYS))]
     atm = out["shelf_offerings"].first()
-    assert (atm.accn, atm.shelf_accn, atm.anticipated_offering_amount, atm.end_date) == ("a2", "a1", 9e6, d(2024, 9, 26))
-    assert out["effect_registrations"].first().effective_date == d(2022, 9, 6)
+    assert (atm.accn, atm.shelf_accn, atm.anticipated_offering_amount, atm.end_date) == ("a2", "a1", 9e6, d(2023, 8, 1))
+    assert out["effect_registrations"].first().effective_date == d(2021, 4, 7)
     names = {(r.security_name, r.security_type) for r in out["securities"].collect()}
     assert names == {("series a warrant", "Warrant"), ("common stock", "CommonShare")}
     assert out["securities_outstanding"].first().amount == 1000.0

@@ -1,9 +1,11 @@
 import datetime
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import cash, facts, graph, html, intervals, items, joins, state, text
+from factloom.operators import cash, commands, facts, graph, html, intervals, items, joins, predicates, state, text
 
 
 def fact(end, val, fy=2020, start=None):
@@ -41,8 +43,8 @@ def test_burn_and_runway(spark):
     assert got[2].burn_rate_financing is None and got[2].burn_rate_total == 0.0  # no days, no rate; nothing known counts 0
     net = spark.createDataFrame([(1, d(2020, 1, 31), 1000.0), (2, d(2020, 1, 31), 10.0)], "company_id int, instant date, amount double")
     out = {r.company_id: r for r in cash.runway(net, burn, "company_id", "2020-02-10").collect()}
-    assert out[1].days_of_cash == 190.0 and not out[1].is_infinite
-    assert out[2].days_of_cash is None and out[2].is_infinite
+    assert out[1].days_of_cash == 190.0 and out[1].days_of_cash_date == d(2020, 2, 10)
+    assert out[2].days_of_cash == float("inf")
 
 
 def test_upserts(spark):
@@ -107,7 +109,8 @@ def test_tables(spark):
     assert html.matrix(t, "separate")[0] == ["A", "", "B"]
     assert html.matrix(t, "merge")[1] == ["1 2", "3"]
     assert html.clean_matrix([["a", "", " b "], ["", "", ""], ["c", None, ""]]) == [["a", "b"], ["c", ""]]
-    assert html.classify([["Title", "Amount to be Registered", "Fee"], ["x", "1", "2"]]) == "registration_table"
+    assert html.classify([["Title of each class to be registered", "Amount to be Registered", "Amount of registration fee"], ["x", "1", "2"]]) == "registration_table"
+    assert html.classify([["Amount to be Registered", "Amount of registration fee"], ["1", "2"]]) == "unclassified"
     rows = [["Title", "Amount to be registered", "Proposed Maximum Aggregate Offering Price", "Fee"], ["Common", "10", "5", "1"], ["Total", "", "$75,000,000", "2"]]
     df = spark.createDataFrame([(rows,), (rows[:2],)], "r array<array<string>>").select(html.shelf_capacity(F.col("r")).alias("c"))
     assert [r.c for r in df.collect()] == ["75,000,000", "5"]
@@ -120,10 +123,10 @@ def test_items_and_notices(spark):
     assert [(r.id, r.item, r.body) for r in got.orderBy("item_no").collect()] == [(1, "item101", "Entry. Text one."), (1, "item801", "Other Events. Text two.")]
     day = spark.createDataFrame([("Date of Report (Date of earliest event reported): March 3, 2021",), ("March 3, 2021 (Date of report)",), ("x",)], "t string")
     assert [str(r.d) for r in day.select(items.report_date(F.col("t")).alias("d")).collect()] == ["2021-03-03", "2021-03-03", "None"]
-    xml = "<?xml version='1.0'?><edgarSubmission><submissionType>EFFECT</submissionType><effectiveData><finalEffectivenessDispDate>2022-09-06</finalEffectivenessDispDate>{}<filer><cik>1309082</cik><fileNumber>333-265715</fileNumber></filer></effectiveData></edgarSubmission>"
+    xml = "<?xml version='1.0'?><edgarSubmission><submissionType>EFFECT</submissionType><effectiveData><finalEffectivenessDispDate>2022-09-06</finalEffectivenessDispDate>{}<filer><cik>4411</cik><fileNumber>333-700123</fileNumber></filer></effectiveData></edgarSubmission>"
     notices = spark.createDataFrame([(1, xml.format("<form>S-1</form>")), (2, xml.format("")), (3, "<broken")], "id int, x string")
     got = {r.id: r for r in items.effectiveness(notices, "id", "x").collect()}
-    assert tuple(got[1])[1:] == ("S-1", datetime.date(2022, 9, 6), "333-265715", "0001309082")
+    assert tuple(got[1])[1:] == ("S-1", datetime.date(2022, 9, 6), "333-700123", "0000004411")
     assert got[2].for_form == "EFFECT" and got[3].for_form is None
     table = spark.createDataFrame([([["1.", "Name of reporting person", "Jane Roe"], ["3.", "SEC use only"], ["4.", "Citizenship", "Utah"]],)], "r array<array<string>>")
     found = table.select(items.main_table(F.col("r"), ["name of reporting person", "sec use only", "citizenship"]).alias("m")).first().m
@@ -135,26 +138,114 @@ def one(spark, f, *texts):
 
 
 def test_text(spark):
-    assert one(spark, text.certainty, "Perhaps, we won't issue.", "We may not issue.", "We will issue.") == [("perhaps", 0.5), ("may", 0.2), (None, 1.0)]
-    assert one(spark, text.securities, "The Common stock, Series A Preferred stock and the Series C Warrants are listed. The warrant agreement is not.") == [["Common stock", "Series A Preferred stock", "Series C Warrants"]]
-    prices = one(spark, text.exercise_price, "The exercise price of the warrants is $10.50.", "at an exercise price of 10.50 $ per share", "an exercise price of $1.00 to $2.00", "no price")
-    assert [p and p.amount for p in prices] == [10.5, 10.5, None, None]
-    dates = one(spark, lambda c: text.expiry_date(text.expiry(c)), "The warrant expires on August 6, 2025.", "until the fourth anniversary of December 14, 2021", "never")
-    assert [str(d) for d in dates] == ["2025-08-06", "2025-12-14", "None"]
-    shares = one(spark, text.outstanding_shares, "As of May 4, 2021, 28,831,935 shares of common stock were outstanding.", "10,000 shares of common stock issued and outstanding as of May 4, 2021")
-    assert [(s.amount, str(s.date)) for s in shares] == [(28831935.0, "2021-05-04"), (10000.0, "2021-05-04")]
-    docs = spark.createDataFrame([(1, 'Foo Inc. ("Foo" or the "Company") sells. The Company and Company alike.')], "id int, t string")
+    assert one(spark, text.certainty, "Possibly the board can't agree.", "Holders should not rely on this.", "The board will meet.") == [("possibly", 0.3), ("should", 0.4), (None, 1.0)]
+    assert one(spark, text.securities, "Listed are our Ordinary Shares, Class B common stock and Tranche 2 Warrants. A warrant certificate is none.") == [["Ordinary Shares", "Class B common stock", "Tranche 2 Warrants"]]
+    prices = one(spark, text.exercise_price, "Each right has a redemption price of $7.25.", "with a conversion price per note equal to 7.25 $", "redemption prices of $3.00 and $4.00", "free of charge")
+    assert [p and p.amount for p in prices] == [7.25, 7.25, None, None]
+    dates = one(spark, lambda c: text.expiry_date(text.expiry(c)), "The option terminates on March 9, 2031.", "valid until the second anniversary of July 1, 2024", "at any time")
+    assert [str(d) for d in dates] == ["2031-03-09", "2026-07-02", "None"]
+    shares = one(spark, text.outstanding_shares, "On June 30, 2019, 1,250,400 shares of common stock were outstanding.", "77,000 shares of common stock issued and outstanding at June 30, 2019")
+    assert [(s.amount, str(s.date)) for s in shares] == [(1250400.0, "2019-06-30"), (77000.0, "2019-06-30")]
+    docs = spark.createDataFrame([(1, 'Acme Corp. ("Acme" or the "Issuer") sells. The Issuer and Issuer alike.')], "id int, t string")
     got = text.aliases(docs, "id", "t")
-    assert {(r.alias, r.role) for r in got.collect()} == {("Foo", "component"), ("Company", "base")}
+    assert {(r.alias, r.role) for r in got.collect()} == {("Acme", "component"), ("Issuer", "base")}
     assert text.alias_references(got, docs, "id", "t").first().n_references == 2
-    assert one(spark, text.aggregate_offering, "an aggregate offering price of up to $75,000,000", "none") == [75e6, None]
-    assert one(spark, text.split_enumeration, "follows: (a) one; (b) two.") == [["(a) one", "(b) two"]]
-    rel = text.security_relations(spark.createDataFrame([(1, "As of May 4, 2021 there were 1,000 shares of common stock outstanding.")], "id int, t string"), "id", "t")
-    assert rel.where(text.is_outstanding_quantity(F.struct("negated", "date", "certainty", "amods", "amount"))).first().amount == 1000.0
+    assert one(spark, text.aggregate_offering, "an aggregate offering price of up to $12,500,000", "none") == [12.5e6, None]
+    assert one(spark, text.split_enumeration, "namely: (i) first; (ii) second.") == [["(i) first", "(ii) second"]]
+    rel = text.security_relations(spark.createDataFrame([(1, "On June 30, 2019 there were 2,000 shares of common stock outstanding.")], "id int, t string"), "id", "t")
+    assert rel.where(text.is_outstanding_quantity(F.struct("negated", "date", "certainty", "amods", "amount"))).first().amount == 2000.0
     scored = spark.createDataFrame([("o1", "a", 1.5), ("o2", "a", 1.6), ("o1", "b", 1.3)], "o string, a string, s double")
     assert [tuple(r) for r in text.best_alias(scored, "o", "a", "s").collect()] == [("o2", "a", 1.6)]
 
 
+def test_places_and_aliases(spark):
+    assert one(spark, lambda c: text.places(c, "[a-z]+"), "ab 1 c", "", None, "1") == [[(0, 2, "ab"), (5, 6, "c")], [], None, []]
+    t = 'Firm (the "Seller") and Bank (the "Seller Trust") agree. Seller Trust pays Seller; the Resellers do not. A (the "Seller") note.'
+    docs = spark.createDataFrame([(1, t), (2, None), (3, "no alias")], "id int, t string")
+    found = text.alias_places(text.aliases(docs, "id", "t"), docs, "id", "t").collect()
+    assert sorted((r.alias, t[r.start : r.end]) for r in found) == [("Seller", "Seller"), ("Seller Trust", "Seller Trust")]
+    docs = spark.createDataFrame([(1, "We sell Pre-Funded Warrants. Each pre-funded warrant and PRE-FUNDED WARRANTS count."), (2, None)], "id int, t string")
+    assert text.second_pass(docs, "id", "t").count() == 3
+
+
+def brute_longest(spans):
+    kept = []
+    for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[1])):
+        if all(b <= x or y <= a for x, y in kept):
+            kept.append((a, b))
+    return sorted(kept)
+
+
+def test_keep_longest(spark):
+    rng = random.Random(3)
+    rows = [(i, [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 30) for _ in range(rng.randint(0, 9)))]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, s array<struct<start int, end int>>")
+    got = {r.id: [tuple(x) for x in r.k] for r in df.select("id", intervals.keep_longest(F.col("s")).alias("k")).collect()}
+    assert got == {i: brute_longest(s) for i, s in rows}
+
+
+def test_deep_and_cyclic_graphs(spark):
+    chain = spark.range(999).selectExpr("concat('n', id) as parent", "concat('n', id + 1) as child")
+    up = graph.ancestors(chain)
+    assert up.count() == 999 * 1000 // 2 and up.agg(F.max("depth")).first()[0] == 999
+    assert len(graph.root_paths(chain).first().path) == 1000
+    assert graph.ultimate_origins(chain).where("origin <> 'n0'").count() == 0
+    pairs = spark.createDataFrame([("n10", "n900"), ("n5", "n5")], "a string, b string")
+    assert {(r.a, len(r.path), r.path[0], r.path[-1]) for r in graph.shortest_paths(chain, pairs).collect()} == {("n10", 891, "n10", "n900"), ("n5", 1, "n5", "n5")}
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("r", "a"), (None, "x"), ("x", None), ("a", "b")], "parent string, child string")
+    assert {(r.child, r.ancestor) for r in graph.ancestors(ring).collect()} == {(x, y) for x in "abcd" for y in "abcr" if x != y}
+    assert [(r.leaf, r.path) for r in graph.root_paths(ring).collect()] == [("d", ["r", "a", "b", "c", "d"])]
+    assert {r.child for r in graph.ultimate_origins(ring).where("origin = 'r'").collect()} == {*"abcd"}
+    wide = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")], "parent string, child string")
+    assert sorted(r.path for r in graph.root_paths(wide).collect()) == [[*"abde"], [*"acde"]]
+    empty = wide.limit(0)
+    assert graph.ancestors(empty).count() == graph.root_paths(empty).count() == 0
+
+
+def test_many_edges(spark):
+    """Two million edges: a forest of trees of three levels."""
+    edges = spark.range(2_000_000).selectExpr("if(id < 1000, -1 - id % 10, (id - 1000) % 1000) as parent", "id as child")
+    origins = graph.ultimate_origins(edges)
+    assert origins.count() == 2_000_000 and origins.where("origin >= 0").count() == 0
+
+
+def test_command_rules(spark):
+    none = lambda s: spark.createDataFrame([], s)
+    shelves = spark.createDataFrame([(1, "a", 5), (1, "b", 1)], "company_id long, accn string, seq long")
+    new = spark.createDataFrame([(1, "a", 3, "clash"), (1, "a", 7, ""), (1, "a", 8, ""), (1, "b", 2, ""), (2, "b", 9, ""), (None, None, 4, "")], "company_id long, accn string, seq long, reason string")
+    table, missed = commands.add_offerings(none("company_id long, accn string, shelf_accn string"), new, shelves)
+    assert sorted(map(tuple, table.collect())) == [(1, "a", "a"), (1, "b", "b")]
+    assert sorted(r.seq for r in missed.collect()) == [3, 4, 9]
+    secu = spark.createDataFrame([(1, 10, '{"name": "w", "right": "Call"}'), (1, 11, '{"name": "w", "right": "Put"}'), (1, 12, "broken"), (1, 13, None)], "company_id long, id long, security_attributes string")
+    facts_ = spark.createDataFrame([(1, 1, {"name": "w"}, 5.0, "d"), (1, 2, {"name": "w", "right": "Put"}, 6.0, "d"), (1, 3, {"name": "x"}, 7.0, "d"), (1, 4, {}, 1.0, "d"), (1, 5, None, 1.0, "d"), (1, 6, {"name": "w"}, 5.0, "d")], "company_id long, seq long, attributes map<string,string>, amount double, instant string")
+    held, missed = commands.add_outstanding(none("security_id long, amount double, instant string"), facts_, secu)
+    assert sorted(map(tuple, held.collect())) == [(10, 5.0, "d"), (11, 6.0, "d")] and sorted(r.seq for r in missed.collect()) == [3, 4, 5]
+    seen, missed = commands.add_occurrences(spark.createDataFrame([(11, "f")], "security_id long, accn string"), facts_.withColumn("accn", F.lit("f")), secu)
+    assert sorted(map(tuple, seen.collect())) == [(10, "f"), (11, "f")]
+    assert {r.seq: r.reason for r in missed.collect()} == {2: "already present", 6: "already present", **dict.fromkeys((3, 4, 5), "no security with these attributes")}
+
+
+def test_places_by_date(spark):
+    rows = spark.createDataFrame([(3, "b"), (1, "b"), (2, "a"), (9, "c")], "k int, d string")
+    assert {r.k: r.n for r in predicates.numbered(rows, "d", ["k"], "n").collect()} == {2: 1, 1: 2, 3: 3, 9: 4}
+
+
+def test_front_pages(spark):
+    page = "<title>T</title><p>Form S-3</p><p>EXPLANATORY NOTE</p><p>Two parts.</p>" + PAGE
+    out = html.sections(page)
+    assert [s["title"] for s in out] == ["front page", "explanatory note", "cover page", "Use of Proceeds", "Plan of Distribution"]
+    assert out[0]["text"] == "Form S-3" and out[1]["text"] == "EXPLANATORY NOTE Two parts."
+    styled = html.parse("<center><b>HEAD</b></center><p style='text-align:center'><span style='font-weight:700'>Sub</span> plain</p><div hidden><script>x</script></div>")
+    assert [(p["text"], p["bold"], p["centered"]) for p in styled.pieces] == [("HEAD", True, True), ("Sub", True, True), ("plain", False, True)]
+
+
+@pytest.mark.parametrize(("written", "value"), [("7,5", 7.5), ("7,55", 7.55), ("7,1234", 71234.0), ("100,000", 100000.0), ("2,500,000.75", 2500000.75), ("1.000,5", None), ("12", 12.0), ("x", None)])
+def test_numbers(spark, written, value):
+    from factloom.functions import scalars
+
+    assert one(spark, scalars.american_number, written) == [value]
+
+
 def test_joins(spark):
     p = spark.createDataFrame([(1,), (2,)], "k int")
     c = spark.createDataFrame([(1, "b"), (1, "a")], "fk int, v string")
@@ -162,3 +253,5 @@ def test_joins(spark):
     assert got == {1: ["a", "b"], 2: []}
     either = joins.join_either(p, spark.createDataFrame([(1, 2), (2, 2)], "x int, y int"), "k", "x", "y")
     assert either.count() == 3
+    twice = joins.join_either(p, spark.createDataFrame([(1, 5), (1, 5), (5, 1), (1, 1), (None, 2)], "x int, y int"), "k", "x", "y")
+    assert sorted(r.k for r in twice.collect()) == [1, 1, 1, 1, 2]

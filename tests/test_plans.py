@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def canon(df):
     def plain(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v) or v is pd.NaT:
             return "null"
         return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 
