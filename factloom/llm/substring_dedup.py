@@ -1,6 +1,6 @@
 """Exact removal of word windows that already start in a document with a smaller doc_id.
 
-Plan, for 100 TB. Documents are dealt to blocks by a hash of doc_id; that exchange moves the
+Plan, for 100 TB. Documents are dealt to blocks by a hash of doc_id and text; that exchange moves the
 texts once and is reused by all three passes over them:
 
 1. Each block sends its distinct *anchors* (the least 5-word hash inside each 13-word window,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .textops import Words
+from .textops import Words, slim
 
 WINDOW, GRAM = 13, 5
 #: Blocks for each shuffle partition. There is one bucket a partition: a block sends each bucket a row, so more would multiply rows.
@@ -241,13 +241,34 @@ def cut_rows(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFram
     return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
+def _slimmed(run):
+    def slimmed(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            slim()
+
+    return slimmed
+
+
+def _slimmed2(run):
+    def slimmed(group: pa.Table, back: pa.Table) -> pa.Table:
+        try:
+            return run(group, back)
+        finally:
+            slim()
+
+    return slimmed
+
+
 def _by_blocks(docs: DataFrame, width: int, gram: int, remove, schema, *more: Column) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks, buckets = SPREAD * parts, parts
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    # rows of one doc_id never remove each other's words, so they need not meet: neither it nor null makes a hot block
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     by_block = dealt.groupBy("block")
-    shared = by_block.applyInArrow(_send_anchors(width, gram, buckets), SENT).groupBy("bucket").applyInArrow(_shared, BACK)
-    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(width, gram, buckets), SENT)
+    shared = by_block.applyInArrow(_slimmed(_send_anchors(width, gram, buckets)), SENT).groupBy("bucket").applyInArrow(_shared, BACK)
+    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_slimmed2(_send_windows(width, gram, buckets)), SENT)
     owners = windows.groupBy("bucket").applyInArrow(_owners, BACK)
-    return by_block.cogroup(owners.groupBy("block")).applyInArrow(remove, schema)
+    return by_block.cogroup(owners.groupBy("block")).applyInArrow(_slimmed2(remove), schema)
