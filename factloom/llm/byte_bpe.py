@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import slim, slimming
+
 #: UTF-8 bytes of text after which a block closes.
 BLOCK_BYTES = 16 << 20
 #: Places of a parcel, and pre-tokens handled at once.
@@ -310,7 +312,10 @@ def _assemble(table, digest: bool, stretch: int):
             else:
                 at = here.tolist()
                 out.append((doc, [t for i in at for t in vocabulary[i]], b"".join([raw[i] for i in at])))
-        return pa.table([pa.array([r[i] for r in out], t.type) for i, t in enumerate(schema)], schema=schema)
+        done = pa.table([pa.array([r[i] for r in out], t.type) for i, t in enumerate(schema)], schema=schema)
+        del vocabulary, digits, raw, parcels, places, out
+        slim()
+        return done
 
     return run
 
@@ -325,6 +330,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool =
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(load_ranks(ranks_path))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(rust_space(pattern), 2 * parts, block_bytes, stretch), PART)
-    encoded = cut.repartition(parts, "bucket").mapInArrow(_encode(table), PART)
+    cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(slimming(_cut(rust_space(pattern), 2 * parts, block_bytes, stretch)), PART)
+    encoded = cut.repartition(parts, "bucket").mapInArrow(slimming(_encode(table)), PART)
     return encoded.groupBy("block").applyInArrow(_assemble(table, digest, stretch), DIGEST if digest else DONE)

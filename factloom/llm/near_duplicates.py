@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textops import Scratch, Words, chunks, constants, lower_ascii, mix, table
+from .textops import Scratch, Words, chunks, constants, lower_ascii, mix, slimming, table
 
 COORDINATES, SHINGLE, PERCENT = 32, 5, 85
 #: Further coordinates, kept as 8 bits each.
@@ -105,7 +105,7 @@ def _signed(k: int, coordinates: int):
 def signatures(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, set key (set_a, set_b) and the posting keys of each text; one key per coordinate-value pair."""
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return cols.mapInArrow(_signed(k, coordinates), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, marks binary")
+    return cols.mapInArrow(slimming(_signed(k, coordinates)), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, marks binary")
 
 
 _CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -187,7 +187,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     # merge: the texts are too large to broadcast at any size worth planning for
     met = ask.hint("merge").join(texts, "doc_id").select("g", "doc_id", "hub", "text")
     met = met.repartition(parts, "g").sortWithinPartitions("g", F.desc("hub"))
-    return met.mapInArrow(_compare(k, percent), "a long, b long")
+    return met.mapInArrow(slimming(_compare(k, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, threshold: int | None = None) -> DataFrame:
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     both = odd.unionByName(rest).join(owner.select("rep", "marks"), "rep")
     both = both.hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(F.xxhash64("a", "s").alias("g"), "rep", "part", "kind", "marks", "text")
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(_meet(marks_alike, k, percent), "a long, b long")
+    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(slimming(_meet(marks_alike, k, percent)), "a long, b long")
     links = links.unionByName(cross)
     parts = components(links, scratch)
 

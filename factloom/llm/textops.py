@@ -8,16 +8,15 @@ so reruns and other machines agree.
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import new_folder
+
 #: Bytes of text hashed at once; bounds the working arrays to a few dozen MB.
 CHUNK_BYTES = 512 << 10
 
@@ -118,26 +117,22 @@ def lower_ascii(texts: Iterable[bytes]) -> list[bytes]:
     return [t.lower() for t in texts]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode (tests), an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="factloom-"))
-    return found.rstrip("/")
-
-
-_LOCAL: dict[str, str] = {}
+def slim() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and an executor's other workers need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def _forget() -> None:
-    import shutil
+def slimming(run):
+    """run, for mapInArrow, with slim() after its last batch."""
 
-    shutil.rmtree(_LOCAL.get("dir", "/nonexistent"), ignore_errors=True)
+    def slimmed(batches):
+        yield from run(batches)
+        slim()
 
-
-atexit.register(_forget)
+    return slimmed
 
 
 class Scratch:
@@ -149,7 +144,7 @@ class Scratch:
     _opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, new_folder(spark, label)
         self.n = 0
         Scratch._opened.append(self)
 
@@ -168,10 +163,13 @@ class Scratch:
     def drop(cls, since: int) -> None:
         """Deletes the tables of all that was opened since the mark; their readers must be done."""
         for s in cls._opened[since:]:
-            p = s.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.root)
-            p.getFileSystem(s.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            s.delete()
         del cls._opened[since:]
 
+    def delete(self) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))

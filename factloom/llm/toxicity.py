@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textops import slimming
+
 #: Rows of each label that are learnt from, in expectation.
 PER_LABEL = {1: 2000, 0: 5000}
 THRESHOLD = 0.3
@@ -243,7 +245,7 @@ def _count(batches):
 
 def character_counts(docs: DataFrame) -> np.ndarray:
     """Trigram counts over all texts; at most 28^3 sums reach the driver."""
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select(F.col("text").cast("binary")).mapInArrow(slimming(_count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(_SYMBOLS**3, np.int64)
     for r in counted:
         out[r["code"]] = r["n"]
@@ -298,10 +300,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, per_lab
     """
     shared = _learn(docs, labels, training, per_label)
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cols.mapInArrow(_score(shared), "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return cols.mapInArrow(slimming(_score(shared)), "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def clean_rows(docs: DataFrame, labels: DataFrame, training: Column, per_label: dict[int, int] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score_toxicity doesn't predict toxic; each row is judged by its own text."""
     shared = _learn(docs.select("doc_id", "text"), labels, training, per_label)
-    return docs.mapInArrow(_clean(shared, docs.columns.index("text"), threshold), docs.schema)
+    return docs.mapInArrow(slimming(_clean(shared, docs.columns.index("text"), threshold)), docs.schema)
