@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, substring dedup, source mixing, byte-level BPE.
 
 STAGES lists (name, function); each takes (spark, docs, sf_dir), docs being what the stage before wrote. All but the last
-return the columns of docs. SQL can't express the learnt and drawn stages, so ORACLE_SQL is None; tests compare the
-stages with brute force.
+return the columns of docs. SQL can't express the learnt and drawn stages, so ORACLE_SQL is None; tests compare rows of
+each stage with brute force or planted cases (tests/llm/test_pipeline_rows.py), encoding with tiktoken.
 """
 
 from __future__ import annotations
@@ -69,8 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read as the next one's docs."""
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; each result is written to the shared folder and read as the next one's docs.
+
+    Once a stage's result is written, the tables it was made from are dropped.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        kept = Scratch(spark, "pipeline")
+        mark = Scratch.opened()
+        docs = kept.keep(stage(spark, docs, sf_dir))
+        Scratch.drop(mark)
+        if before is not None:
+            before.delete()
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
