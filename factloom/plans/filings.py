@@ -90,9 +90,9 @@ def _burn(spark, sf):
     return cash.burn_rates(_flows(spark, sf).selectExpr("c", "kind", "start as from_date", "`end` as to_date", "val as amount"), "c")
 
 
-@register("facts_burn", f"with {_BURN} select c, strftime(start, '%Y-%m-%d') as from_date, strftime(\"end\", '%Y-%m-%d') as to_date, round(op, 4) as burn_rate_operating, round(inv, 4) as burn_rate_investing, round(fin, 4) as burn_rate_financing, round(total, 4) as burn_rate_total from l")
+@register("facts_burn", f"with {_BURN} select c, strftime(start, '%Y-%m-%d') as from_date, strftime(\"end\", '%Y-%m-%d') as to_date, op as burn_rate_operating, inv as burn_rate_investing, fin as burn_rate_financing, total as burn_rate_total from l")
 def facts_burn(spark, sf):
-    return _days(_burn(spark, sf).withColumns({f"burn_rate_{k}": F.round(f"burn_rate_{k}", 4) for k in ("operating", "investing", "financing", "total")}), "from_date", "to_date")
+    return _days(_burn(spark, sf), "from_date", "to_date")
 
 
 @register("facts_runway", f"""with {_BURN},
