@@ -7,7 +7,9 @@ a lattice of letters they may stand for, and Viterbi picks the reading most like
 model and the channel's costs; other tokens have one reading. Restored words and their
 prefixes are looked up in a lexicon learnt from a bounded sample of labelled rows: each entry
 holds a lower confidence bound of the share of toxic rows among those that contain it.
-A text scores as its strongest entry. Scoring is one scan with a broadcast model of bounded size.
+A logistic regression turns a text's strongest entry, the number of its tokens that hold one and its length into a
+probability; it is fitted on folds whose entries the other folds gave, weighted to the labels' own shares. Scoring is one
+scan with a broadcast model of bounded size.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ PER_LABEL = {1: 2000, 0: 5000}
 THRESHOLD = 0.3
 #: An entry must beat chance by this many nats beyond the logarithm of the number of entries tried, and reach this bound.
 MARGIN, LEAST = 3.0, 0.6
+#: The score's logistic regression: folds of its fit, ridge, logarithm of the number of tokens that counts as longest, which features are evidence.
+FOLDS, RIDGE, LONGEST = 5, 1.0, 12.0
+EVIDENCE = np.array([False, True, True, True, False])
 #: Letters that digits and symbols may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Log-probabilities of the channel: a symbol for a letter, a symbol for itself, a doubled letter drawn out, one letter written twice.
@@ -168,31 +173,33 @@ def unlike(rows: list[tuple[str, int]], coordinates: int = 24, alike: int = 12)
 
 
 class Lexicon:
-    """Lower confidence bounds of toxicity for words and prefixes."""
+    """Lower confidence bounds of toxicity for words and prefixes, and the probability of toxicity of a text from the entries it holds."""
 
     def __init__(self, decoder: Decoder):
         self.decoder, self.bound, self.memo = decoder, {}, {}
+        self.weights: np.ndarray | None = None
 
     @staticmethod
     def keys(word: str) -> tuple[str, ...]:
         n = len(word)
         return (word + "$",) if n < 5 else (word + "$", word[:4]) if n == 5 else (word + "$", word[:4], word[:5]) if n == 6 else (word + "$", word[:4], word[:5], word[:6])
 
-    def words(self, text: str) -> set[str]:
-        out: set[str] = set()
-        for token in set(text.split()):
-            out.update(self.decoder.readings(token))
-        out.update(self.decoder.spaced(text))
-        return out
+    def units(self, text: str) -> tuple[list[list[str]], int]:
+        """Restored words of each distinct token and of the spaced runs as one unit more, and the number of distinct tokens."""
+        tokens = set(text.split())
+        return [*map(self.decoder.readings, tokens), self.decoder.spaced(text)], len(tokens)
 
-    def fit(self, rows: list[tuple[str, int]]) -> Lexicon:
-        rows, hit, miss = unlike(rows), Counter(), Counter()
-        for text, toxic in rows:
-            (hit if toxic else miss).update({k for w in self.words(text) if len(w) > 2 for k in self.keys(w)})
-        n1, n0 = sum(t for _, t in rows), sum(1 - t for _, t in rows)
+    @staticmethod
+    def bounds(rows: list[tuple[set[str], int]]) -> dict[str, float]:
+        """Entries from (keys of a row, its label)."""
+        out, hit, miss = {}, Counter(), Counter()
+        for keys, toxic in rows:
+            (hit if toxic else miss).update(keys)
+        n1 = sum(t for _, t in rows)
+        n0 = len(rows) - n1
         tested = {k: a for k, a in hit.items() if a >= 3}
         if not tested or not n0:
-            return self
+            return out
         base, needed, z = n1 / (n1 + n0), math.log(len(tested)) + MARGIN, 1.5
         for k, a in tested.items():
             n = a + miss[k]
@@ -200,35 +207,85 @@ class Lexicon:
             excess = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0)
             low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
             if p > base and n * excess >= needed and low > LEAST:
-                self.bound[k] = round(low, 6)
+                out[k] = round(low, 6)
         # a prefix that one word accounts for says nothing about others
-        for word in [k for k in self.bound if k[-1] == "$"]:
-            for prefix in self.keys(word[:-1])[1:]:
+        for word in [k for k in out if k[-1] == "$"]:
+            for prefix in Lexicon.keys(word[:-1])[1:]:
                 if hit[word] >= 0.5 * hit[prefix]:
-                    self.bound.pop(prefix, None)
+                    out.pop(prefix, None)
+        return out
+
+    def fit(self, rows: list[tuple[str, int]], natural: float | None = None) -> Lexicon:
+        """Learns the entries from all rows; the weights from entries that FOLDS - 1 folds gave, seen on the fold left out.
+
+        natural: share of toxic rows among all labelled ones, where the rows are a sample by label.
+        """
+        read = [(*self.units(text), toxic, zlib.crc32(text.encode()) % FOLDS) for text, toxic in unlike(rows)]
+        keyed = [({k for words in units for w in words if len(w) > 2 for k in self.keys(w)}, toxic) for units, _, toxic, _ in read]
+        self.bound = self.bounds(keyed)
+        if not self.bound:
+            return self
+        x = []
+        without = [self.bounds([r for r, (*_, f) in zip(keyed, read, strict=True) if f != fold]) for fold in range(FOLDS)]
+        for units, n, _, fold in read:
+            x.append(self.features([best_of(words, without[fold]) for words in units], n))
+        y = np.array([toxic for *_, toxic, _ in read], np.float64)
+        share = y.mean()
+        natural = share if natural is None else natural
+        self.weights = calibrated(np.array(x), y, np.where(y == 1, natural / share, (1 - natural) / (1 - share)))
         return self
 
+    @staticmethod
+    def features(bests: list[float], tokens: int) -> tuple[float, ...]:
+        """1; an entry is there; its strength beyond the least; how many tokens hold one; how many different tokens there are."""
+        best, hits = max(bests, default=0.0), sum(b > 0 for b in bests)
+        strength = math.log(best / (1 - best)) - math.log(LEAST / (1 - LEAST)) if 0 < best < 1 else 0.0
+        return 1.0, float(hits > 0), strength, math.log(max(hits, 1)), min(math.log1p(tokens), LONGEST) / LONGEST
+
     def of_token(self, token: str) -> float:
         found = self.memo.get(token)
         if found is None:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            found = self.memo[token] = self.of_words(self.decoder.readings(token))
+            found = self.memo[token] = best_of(self.decoder.readings(token), self.bound)
         return found
 
-    def of_words(self, words: list[str]) -> float:
-        best, bound = 0.0, self.bound
-        for w in words:
-            for k in self.keys(w):
-                if k in bound and bound[k] > best:
-                    best = bound[k]
-        return best
+    def bests(self, text: str) -> list[float]:
+        """The strongest entry of each distinct token, and of the spaced runs."""
+        return [*map(self.of_token, set(text.split())), best_of(self.decoder.spaced(text), self.bound)]
 
-    def score(self, text: str) -> float:
-        if not text:
+    def score(self, text: str | None) -> float:
+        """Probability of toxicity; 0 for every text if nothing was learnt."""
+        if self.weights is None:
             return 0.0
-        best = max(map(self.of_token, set(text.split())), default=0.0)
-        return max(best, self.of_words(self.decoder.spaced(text)))
+        bests = self.bests(text or "")
+        return 1 / (1 + math.exp(-float(np.dot(self.weights, self.features(bests, len(bests) - 1)))))
+
+
+def best_of(words: list[str], bound: dict[str, float]) -> float:
+    """The strongest entry among the words' keys; 0 if there is none."""
+    return max((bound[k] for w in words for k in Lexicon.keys(w) if k in bound), default=0.0)
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; a feature of evidence that came out negative is left out."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w, part = np.zeros(used.sum()), x[:, used]
+        ridge = np.where(np.flatnonzero(used) == 0, 1e-6, RIDGE)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope = part.T @ (share * (p - y)) + ridge * w
+            step = np.linalg.solve((part * (share * p * (1 - p))[:, None]).T @ part + np.diag(ridge), slope)
+            w = w - np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-8:
+                break
+        out = np.zeros(x.shape[1])
+        out[used] = w
+        wrong = (out < 0) & EVIDENCE
+        if not wrong.any():
+            return out
+        used &= ~wrong
 
 
 def _count(batches):
@@ -252,15 +309,16 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: dict[int, int]) -> list[tuple[str, int]]:
-    """(text, toxic) of about `per_label[toxic]` rows for each label, chosen by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: dict[int, int]) -> tuple[list[tuple[str, int]], float | None]:
+    """(text, toxic) of about `per_label[toxic]` rows for each label, chosen by a hash of doc_id; the share of toxic ones among all labelled."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = lambda v: int(min(1.0, per_label[v] / n.get(v, 1)) * (1 << 30))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
     # about sum(per_label) rows: a fixed bound, so the broadcast does not grow with the corpus
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    return sorted({(r["text"], r["toxic"]) for r in rows.select("text", "toxic").collect()})
+    total = sum(n.values())
+    return sorted({(r["text"], r["toxic"]) for r in rows.select("text", "toxic").collect()}), n.get(1, 0) / total if total else None
 
 
 def _score(shared):
@@ -287,7 +345,7 @@ def _clean(shared, at: int, threshold: float):
 def _learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: dict[int, int] | None):
     """The lexicon learnt from labels, as a broadcast."""
     decoder = Decoder(character_counts(docs))
-    lexicon = Lexicon(decoder).fit(labelled_sample(docs, labels.where(training), per_label or PER_LABEL))
+    lexicon = Lexicon(decoder).fit(*labelled_sample(docs, labels.where(training), per_label or PER_LABEL))
     return docs.sparkSession.sparkContext.broadcast(lexicon)
 
 
@@ -295,8 +353,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, per_lab
     """One row per row of docs (doc_id, text): doc_id, score (0 to 1), predicted (1 from `threshold` on).
 
     Learns from rows of labels (doc_id, toxic in 0, 1) where `training` holds; other values and
-    null are skipped. Null and empty texts score 0, as does every text if nothing can be
-    learned. Repeated rows stay apart; extra columns are ignored; an empty table gives no rows.
+    null are skipped. Null and empty texts score as texts without a word; every text scores 0 if
+    nothing can be learned. Repeated rows stay apart; extra columns are ignored; an empty table gives no rows.
     """
     shared = _learn(docs, labels, training, per_label)
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -44,6 +44,25 @@ def test_scores_of_texts(decoder):
     lexicon = toxicity.Lexicon(decoder)
     lexicon.bound = {"moron$": 0.9, "scum$": 0.9, "idiot$": 0.9}
     for text in ("you are a m o r o n", "$ c u m", "x,id" + "i" * 90 + "ot,y", "s\tc\tu\tm"):
-        assert lexicon.score(text) == 0.9
+        assert max(lexicon.bests(text)) == 0.9
     for text in ("a | b | c | d", "1. 2. 3.", "a glass house", "", "see (a) (b) (c)"):
-        assert lexicon.score(text) == 0.0
+        assert max(lexicon.bests(text)) == 0.0
+
+
+def test_scores_are_calibrated(decoder):
+    rng = np.random.default_rng(4)
+    plain = [f"w{i}" for i in range(400)]
+    rows = [(" ".join(rng.choice(plain, 12)) + (" moron" if i % 5 == 0 else ""), int(i % 5 == 0 and i % 10 != 5)) for i in range(1000)]
+    lexicon = toxicity.Lexicon(decoder).fit(rows)
+    with_entry, without = [lexicon.score(f"{t} moron") for t, _ in rows[:50]], [lexicon.score(t) for t, y in rows[1:50:5]]
+    # half of the texts that hold the word are toxic: no entry reaches the least bound, so nothing is learnt
+    assert not lexicon.bound and {*with_entry, *without} == {0.0}
+    rows = [(" ".join(rng.choice(plain, 12)) + (" moron" if i % 5 == 0 else ""), int(i % 5 == 0 and i % 25 != 5)) for i in range(1000)]
+    lexicon = toxicity.Lexicon(decoder).fit(rows)
+    assert "moron$" in lexicon.bound
+    share = np.mean([lexicon.score(t) for t, _ in rows if "moron" in t])
+    assert abs(share - 0.8) < 0.06 and lexicon.score("w1 w2") < 0.05
+    assert lexicon.score("w1 m0r0n") > 0.3 > lexicon.score("") == lexicon.score(None) > 0
+    # a sample of half toxic rows from labels of which a hundredth is toxic: scores follow the labels
+    rare = toxicity.Lexicon(decoder).fit(rows, natural=0.01)
+    assert rare.score("w1 moron") < lexicon.score("w1 moron")
