@@ -184,25 +184,22 @@ class Lexicon:
         n = len(word)
         return (word + "$",) if n < 5 else (word + "$", word[:4]) if n == 5 else (word + "$", word[:4], word[:5]) if n == 6 else (word + "$", word[:4], word[:5], word[:6])
 
-    def units(self, text: str) -> tuple[list[list[str]], int]:
-        """Restored words of each distinct token and of the spaced runs as one unit more, and the number of distinct tokens."""
-        tokens = set(text.split())
-        return [*map(self.decoder.readings, tokens), self.decoder.spaced(text)], len(tokens)
+    def entries(self, text: str) -> set[str]:
+        """The keys of all restored words of three letters or more."""
+        words = {w for token in set(text.split()) for w in self.decoder.readings(token)}
+        words.update(self.decoder.spaced(text))
+        return {k for w in words if len(w) > 2 for k in self.keys(w)}
 
     @staticmethod
-    def bounds(rows: list[tuple[set[str], int]]) -> dict[str, float]:
-        """Entries from (keys of a row, its label)."""
-        out, hit, miss = {}, Counter(), Counter()
-        for keys, toxic in rows:
-            (hit if toxic else miss).update(keys)
-        n1 = sum(t for _, t in rows)
-        n0 = len(rows) - n1
+    def bounds(hit: dict[str, int], miss: dict[str, int], n1: int, n0: int) -> dict[str, float]:
+        """Entries from the numbers of toxic and other rows that hold a key, and of all toxic and other rows."""
+        out = {}
         tested = {k: a for k, a in hit.items() if a >= 3}
         if not tested or not n0:
             return out
         base, needed, z = n1 / (n1 + n0), math.log(len(tested)) + MARGIN, 1.5
         for k, a in tested.items():
-            n = a + miss[k]
+            n = a + miss.get(k, 0)
             p = a / n
             excess = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0)
             low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
@@ -220,28 +217,32 @@ class Lexicon:
 
         natural: share of toxic rows among all labelled ones, where the rows are a sample by label.
         """
-        read = [(*self.units(text), toxic, zlib.crc32(text.encode()) % FOLDS) for text, toxic in unlike(rows)]
-        keyed = [({k for words in units for w in words if len(w) > 2 for k in self.keys(w)}, toxic) for units, _, toxic, _ in read]
-        self.bound = self.bounds(keyed)
+        rows = unlike(rows)
+        folds = np.array([zlib.crc32(text.encode()) % FOLDS for text, _ in rows])
+        y = np.array([toxic for _, toxic in rows], np.int64)
+        # counts only: rows are read again where their keys are needed, so memory holds the keys of the toxic rows alone
+        hits, misses = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
+        for i in np.flatnonzero(y == 1):
+            hits[folds[i]].update(self.entries(rows[i][0]))
+        hit = sum(hits, Counter())
+        tested = {k for k, n in hit.items() if n >= 3}
+        for i in np.flatnonzero(y == 0):
+            misses[folds[i]].update(self.entries(rows[i][0]) & tested)
+        miss = sum(misses, Counter())
+        self.bound = self.bounds(hit, miss, int((y == 1).sum()), int((y == 0).sum()))
         if not self.bound:
             return self
-        x = []
-        without = [self.bounds([r for r, (*_, f) in zip(keyed, read, strict=True) if f != fold]) for fold in range(FOLDS)]
-        for units, n, _, fold in read:
-            x.append(self.features([best_of(words, without[fold]) for words in units], n))
-        y = np.array([toxic for *_, toxic, _ in read], np.float64)
+        x = np.zeros((len(rows), len(EVIDENCE)))
+        for fold in range(FOLDS):
+            others, seen = Lexicon(self.decoder), folds != fold
+            others.bound = self.bounds(hit - hits[fold], miss - misses[fold], int((y[seen] == 1).sum()), int((y[seen] == 0).sum()))
+            for i in np.flatnonzero(~seen):
+                x[i] = others.evidence(rows[i][0])
         share = y.mean()
         natural = share if natural is None else natural
-        self.weights = calibrated(np.array(x), y, np.where(y == 1, natural / share, (1 - natural) / (1 - share)))
+        self.weights = calibrated(x, y, np.where(y == 1, natural / share, (1 - natural) / (1 - share)))
         return self
 
-    @staticmethod
-    def features(bests: list[float], tokens: int) -> tuple[float, ...]:
-        """1; an entry is there; its strength beyond the least; how many tokens hold one; how many different tokens there are."""
-        best, hits = max(bests, default=0.0), sum(b > 0 for b in bests)
-        strength = math.log(best / (1 - best)) - math.log(LEAST / (1 - LEAST)) if 0 < best < 1 else 0.0
-        return 1.0, float(hits > 0), strength, math.log(max(hits, 1)), min(math.log1p(tokens), LONGEST) / LONGEST
-
     def of_token(self, token: str) -> float:
         found = self.memo.get(token)
         if found is None:
@@ -254,12 +255,18 @@ class Lexicon:
         """The strongest entry of each distinct token, and of the spaced runs."""
         return [*map(self.of_token, set(text.split())), best_of(self.decoder.spaced(text), self.bound)]
 
+    def evidence(self, text: str) -> tuple[float, ...]:
+        """1; an entry is there; its strength beyond the least; how many tokens hold one; how many different tokens there are."""
+        bests = self.bests(text)
+        best, holding = max(bests), sum(b > 0 for b in bests)
+        strength = math.log(best / (1 - best)) - math.log(LEAST / (1 - LEAST)) if best else 0.0
+        return 1.0, float(holding > 0), strength, math.log(max(holding, 1)), min(math.log(len(bests)), LONGEST) / LONGEST
+
     def score(self, text: str | None) -> float:
         """Probability of toxicity; 0 for every text if nothing was learnt."""
         if self.weights is None:
             return 0.0
-        bests = self.bests(text or "")
-        return 1 / (1 + math.exp(-float(np.dot(self.weights, self.features(bests, len(bests) - 1)))))
+        return 1 / (1 + math.exp(-float(np.dot(self.weights, self.evidence(text or "")))))
 
 
 def best_of(words: list[str], bound: dict[str, float]) -> float:
