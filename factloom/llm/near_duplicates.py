@@ -7,7 +7,8 @@ keys held once are dropped, and each representative posts only under its
 ``coordinates - threshold + 1`` rarest keys (prefix filter: two texts that agree in `threshold`
 coordinates share one of them). Every posting list first links its members to its hub only,
 the member whose keys are the most common. A list of n mutual near copies thus makes n-1
-candidates, not n^2. Then the members of a hub's lists that are not in its largest component
+candidates, not n^2. A hub's candidates are posted under the coordinate-value pairs that they
+share with it, and skip merging of those lists counts the collisions. Then the members of a hub's lists that are not in its largest component
 meet the others of another component, so no link between components is left out: slices of
 outsiders stay in a task's memory while the hub's members stream past; pairs that agree in enough of MARKS
 further coordinates are confirmed there on full shingle sets, and only links leave the task.
@@ -20,6 +21,8 @@ exactly that similarity fails them with probability under MISS and MARK_MISS: 16
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ MARKS = 256
 MISS, MARK_MISS = 1e-6, 3e-6
 #: Shingles of the outsiders that one task holds in memory, about.
 OUTSIDER_SHINGLES = 2_000_000
-#: Members whose texts are compared with one hub's text in one task slice.
-SLICE = 64
+#: Members whose texts are compared with one hub's text, and whose posting lists are merged, in one task slice.
+SLICE, MERGED = 64, 1024
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("marks", pa.binary())])
 
@@ -111,20 +114,78 @@ def signatures(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES
 _CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def merge_skip(lists: list[list[int]], least: int) -> list[int]:
+    """What stands on at least `least` (1 or more) of the sorted lists.
+
+    Where the smallest head stands on too few lists, the `least - 1` smallest heads all skip to the next one:
+    nothing before it stands on any other list.
+    """
+    heap = [(held[0], i) for i, held in enumerate(lists) if held]
+    heapify(heap)
+    at, found = [0] * len(lists), []
+    while len(heap) >= least:
+        low, taken = heap[0][0], []
+        while heap and heap[0][0] == low:
+            taken.append(heappop(heap)[1])
+        if len(taken) >= least:
+            found.append(low)
+            to = low + 1
+        else:
+            while len(taken) < least - 1:
+                taken.append(heappop(heap)[1])
+            to = heap[0][0]
+        for i in taken:
+            at[i] = bisect_left(lists[i], to, at[i])
+            if at[i] < len(lists[i]):
+                heappush(heap, (lists[i][at[i]], i))
+    return found
+
+
+def _collide(least: int):
+    """Pairs of hub and member whose keys agree in `least` coordinates; a slice's hub stands before its members."""
+
+    def run(batches):
+        group, hubs = None, []
+        for batch in batches:
+            a, s, ids, is_hub = (batch.column(i).to_pylist() for i in range(4))
+            keys = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            at, out = 0, []
+            while at < len(ids):
+                if (a[at], s[at]) != group:
+                    group, hubs = (a[at], s[at]), []
+                end = at
+                while end < len(ids) and (a[end], s[end]) == group and is_hub[end] == is_hub[at]:
+                    end += 1
+                if is_hub[at]:
+                    hubs += list(keys[at:end].copy())
+                else:
+                    found: set[int] = set()
+                    for hub in hubs:
+                        coordinate, member = np.nonzero((keys[at:end] == hub).T)
+                        posted = np.split(member, np.searchsorted(coordinate, np.arange(1, len(hub))))
+                        found.update(merge_skip([p.tolist() for p in posted], least))
+                    out += [(group[0], ids[at + x]) for x in sorted(found)]
+                at = end
+            if out:
+                yield table(_CHECKED, *zip(*out, strict=True))
+
+    return run
+
+
 def _compare(k: int, percent: int):
     def run(batches):
-        group, hub, hub_set = None, None, None
+        group, hub_set = None, None
         for batch in batches:
-            g, ids, is_hub, texts = (batch.column(i).to_pylist() for i in range(4))
+            a, s, ids, is_hub, texts = (batch.column(i).to_pylist() for i in range(5))
             for at, part in chunks(texts):
                 out = []
                 for i, found in enumerate(shingle_sets(part, k), at):
                     if is_hub[i]:
-                        group, hub, hub_set = g[i], ids[i], found
-                    elif g[i] == group:
+                        group, hub_set = (a[i], s[i]), found
+                    elif (a[i], s[i]) == group:
                         both = len(np.intersect1d(found, hub_set, assume_unique=True))
                         if 100 * both >= percent * (len(found) + len(hub_set) - both):
-                            out.append((hub, ids[i]))
+                            out.append((a[i], ids[i]))
                 if out:
                     yield table(_CHECKED, *zip(*out, strict=True))
 
@@ -137,7 +198,8 @@ def _meet(threshold: int, k: int, percent: int):
     def run(batches):
         group, names, parts, rows, sets = None, [], [], [], []
         for batch in batches:
-            g, reps, part, kind, marks, texts = (batch.column(i).to_pylist() for i in range(6))
+            a, s, reps, part, kind, marks, texts = (batch.column(i).to_pylist() for i in range(7))
+            g = list(zip(a, s, strict=True))
             at = 0
             while at < len(g):
                 if g[at] != group:
@@ -173,21 +235,30 @@ def _meet(threshold: int, k: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity.
+def streams(pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
+    """a, s, doc_id, hub and the second column of held (doc_id, ...) for both ends of the pairs (a, b).
 
-    Pairs are grouped by a in slices of about SLICE partners; a slice streams through one task,
-    its hub first, so memory holds one hub's set and one chunk of texts.
+    Pairs are grouped by a in slices of about `width` partners; a slice streams through one task,
+    its hub first, so memory holds what one hub has and one chunk of members.
     """
     n = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    sliced = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SLICE)).alias("s"))
-    ask = sliced.select(F.col("b").alias("doc_id"), F.xxhash64("a", "s").alias("g"), F.lit(False).alias("hub"))
-    ask = ask.unionByName(sliced.select(F.col("a").alias("doc_id"), F.xxhash64("a", "s").alias("g"), F.lit(True).alias("hub")).distinct())
+    sliced = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / width)).alias("s"))
+    ask = sliced.select("a", "s", F.col("b").alias("doc_id"), F.lit(False).alias("hub"))
+    ask = ask.unionByName(sliced.select("a", "s", F.col("a").alias("doc_id"), F.lit(True).alias("hub")).distinct())
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # merge: the texts are too large to broadcast at any size worth planning for
-    met = ask.hint("merge").join(texts, "doc_id").select("g", "doc_id", "hub", "text")
-    met = met.repartition(parts, "g").sortWithinPartitions("g", F.desc("hub"))
-    return met.mapInArrow(slimming(_compare(k, percent)), "a long, b long")
+    # merge: what the ends hold is too large to broadcast at any size worth planning for
+    met = ask.hint("merge").join(held, "doc_id").select("a", "s", "doc_id", "hub", held.columns[1])
+    return met.repartition(parts, "a", "s").sortWithinPartitions("a", "s", F.desc("hub"))
+
+
+def colliding(pairs: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose keys (doc_id, keys) agree in `least` coordinates, by skip merging."""
+    return streams(pairs, keys, MERGED).mapInArrow(slimming(_collide(least)), "a long, b long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+    return streams(pairs, texts, SLICE).mapInArrow(slimming(_compare(k, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, threshold: int | None = None) -> DataFrame:
@@ -215,15 +286,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        sig = lambda c: reps.select(F.col("rep").alias(c), F.col("keys").alias(f"{c}_keys"))
-        both = pairs.join(sig("a"), "a").join(sig("b"), "b")
-        return both.where(F.size(F.array_intersect("a_keys", "b_keys")) >= threshold).select("a", "b")
-
     first = lists.groupBy("key").agg(F.min_by("rep", F.struct(-F.col("weight"), F.col("rep"))).alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     cluster = scratch.keep(lists.join(first, "key").select("a", "rep").distinct())
     star = cluster.where("rep <> a").select("a", F.col("rep").alias("b"))
-    star = scratch.keep(alike(star))
+    star = scratch.keep(colliding(star, reps.withColumnRenamed("rep", "doc_id"), threshold))
     links = scratch.keep(confirmed(star, texts, k, percent))
     parts = components(links, scratch)
 
@@ -237,9 +303,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     odd = met.where("part <> main").select("a", "rep", "part", F.pmod(F.xxhash64("rep"), slices).alias("s"), F.lit(0).alias("kind"))
     rest = met.select("a", "rep", "part", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("s"), F.lit(1).alias("kind"))
     both = odd.unionByName(rest).join(owner.select("rep", "marks"), "rep")
-    both = both.hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(F.xxhash64("a", "s").alias("g"), "rep", "part", "kind", "marks", "text")
+    both = both.hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("a", "s", "rep", "part", "kind", "marks", "text")
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cross = both.repartition(shuffles, "g").sortWithinPartitions("g", "kind").mapInArrow(slimming(_meet(marks_alike, k, percent)), "a long, b long")
+    cross = both.repartition(shuffles, "a", "s").sortWithinPartitions("a", "s", "kind").mapInArrow(slimming(_meet(marks_alike, k, percent)), "a long, b long")
     links = links.unionByName(cross)
     parts = components(links, scratch)
 

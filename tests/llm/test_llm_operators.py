@@ -106,6 +106,24 @@ def test_near_duplicates(spark, docs, rows, nothing):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(odd).collect()), key=str) == [(1, 1, True), (1, 1, True), (None, None, False)]
 
 
+def test_skip_merging():
+    draw = random.Random(4)
+    for _ in range(500):
+        lists = [sorted(draw.sample(range(30), draw.randrange(20))) for _ in range(draw.randrange(9))]
+        counts = Counter(x for held in lists for x in held)
+        for least in (1, 2, 4, 8):
+            assert near_duplicates.merge_skip(lists, least) == sorted(x for x, n in counts.items() if n >= least)
+
+
+def test_colliding(spark):
+    keys = {1: [1, 2, 3, 4], 2: [1, 2, 3, 9], 3: [1, 2, 8, 9], 4: [2, 1, 4, 3], 5: [7, 2, 3, 4], 6: [1, 2, 3, 4]}
+    pairs = spark.createDataFrame([(1, b) for b in (2, 3, 4, 5, 6)] + [(2, 3), (2, 5)], "a long, b long")
+    held = spark.createDataFrame(list(keys.items()), "doc_id long, keys array<long>")
+    for least in (1, 2, 3, 4):
+        found = {tuple(r) for r in near_duplicates.colliding(pairs, held, least).collect()}
+        assert found == {(a, b) for a, b in map(tuple, pairs.collect()) if sum(x == y for x, y in zip(keys[a], keys[b], strict=True)) >= least}
+
+
 def test_near_copies_in_one_large_family(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
