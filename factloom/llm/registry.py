@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .bit_sliced import top_k
 from .byte_bpe import encode_decode
+from .collocations import collocations
 from .language_id import identify_languages
 from .license_scan import license_digest, scan_licenses
 from .mixing import mix_sources
@@ -15,7 +16,7 @@ from .sharding import shard_documents
 from .substring_dedup import remove_repeated_windows
 from .textops import documents
 from .toxicity import score_toxicity
-
+from .word_bpe import encode_decode_words
 
 
 def held_out():
@@ -30,6 +31,13 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def word_tokenizer() -> str:
+    """The tokenizer file with word ends."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_license_scan(spark, sf_dir):
     return license_digest(scan_licenses(documents(spark, sf_dir)))
 
@@ -75,7 +83,15 @@ def op10_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op5_bit_sliced_top_k, op6_sharding, op7_order_minhash, op8_near_duplicates, op9_mixing, op10_substring_dedup)}
+def op11_collocations(spark, sf_dir):
+    return collocations(documents(spark, sf_dir, "lang", "text"))
+
+
+def op13_word_bpe(spark, sf_dir):
+    return encode_decode_words(documents(spark, sf_dir), word_tokenizer(), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op5_bit_sliced_top_k, op6_sharding, op7_order_minhash, op8_near_duplicates, op9_mixing, op10_substring_dedup, op11_collocations, op13_word_bpe)}
 
 #: DuckDB twins of the operators that SQL can express.
 SQL: dict[str, str] = {
@@ -112,4 +128,23 @@ SQL: dict[str, str] = {
         select w.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from w left join t using (doc_id)
     """,
+    "op11_collocations": """
+        with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+        w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+        g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+              from w, (values (1), (2), (3), (4)) as v(k)),
+        f as (select lang, k, phrase, count(*) as a from g group by all),
+        n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+        c as (select *, string_split(phrase, ' ') as w from f where k > 1 and a >= 30),
+        cuts as (select c.lang, c.k, c.phrase, c.a, c.w, j, array_to_string(c.w[1:j], ' ') as head, array_to_string(c.w[j + 1:], ' ') as tail
+                 from c, (values (1), (2), (3)) as v(j) where j < c.k),
+        s as (select cuts.*, l.a as l, r.a as r, ((2000000::hugeint * cuts.a) // (l.a + r.a))::bigint as score
+              from cuts join f l on l.lang = cuts.lang and l.phrase = cuts.head and l.k = j join f r on r.lang = cuts.lang and r.phrase = cuts.tail and r.k = cuts.k - j),
+        b as (select *, row_number() over (partition by lang, phrase order by score, j) as pick from s),
+        inner_ as (select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, a from c, (values (2), (3)) as v(m), (values (1), (2), (3)) as u(i) where m < k and i + m - 1 <= k),
+        x as (select lang, phrase, max(a) as outer_ from inner_ group by all),
+        o as (select b.lang, b.phrase, b.a, l, r, score from b left join x using (lang, phrase) where pick = 1 and (outer_ is null or 100::hugeint * outer_ < 80::hugeint * b.a)),
+        t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
+        select t.lang, rank, phrase, a, l, r, n.n, score from t join n using (lang) where rank <= 2000
+    """,
 }
