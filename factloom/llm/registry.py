@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bit_sliced import top_k
 from .byte_bpe import encode_decode
 from .collocations import collocations
+from .conversation_repair import damage, repair_conversations
 from .language_id import identify_languages
 from .license_scan import license_digest, scan_licenses
 from .mixing import mix_sources
@@ -87,11 +88,15 @@ def op11_collocations(spark, sf_dir):
     return collocations(documents(spark, sf_dir, "lang", "text"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    return repair_conversations(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op13_word_bpe(spark, sf_dir):
     return encode_decode_words(documents(spark, sf_dir), word_tokenizer(), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op5_bit_sliced_top_k, op6_sharding, op7_order_minhash, op8_near_duplicates, op9_mixing, op10_substring_dedup, op11_collocations, op13_word_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_toxicity, op4_byte_bpe, op5_bit_sliced_top_k, op6_sharding, op7_order_minhash, op8_near_duplicates, op9_mixing, op10_substring_dedup, op11_collocations, op12_conversation_repair, op13_word_bpe)}
 
 #: DuckDB twins of the operators that SQL can express.
 SQL: dict[str, str] = {
@@ -147,4 +152,39 @@ SQL: dict[str, str] = {
         t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
         select t.lang, rank, phrase, a, l, r, n.n, score from t join n using (lang) where rank <= 2000
     """,
+    "op12_conversation_repair": """
+        with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                   coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+        b as (select *, list_transform(string_split(key, ''), lambda c: ascii(c)) as bytes from k),
+        h as (select *, list_reduce(list_prepend(4294967295::bigint, list_transform(bytes, lambda x: x::bigint)), lambda crc, x:
+                list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end))) as crc from b),
+        d as (select conv_id, turn, case when m = 4 then 'user' else role end as role,
+                     case when m = 1 then '' when m = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                     unnest(case when m = 0 then [] when m = 3 then [1, 2] else [1] end) as copy
+              from (select *, xor(crc, 4294967295) % 20 as m from h)),
+        r as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i from d),
+        s as (select *, row_number() over (partition by conv_id, role, text order by i) as seen, lag(role) over (partition by conv_id order by i) as before_, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) as tail from r),
+        f as (select *, case when tail = '' then 'blank' when seen > 1 then 'duplicate' when tail not in ('.', '!', '?') then 'truncated' else '' end as fault from s),
+        t as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+                     count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+                     count(*) filter (i > 1 and left(before_, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal, max(i) as n from f group by conv_id),
+        ins as (select * from (values (0, 0, '', ''), (0, 2, 'I', 'user:'), (0, 3, 'II', 'user:' || chr(10) || 'assistant:'), (1, 1, '', ''), (1, 2, 'I', 'user:'), (1, 3, 'II', 'user:' || chr(10) || 'assistant:'),
+                (2, 2, '', ''), (2, 3, 'I', 'assistant:'), (2, 2, 'II', 'assistant:' || chr(10) || 'user:'), (3, 3, '', ''), (3, 2, 'I', 'user:'), (3, 3, 'II', 'user:' || chr(10) || 'assistant:')) as v(g, g2, edits, added)),
+        p as (select conv_id, 0::bigint as i, 0 as g, {'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]} as best from t
+              union all
+              select conv_id, i, g, min(best) as best from (
+                  select p.conv_id, f.i, e.g,
+                         {'cost': p.best.cost + 5 * length(n.edits) + e.cost, 'audit': p.best.audit || n.edits || e.edit,
+                          'lines': p.best.lines || case when n.edits = '' then [] else [n.added] end || e.line} as best
+                  from p join ins n on n.g = p.g join f on f.conv_id is not distinct from p.conv_id and f.i = p.i + 1,
+                  lateral (select n.g2 as g, 2 as cost, 'D' as edit, []::varchar[] as line
+                           union all select case when n.g2 = 2 then 3 else 2 end, 1 + case when f.fault = '' then 0 else 5 end, 'R', [case when n.g2 = 2 then 'assistant:' else 'user:' end || f.text] where f.fault in ('', 'truncated')
+                           union all select case left(f.role, 1) when 's' then 1 when 'u' then 2 else 3 end, case when f.fault = '' then 0 else 5 end, 'K', [f.role || ':' || f.text]
+                               where f.fault in ('', 'truncated') and (n.g2, left(f.role, 1)) in ((0, 's'), (0, 'u'), (1, 'u'), (2, 'a'), (3, 'u'))) e) group by conv_id, i, g),
+        z as (select p.conv_id, min({'cost': p.best.cost + 5 * length(n.edits), 'audit': p.best.audit || n.edits, 'lines': p.best.lines || case when n.edits = '' then [] else [n.added] end}) as best
+              from p join t on t.conv_id is not distinct from p.conv_id and t.n = p.i join ins n on n.g = p.g and n.g2 in (0, 3) group by p.conv_id)
+        select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               coalesce(z.best.cost, 0) as cost, coalesce(z.best.audit, '') as audit, sha256(coalesce(array_to_string(z.best.lines, chr(10)), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) c left join t on t.conv_id is not distinct from c.conv_id left join z on z.conv_id is not distinct from c.conv_id
+    """,
 }
