@@ -5,12 +5,11 @@ blocks of BLOCK words. Targets are filled by weight and capped. Output shards dr
 multinomial source counts (the last draws fit what is left, so every source's total is exact), a
 shard's slots number on within each source, and a slot's number goes through the source's
 index permutation (a fresh one for each pass over the stream) to the block it takes. Blocks
-join by (source, index).
+join by (source, index). A source's last slot stops at the words that the source still owes, so it gives its target to the word, however small it is.
 
 For 100 TB: documents get their place in the stream from bucket sums and a window inside a bucket, so
-no source, even one with a third of all rows, is ordered in one task. Slots come from a range
-split over tasks, and the join is on unique block indexes. The driver sees one row per source
-and per bucket of sources.
+no source, even one with a third of all rows, is ordered in one task; rows that repeat are counted first. Slots come from a range
+split over tasks, and the join is on unique block indexes. The driver sees one row per source; bucket sums stay a table.
 """
 
 from __future__ import annotations
@@ -95,63 +94,78 @@ class Mix:
     def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED):
         self.spark: SparkSession = docs.sparkSession
         self.block, self.seed = block, seed
+        keep = Scratch(self.spark, "mixing").keep
         parts = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         source = F.col("source").cast("string")
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
-        sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "content", F.lit(seed)), F.lit(parts)).cast("int"))
-        sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")).collect()
-        # code-point order: Python compares strings by code point
-        names = sorted({r["source"] for r in sums if r["source"] is not None}) + ([None] if any(r["source"] is None for r in sums) else [])
-        place = {v: i for i, v in enumerate(names)}
-        at = np.zeros((len(names), parts), np.int64)
-        for r in sums:
-            at[place[r["source"]], r["bucket"]] = r["n"]
-        self.sizes = at.sum(1).tolist()
-        self.targets = fill_targets(self.sizes, [weights[i % len(weights)] for i in range(len(names))], share, cap)
-        self.blocks = [-(-n // block) for n in self.sizes]
-        slots = [min(round(t / block), cap * b) for t, b in zip(self.targets, self.blocks, strict=True)]
-        self.draws = draw(slots, shards, seed) if names else np.zeros((shards, 0), np.int64)
-        before = np.cumsum(at, 1) - at if names else at
-        schema = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("s", T.IntegerType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("begins", T.ArrayType(T.LongType())))])
-        # sources x buckets numbers: bounded by what the driver just summed
-        plan = self.spark.createDataFrame([(v, i, self.sizes[i], self.targets[i], before[i].tolist()) for i, v in enumerate(names)], schema)
-        order = W.partitionBy("source", "bucket").orderBy("doc_id", "content")
-        laid = sized.withColumn("within", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        laid = laid.withColumn("copy", (F.row_number().over(order) - F.rank().over(order)).cast("int"))
-        laid = laid.join(F.broadcast(plan.withColumnRenamed("source", "name")), laid.source.eqNullSafe(F.col("name")))
-        self.plan = plan
-        self.laid = laid.select("doc_id", "source", "content", "copy", "size", "s", "source_size", "target", (F.element_at("begins", F.col("bucket") + 1) + F.col("within")).alias("begin"))
+        # rows that repeat are counted before they move
+        sized = sized.groupBy("source", "doc_id", "content", "size").agg(F.count("*").alias("copies"))
+        # a null source joins as its own key
+        sized = sized.select(F.coalesce("source", F.lit("")).alias("named"), F.col("source").isNull().alias("none"), F.pmod(F.xxhash64("doc_id", "content", F.lit(seed)), F.lit(parts)).cast("int").alias("bucket"), "*")
+        own = ("named", "none", "bucket")
+        sums = keep(sized.groupBy(*own).agg(F.sum(F.col("size") * F.col("copies")).alias("n")))
+        # one row a source; code-point order: Python compares strings by code point
+        totals = sorted(((r["none"], r["named"]), r["n"]) for r in sums.groupBy("none", "named").agg(F.sum("n").alias("n")).collect())
+        self.sizes = [n for _, n in totals]
+        self.targets = fill_targets(self.sizes, [weights[i % len(weights)] for i in range(len(totals))], share, cap)
+        self.fill = [self._slots(n, min(round(t), cap * n)) for n, t in zip(self.sizes, self.targets, strict=True)]
+        self.draws = draw([m for m, _ in self.fill], shards, seed) if totals else np.zeros((shards, 0), np.int64)
+        self.plan = self.spark.createDataFrame([(name, none, i, self.sizes[i], self.targets[i]) for i, ((none, name), _) in enumerate(totals)], "named string, none boolean, s int, source_size long, target double")
+        before = F.coalesce(F.sum("n").over(W.partitionBy("named", "none").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        begins = keep(sums.withColumn("base", before).drop("n").join(self.plan, ["named", "none"]))
+        order = W.partitionBy(*own).orderBy("doc_id", "content").rowsBetween(W.unboundedPreceding, -1)
+        laid = sized.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0))).join(begins, [*own])
+        laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+        self.laid = laid.select("doc_id", "source", "content", "copy", "size", "s", "source_size", "target", (F.col("base") + F.col("within") + F.col("copy") * F.col("size")).alias("begin"))
+
+    def _slots(self, size: int, words: int) -> tuple[int, int]:
+        """(slots, words that the last one takes) for a source of `size` words to give `words`.
+
+        A pass over the source takes its whole blocks, permuted, then its short last block, so the words of any number of slots are known, and
+        the last slot stops at the words still owed.
+        """
+        if not words:
+            return 0, 0
+        passes, rest = divmod(words - 1, size)
+        full, rest = divmod(rest, self.block)
+        return passes * -(-size // self.block) + full + 1, rest + 1
 
     def names(self) -> DataFrame:
         """(s, source), one row a source."""
-        return F.broadcast(self.plan.select("s", "source"))
+        return self.plan.select("s", F.when(~F.col("none"), F.col("named")).alias("source"))
 
     def slots(self) -> DataFrame:
-        """(shard, slot, s, index): the block each slot of the output takes."""
+        """(shard, slot, s, index, upto): the block each slot of the output takes, and its first words that it takes."""
         ends = np.cumsum(self.draws, 0)
-        rows = [(k, s, int(ends[k, s] - n), int(n), self.blocks[s]) for k, shard in enumerate(self.draws.tolist()) for s, n in enumerate(shard) if n]
-        schema = "shard int, s int, first long, n long, blocks long"
+        rows = [(k, s, int(ends[k, s] - n), int(n), self.sizes[s], *self.fill[s]) for k, shard in enumerate(self.draws.tolist()) for s, n in enumerate(shard) if n]
+        schema = "shard int, s int, first long, n long, words long, slots long, last long"
         runs = self.spark.createDataFrame(rows, schema)
         # runs of 4096 slots first, dealt to all tasks, then single slots
-        split = runs.select("shard", "s", "first", "n", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))).alias("lo"))
+        split = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))).alias("lo"))
         split = split.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "s", "lo")
-        one = split.select("shard", "s", "first", "blocks", F.explode(F.sequence("lo", F.least(F.col("lo") + 4095, F.col("n") - 1))).alias("slot"))
-        number = F.col("first") + F.col("slot")
-        one = one.select("shard", "slot", "s", (number % F.col("blocks")).alias("at"), F.col("blocks").alias("size"), F.floor(number / F.col("blocks")).alias("epoch"))
-        return permuted(one, self.seed).select("shard", "slot", "s", "index")
+        one = split.select("*", F.explode(F.sequence("lo", F.least(F.col("lo") + 4095, F.col("n") - 1))).alias("slot"))
+        number, blocks, whole = F.col("first") + F.col("slot"), F.ceil(F.col("words") / self.block), F.floor(F.col("words") / self.block)
+        upto = F.when(number == F.col("slots") - 1, F.col("last")).otherwise(F.lit(self.block).cast("long"))
+        one = one.select("shard", "slot", "s", (number % blocks).alias("at"), F.greatest(whole, F.lit(1)).alias("size"), whole.alias("whole"), F.floor(number / blocks).alias("epoch"), upto.alias("upto"))
+        # the short last block is its own place
+        return permuted(one, self.seed).select("shard", "slot", "s", F.when(F.col("at") < F.col("whole"), F.col("index")).otherwise(F.col("at")).alias("index"), "upto")
 
     def uses(self) -> DataFrame:
-        """(s, index, uses): how often each block is taken."""
-        return self.slots().groupBy("s", "index").agg(F.count("*").cast("int").alias("uses"))
+        """(s, index, uses, part, more): how often each block is taken whole, the words at its start taken `more` times on top."""
+        cut = F.col("upto") < self.block
+        found = self.slots().groupBy("s", "index").agg(F.count_if(~cut).cast("int").alias("uses"), F.max(F.when(cut, F.col("upto")).otherwise(0)).alias("part"))
+        return found.withColumn("more", F.when(F.col("part") > 0, 1).otherwise(0))
 
     def pieces(self) -> DataFrame:
-        """(s, doc_id, content, copy, index, from_word, words, uses) for each row and block it reaches into; copy numbers rows that repeat source, doc_id and text."""
+        """(s, doc_id, content, copy, index, from_word, words, uses) for each row and block it reaches into, cut where a block is left; copy numbers rows that repeat source, doc_id and text."""
         b = self.block
         reach = self.laid.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))))
-        lo, hi = F.greatest("begin", F.col("index") * b), F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * b)
-        cut = reach.select("doc_id", "content", "copy", "s", "index", (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("words"))
         # written first: joined in place, the permutation's rounds take the optimizer hundreds of MB
-        return cut.join(Scratch(self.spark, "mixing").keep(self.uses()), ["s", "index"])
+        met = reach.join(Scratch(self.spark, "mixing").keep(self.uses()), ["s", "index"])
+        lo, hi, cut = F.greatest("begin", F.col("index") * b), F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * b), F.col("index") * b + F.col("part")
+        part = lambda a, z, uses: F.struct((a - F.col("begin")).alias("from_word"), (z - a).alias("words"), uses.alias("uses"))
+        two = F.array(part(lo, F.least(hi, cut), F.col("uses") + F.col("more")), part(F.greatest(lo, cut), hi, F.col("uses")))
+        return met.select("doc_id", "content", "copy", "s", "index", F.explode(two).alias("of")).select("doc_id", "content", "copy", "s", "index", "of.*").where("words > 0 and uses > 0")
 
 
 _ROW = ("s", "doc_id", "content", "copy")
