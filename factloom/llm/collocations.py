@@ -5,9 +5,10 @@ exact, reruns agree and no table hands them out. Level 1 names frequent words. L
 (k-1)-grams by the name of their pair, where the pair is frequent; a pair's two names are its parent pointers, and cuts and
 contained phrases are looked up along them.
 
-Plan, for 100 TB. Mappers cut texts into words and close a *block* every few MB: a row with the block's distinct words and its sequence of
-word numbers. At each level a block posts its distinct pairs with their counts, so a frequent pair gives one row a block and
-makes no hot key; a window over the pair sums counts and takes the name; names of frequent pairs go back to their blocks, which write
+Plan, for 100 TB. Mappers cut texts into words and close a *block* every few MB: a row with its sequence of
+word numbers and its distinct words. At each level a block posts its distinct pairs with their counts, packed by bucket of the pair, so a frequent pair
+comes once a block and makes no hot key; a bucket, whose size is bounded by a number of buckets in proportion to the places, adds the counts and
+gives names; those of frequent pairs go back to their blocks, which write
 the next, shorter sequence. Names join names; nothing is broadcast and nothing of the texts reaches the driver.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textops import Scratch, slim, slimming
+from .textops import Scratch, mix, slim, slimming
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 #: UTF-8 bytes of text after which a block closes, and bytes cut at once.
@@ -32,29 +33,45 @@ BLOCK_BYTES, STRETCH = 16 << 20, 1 << 20
 NUMBER_BITS = 28
 #: Blocks of a task at most, as bits.
 BLOCK_BITS = 14
+#: Places of sequences for each bucket of pairs; a pair has a place at least, so this bounds a bucket.
+PLACES = 4 << 20
 
 #: Bytes that end a piece; space and tab part words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _ENDS = bytes.maketrans(ENDS, b"." * len(ENDS))
 
-_CUT = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))), ("names", pa.binary()), ("seq", pa.binary())])
-CUT = "block long, words array<struct<lang: string, word: binary, n: long>>, names binary, seq binary"
-_PAIR = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
-PAIR = "left long, right long, n long, place long"
-_SEQUENCE = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("seq", pa.binary())])
-SEQUENCE = "block long, names binary, seq binary"
+_POST = [("bucket", pa.int32()), ("body", pa.binary())]
+_CUT = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("seq", pa.binary()), ("places", pa.int64()), ("posts", pa.list_(pa.struct(_POST)))])
+CUT = "block long, names binary, seq binary, places long, posts array<struct<bucket: int, body: binary>>"
+_PARCEL = pa.schema([_POST[0], ("block", pa.int64()), _POST[1]])
+PARCEL = "bucket int, block long, body binary"
+#: a name (id, its word with lang, or its parents, and its count), or what goes back to a block
+_NAMED = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("id", pa.int64()), ("word", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("a", pa.int64())])
+NAMED = "block long, body binary, id long, word binary, left long, right long, a long"
+_SEQUENCE = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("seq", pa.binary()), ("places", pa.int64())])
+SEQUENCE = "block long, names binary, seq binary, places long"
 
 
-def _pack(seq: np.ndarray) -> bytes:
+def _squeeze(a: np.ndarray) -> bytes:
+    """Numbers, byte by byte of each: high bytes are much alike."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(seq.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _expand(data: bytes, kind=np.int32) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _blob(*parts: bytes) -> bytes:
+    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+
+
+def _parts(blob: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(blob, np.int64, n)) + 8 * n
+    return [blob[lo:hi] for lo, hi in zip([8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -74,8 +91,10 @@ def stretches(text: bytes, size: int):
     yield text[lo:]
 
 
-def _cut(block_bytes: int, stretch: int):
+def _cut(block_bytes: int, stretch: int, buckets: int):
     def run(batches):
+        import zlib
+
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -88,22 +107,29 @@ def _cut(block_bytes: int, stretch: int):
             if number >> BLOCK_BITS:
                 raise ValueError("more blocks than a task can number: raise block_bytes")
             seq = np.concatenate(held)
-            langs, words = [], []
-            for lang, known in vocabulary.items():
-                langs += [lang] * (len(known) - 1)
-                words += [w for w in known if w != b"."]
-            at = np.array([i for known in vocabulary.values() for w, i in known.items() if w != b"."], np.int64)
-            if not len(at):
+            held.clear()
+            n = np.bincount(seq)[1:]
+            if not len(n):
                 return
-            order = np.argsort(at)
-            n = np.bincount(seq, minlength=len(order) + 1)[1:]
-            totals = defaultdict(int)
-            for lang, i in zip(langs, (at - 1).tolist(), strict=True):
-                totals[lang] += int(n[i])
-            rows = [{"lang": langs[j], "word": words[j], "n": int(c)} for j, c in zip(order.tolist(), n.tolist(), strict=True)]
-            # the words of a language, all counted: a row without a word
-            rows += [{"lang": lang, "word": None, "n": c} for lang, c in totals.items()]
-            yield pa.RecordBatch.from_pylist([{"block": first + number, "words": rows, "names": b"", "seq": _pack(seq - 1)}], _CUT)
+            # frequent words get small numbers: sequences pack better
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(n) + 1, np.int32)
+            rank[0], rank[order + 1] = -1, np.arange(len(n))
+            by: dict[int, list[tuple[bytes, int, int]]] = {}
+            top = len(n)
+            for lang, known in vocabulary.items():
+                known.pop(b".")
+                key, total = lang.encode() + b" ", 0
+                for w, i in known.items():
+                    times = int(n[i - 1])
+                    total += times
+                    w = key + w
+                    by.setdefault(zlib.crc32(w) % buckets, []).append((w, int(rank[i]), times))
+                # the words of a language, all counted: a key without a word
+                by.setdefault(zlib.crc32(key) % buckets, []).append((key, top, total))
+                top += 1
+            posts = [{"bucket": b, "body": _words_out(rows)} for b, rows in by.items()]
+            yield pa.RecordBatch.from_pylist([{"block": first + number, "names": b"", "seq": _squeeze(rank[seq]), "places": len(seq), "posts": posts}], _CUT)
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -126,6 +152,23 @@ def _cut(block_bytes: int, stretch: int):
     return run
 
 
+def _words_out(rows: list[tuple[bytes, int, int]]) -> bytes:
+    import zstandard
+
+    rows.sort()
+    sizes, numbers, n = (np.array(x) for x in zip(*((len(w), i, c) for w, i, c in rows), strict=True))
+    return _blob(zstandard.ZstdCompressor(level=3).compress(b"".join([w for w, _, _ in rows])), _squeeze(sizes.astype(np.int32)), _squeeze(numbers.astype(np.int32)), _squeeze(n.astype(np.int64)))
+
+
+def _words_in(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    import zstandard
+
+    words, sizes, numbers, n = _parts(body, 4)
+    ends = np.concatenate(([0], np.cumsum(_expand(sizes), dtype=np.int64)))
+    data = pa.py_buffer(zstandard.ZstdDecompressor().decompress(words))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), data]), _expand(numbers), _expand(n, np.int64)
+
+
 def adjacent(seq: np.ndarray, size: int):
     """(places whose number and the next are both names, distinct pairs left * size + right, each place's pair, counts)."""
     a, b = seq[:-1].astype(np.int64), seq[1:]
@@ -146,39 +189,111 @@ def compact(seq: np.ndarray) -> np.ndarray:
     return np.where(keep, seq, -1)[take]
 
 
-def _pairs(batches):
-    for batch in batches:
-        for names, seq, block in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            names, seq = np.frombuffer(names.as_py(), np.int64), _unpack(seq.as_py())
-            _, found, _, n = adjacent(seq, len(names))
-            left, right = names[found // max(1, len(names))], names[found % max(1, len(names))]
-            place = np.arange(len(found)) + (block.as_py() << NUMBER_BITS)
-            for lo in range(0, len(found), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)], pa.int64()) for x in (left, right, n, place)], schema=_PAIR)
+def _bucket_of(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(right.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _local_pairs(seq: np.ndarray, names: np.ndarray, buckets: int):
+    """A block's distinct pairs in order of bucket, left and right, which numbers them: (both, bucket, left, right, each place's pair, counts)."""
+    both, found, inverse, n = adjacent(seq, len(names))
+    left, right = names[found // max(1, len(names))], names[found % max(1, len(names))]
+    bucket = _bucket_of(left, right, buckets)
+    order = np.lexsort((right, left, bucket))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return both, bucket[order], left[order], right[order], number[inverse], n[order]
 
 
-def _rename(words: bool):
+def _pairs(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for block, names, seq in zip(*(batch.column(i) for i in range(3)), strict=True):
+                _, bucket, left, right, _, n = _local_pairs(_expand(seq.as_py()), np.frombuffer(names.as_py(), np.int64), buckets)
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
+                rows = [
+                    {"bucket": int(bucket[lo]), "block": block.as_py(), "body": _blob(np.array([lo], np.int64).tobytes(), _squeeze(np.diff(left[lo:hi], prepend=0)), _squeeze(right[lo:hi]), _squeeze(n[lo:hi]))}
+                    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, _PARCEL)
+
+    return run
+
+
+def _name(words: bool, least: int):
+    """One bucket's posts to names and to what goes back to each block; equal words or pairs of all blocks meet here."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks, keys, places, counts, sizes = group.column("block").to_pylist(), [], [], [], []
+        for block, body in zip(blocks, group.column("body"), strict=True):
+            if words:
+                key, number, n = _words_in(body.as_py())
+            else:
+                lo, left, right, n = _parts(body.as_py(), 4)
+                n = _expand(n, np.int64)
+                key, number = (np.cumsum(_expand(left, np.int64)), _expand(right, np.int64)), np.arange(len(n)) + np.frombuffer(lo, np.int64)[0]
+            keys.append(key)
+            places.append(number.astype(np.int64) + (block << NUMBER_BITS))
+            counts.append(n)
+            sizes.append(len(n))
+        place, n = np.concatenate(places), np.concatenate(counts)
+        if words:
+            coded = pa.chunked_array(keys).combine_chunks().dictionary_encode()
+            at, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        else:
+            left, right = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
+            (_, li), (rs, ri) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
+            _, at = np.unique(li * len(rs) + ri, return_inverse=True)
+            distinct = int(at.max(initial=-1)) + 1
+        a = np.zeros(distinct, np.int64)
+        np.add.at(a, at, n)
+        name = np.full(distinct, np.iinfo(np.int64).max)
+        np.minimum.at(name, at, place)
+        often = a[at] >= least
+        own = np.flatnonzero(often & (name[at] == place))
+        none = pa.nulls(len(own), pa.int64())
+        out = [pa.table([none, pa.nulls(len(own), pa.binary()), pa.array(place[own]), coded.dictionary.take(pa.array(at[own])).cast(pa.binary()) if words else pa.nulls(len(own), pa.binary()), none if words else pa.array(left[own]), none if words else pa.array(right[own]), pa.array(a[at[own]])], schema=_NAMED)]
+        rows, lo = [], 0
+        for block, size in zip(blocks, sizes, strict=True):
+            here = np.flatnonzero(often[lo : lo + size]) + lo
+            lo += size
+            if len(here):
+                number = (place[here] & ((1 << NUMBER_BITS) - 1)).astype(np.int32)
+                rows.append({"block": block, "body": _blob(_squeeze(np.diff(number, prepend=np.int32(0))), _squeeze(name[at[here]]))})
+        out.append(pa.Table.from_pylist(rows, _NAMED))
+        done = pa.concat_tables(out)
+        slim()
+        return done
+
+    return run
+
+
+def _rename(words: bool, buckets: int):
+    """A block's sequence with its words or pairs replaced by their names."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
-            number = right.column("place").to_numpy() & ((1 << NUMBER_BITS) - 1)
-            names, new = np.unique(right.column("id").to_numpy(), return_inverse=True)
-            seq = _unpack(left.column("seq")[0].as_py())
+            got = [_parts(body.as_py(), 2) for body in right.column("body")]
+            number = np.concatenate([np.cumsum(_expand(x), dtype=np.int64) for x, _ in got])
+            names, new = np.unique(np.concatenate([_expand(x, np.int64) for _, x in got]), return_inverse=True)
+            seq = _expand(left.column("seq")[0].as_py())
             if words:
                 as_name = np.full(max(int(seq.max(initial=0)), int(number.max())) + 2, -1, np.int32)
                 as_name[number] = new
                 seq = as_name[seq]  # -1 reads the last, which is -1
             else:
-                both, found, inverse, _ = adjacent(seq, len(left.column("names")[0].as_py()) // 8)
-                as_name = np.full(len(found), -1, np.int32)
+                both, _, _, _, pair, n = _local_pairs(seq, np.frombuffer(left.column("names")[0].as_py(), np.int64), buckets)
+                as_name = np.full(len(n), -1, np.int32)
                 as_name[number] = new
                 seq = np.full(len(both), -1, np.int32)
-                seq[both] = as_name[inverse]
+                seq[both] = as_name[pair]
             seq = compact(seq)
-            used = np.unique(seq[seq >= 0])
+            n = np.bincount(seq[seq >= 0], minlength=len(names))
+            used = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
             if len(used):
-                seq = np.where(seq >= 0, np.searchsorted(used, seq), -1)
-                rows.append({"block": left.column("block")[0].as_py(), "names": names[used].astype(np.int64).tobytes(), "seq": _pack(seq)})
+                rank = np.full(len(names) + 1, -1, np.int32)
+                rank[used] = np.arange(len(used))
+                rows.append({"block": left.column("block")[0].as_py(), "names": names[used].tobytes(), "seq": _squeeze(rank[seq]), "places": len(seq)})
         out = pa.Table.from_pylist(rows, _SEQUENCE)
         slim()
         return out
@@ -186,16 +301,16 @@ def _rename(words: bool):
     return run
 
 
-def _named(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of the phrases counted `least` times or more, with a, the count, and id, the name."""
-    w = W.partitionBy(*keys)
-    return counted.withColumn("a", F.sum("n").over(w)).withColumn("id", F.min("place").over(w)).where(F.col("a") >= least)
+def _buckets(sequences: DataFrame) -> int:
+    """Buckets of posts: at most PLACES places of text each, and one a shuffle partition at least."""
+    (places,) = sequences.agg(F.coalesce(F.sum("places"), F.lit(0))).first()
+    return max(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-places // PLACES))
 
 
-def _back(sequences: DataFrame, named: DataFrame, words: bool) -> DataFrame:
+def _back(sequences: DataFrame, named: DataFrame, words: bool, buckets: int) -> DataFrame:
     """The blocks' next sequences."""
-    names = named.select(F.shiftright("place", NUMBER_BITS).alias("block"), "place", "id")
-    return sequences.select("block", "names", "seq").groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_rename(words), SEQUENCE)
+    back = named.where("block is not null").select("block", "body")
+    return sequences.select("block", "names", "seq").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_rename(words, buckets), SEQUENCE)
 
 
 def _cuts(k: int) -> list[tuple[str, str]]:
@@ -205,7 +320,7 @@ def _cuts(k: int) -> list[tuple[str, str]]:
 
 def _grown(named: DataFrame, below: DataFrame, k: int) -> DataFrame:
     """Phrases of k words with all that their parents tell, by joins on the two parent pointers."""
-    own = named.where("place = id").select("id", "left", "right", "a")
+    own = named.where("id is not null").select("id", "left", "right", "a")
     lo = below.select(*[F.col(c).alias(f"l_{c}") for c in below.columns])
     hi = below.select(*[F.col(c).alias(f"r_{c}") for c in below.columns])
     met = own.join(lo, F.col("left") == F.col("l_id")).join(hi, F.col("right") == F.col("r_id"))
@@ -215,7 +330,7 @@ def _grown(named: DataFrame, below: DataFrame, k: int) -> DataFrame:
     within = inner(2, "left", "right") if k == 3 else inner(3, "left", "right") + inner(2, "l_left", "l_right", "r_right")
     return met.select(
         "id", "left", "right", "a", F.col("l_lang").alias("lang"),
-        F.concat("l_phrase", F.lit(b" "), "r_last").alias("phrase"), F.col("r_last").alias("last"),
+        F.concat("l_phrase", F.lit(" "), "r_last").alias("phrase"), F.col("r_last").alias("last"),
         F.col("l_f_first" if wide else "l_a").alias("f_first"), F.col("r_f_last" if wide else "r_a").alias("f_last"),
         F.col("l_a").alias("f_left"), F.col("r_a").alias("f_right"),
         (F.col("l_f_left") if wide else F.lit(None).cast("long")).alias("f_two"), (F.col("r_f_right") if wide else F.lit(None).cast("long")).alias("f_tail"),
@@ -254,26 +369,37 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: i
     A null language reads as `und`; null and empty texts hold no words; repeated rows count each; other columns are ignored; an empty table
     gives no rows. A very long text passes in stretches and shares a block with others. Ties of the score go by a, then by the phrase's bytes.
     """
-    keep = Scratch(docs.sparkSession, "collocations").keep
+    spark = docs.sparkSession
+
+    def keep(df: DataFrame) -> tuple[DataFrame, Scratch]:
+        table = Scratch(spark, "collocations")
+        return table.keep(df), table
+
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    blocks = keep(given.mapInArrow(slimming(_cut(block_bytes, stretch)), CUT))
-    words = blocks.select("block", F.posexplode("words").alias("at", "w")).select(F.col("w.lang").alias("lang"), F.col("w.word").alias("word"), F.col("w.n").alias("n"), (F.shiftleft("block", NUMBER_BITS) + F.col("at")).alias("place"))
-    named = keep(_named(words, ["lang", "word"], least))
-    own = named.where("place = id")
-    totals = own.where("word is null").select(F.col("lang").alias("of"), F.col("a").alias("n"))
-    below = own.where("word is not null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a")
-    sequences, found = keep(_back(blocks, named.where("word is not null"), True)), []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sequences, held = keep(given.mapInArrow(slimming(_cut(block_bytes, stretch, parts)), CUT))
+    posts = sequences.select("block", F.explode("posts").alias("post")).select("post.bucket", "block", "post.body")
+    named, _ = keep(posts.groupBy("bucket").applyInArrow(_name(True, least), NAMED))
+    # a key is lang, a space and the word, which holds none
+    own = named.where("id is not null").select("id", F.substring_index(F.col("word").cast("string"), " ", -1).alias("w"), F.col("word").cast("string").alias("key"), "a")
+    own = own.withColumn("lang", F.expr("substring(key, 1, length(key) - length(w) - 1)"))
+    totals = own.where("w = ''").select(F.col("lang").alias("of"), F.col("a").alias("n"))
+    below = own.where("w <> ''").select("id", "lang", F.col("w").alias("phrase"), F.col("w").alias("last"), "a")
+    (sequences, then), found = keep(_back(sequences, named, True, parts)), []
+    held.delete()
     for k in range(2, LONGEST + 1):
-        pairs = sequences.select("names", "seq", "block").mapInArrow(slimming(_pairs), PAIR)
-        named = keep(_named(pairs, ["left", "right"], least))
-        below = keep(_grown(named, below, k))
+        held, buckets = then, _buckets(sequences)
+        posts = sequences.select("block", "names", "seq").mapInArrow(slimming(_pairs(buckets)), PARCEL)
+        named, _ = keep(posts.groupBy("bucket").applyInArrow(_name(False, least), NAMED))
+        below, _ = keep(_grown(named, below, k))
         found.append(_scored(below, k))
         if k < LONGEST:
-            sequences = keep(_back(sequences, named, False))
+            sequences, then = keep(_back(sequences, named, False, buckets))
+        held.delete()
     every = found[0].unionByName(found[1]).unionByName(found[2])
     # the count of the longer phrase most like it, for each contained phrase
     most = every.select(F.explode("within").alias("inner"), F.col("a").alias("outer")).groupBy("inner").agg(F.max("outer").alias("outer"))
     wide = "decimal(20,0)"
     left = every.join(most, F.col("name") == F.col("inner"), "left").where(f"outer is null or cast(100 as {wide}) * cast(outer as {wide}) < cast({int(covered)} as {wide}) * cast(a as {wide})")
     best = _first(left.select("lang", "phrase", "a", "l", "r", "score"), top)
-    return best.join(totals, F.col("lang") == F.col("of")).select("lang", F.col("rank").cast("long").alias("rank"), F.col("phrase").cast("string").alias("phrase"), "a", "l", "r", "n", "score")
+    return best.join(totals, F.col("lang") == F.col("of")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
