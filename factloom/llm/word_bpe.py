@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from .textops import slimming
 #: Code points normalised at once, and code points up to which a pre-token is remembered.
 STRETCH, SHORT = 1 << 18, 48
 #: Bytes of remembered pre-tokens of a worker, counted with their encodings.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 192 << 20
 #: Symbols that the transducer takes in before it looks for stable tokens again.
 STRIDE = 2048
 #: White space as the pattern reads it, and the letters, numbers and lower cases of Unicode 16 and 17 that Python's tables may lack.
@@ -99,6 +100,10 @@ def sufficient_lookahead(rules: list[tuple[int, int, int]], size: dict[int, int]
     return max(weight, default=0)
 
 
+#: Stands after every rule.
+NEVER = (1 << 31, 0)
+
+
 class Rules:
     """Merge list, vocabulary and special tokens of a tokenizer file with byte letters and word ends."""
 
@@ -109,10 +114,13 @@ class Rules:
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): (rank, product) for rank, (a, b, product) in enumerate(rules)}
+        #: left << 32 | right to (rank, product)
+        self.ranks = {a << 32 | b: (rank, product) for rank, (a, b, product) in enumerate(rules)}
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + end] for c in letters]
+        # rules of two letters, the second inside a word and at its end
+        self.inside, self.ending = ([self.ranks.get(a << 32 | b, NEVER) for a in self.inner for b in seconds] for seconds in (self.inner, self.final))
         self.spelled = {i: token for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.spelled |= {i: token for token, i in self.special.items()}
@@ -123,19 +131,38 @@ class Rules:
         self.lookahead = sufficient_lookahead(rules, self.size)
 
 
-def merge(symbols: list[int], ranks: dict) -> list[int]:
-    """Tokens of a run of symbols: the adjacent pair of least rank merges first, the leftmost among equals."""
+def _short(word: bytes, rules: Rules) -> list[int]:
+    """The ids of a pre-token shorter than the transducer's window: it passes at once."""
+    inner, inside, n = rules.inner, rules.inside, len(word) - 1
+    part = [inner[b] for b in word]
+    part[n] = rules.final[word[n]]
+    found = [inside[a << 8 | b] for a, b in zip(word, word[1:])]  # noqa: B905
+    if n:
+        found[n - 1] = rules.ending[word[n - 1] << 8 | word[n]]
+    return merge(part, rules.ranks, found)
+
+
+def merge(symbols: list[int], ranks: dict, found: list | None = None) -> list[int]:
+    """Tokens of a run of symbols, by rules left << 32 | right -> (rank, product): the adjacent pair of least rank merges first, the leftmost among equals.
+
+    found: the rules of adjacent symbols, where they are known; NEVER where there is none.
+    """
     part, n = list(symbols), len(symbols)
     if n < 64:
-        while len(part) > 1:
-            found = [(*r, i) if (r := ranks.get(p)) else None for i, p in enumerate(zip(part, part[1:]))]  # noqa: B905
-            best = min(((r, i, product) for r, product, i in filter(None, found)), default=None)
-            if best is None:
-                break
-            part[best[1] : best[1] + 2] = [best[2]]
+        known, never = ranks.get, NEVER
+        if found is None:
+            found = [known(a << 32 | b, never) for a, b in zip(part, part[1:])]  # noqa: B905
+        while found and (best := min(found)) is not never:
+            i = found.index(best)
+            part[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = known(part[i - 1] << 32 | best[1], never)
+            if i < len(found):
+                found[i] = known(best[1] << 32 | part[i + 1], never)
         return part
     after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
-    heap = [(r[0], i, part[i], part[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((part[i], part[i + 1])))]
+    heap = [(r[0], i, part[i], part[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get(part[i] << 32 | part[i + 1]))]
     heapify(heap)
     while heap:
         _, i, a, b, product = heappop(heap)
@@ -146,9 +173,9 @@ def merge(symbols: list[int], ranks: dict) -> list[int]:
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if r := ranks.get((product, part[k])):
+            if r := ranks.get(product << 32 | part[k]):
                 heappush(heap, (r[0], i, product, part[k], r[1]))
-        if (h := before[i]) >= 0 and (r := ranks.get((part[h], product))):
+        if (h := before[i]) >= 0 and (r := ranks.get(part[h] << 32 | product)):
             heappush(heap, (r[0], h, part[h], product, r[1]))
     return [p for p, g in zip(part, gone, strict=True) if not g]
 
@@ -223,7 +250,7 @@ def _composes(c: str) -> bool:
 def lowered(text: str) -> str:
     """Lower case of each character by itself: a final sigma is not told apart."""
     out = text.replace("\u03a3", "\u03c3").lower()
-    return out if max(out, default="") < SETTLED else out.translate(LOWER)
+    return out if out.isascii() or max(out) < SETTLED else out.translate(LOWER)
 
 
 @cache
@@ -274,32 +301,43 @@ class Patterns:
         return Patterns(quick)
 
 
+class Memo(dict):
+    """Pre-tokens and their ids; forgets those not met lately once they take more than `most` bytes."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.size, self.older = encode, most, 0, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        got = self.older.get(word) or self.encode(word)
+        if len(word) <= SHORT:
+            self[word] = got
+            self.size += 200 + len(word) + 12 * len(got)
+        return got
+
+    def forget(self) -> None:
+        if self.size > self.most // 2:
+            self.older, self.size = dict(self), 0
+            self.clear()
+
+
 class Encoder:
     """Texts to ids, token spellings and text; remembers short pre-tokens up to MEMO_BYTES."""
 
     def __init__(self, rules: Rules, stretch: int = STRETCH, memo_bytes: int = MEMO_BYTES, stride: int = STRIDE):
         import re
 
-        self.rules, self.stretch, self.memo_bytes = rules, stretch, memo_bytes
+        self.rules, self.stretch = rules, stretch
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(rules.special, key=len, reverse=True))) if rules.special else None
         self.transducer = Transducer(rules, stride)
-        self.memo: dict[str, list[int]] = {}
-        self.held = 0
+        self.memo = Memo(self.long, memo_bytes)
 
     def patterns(self, part: str) -> Patterns:
-        return Patterns.known(max(part, default="") < SETTLED)
-
-    def short(self, word: str) -> list[int]:
-        got = self.memo.get(word)
-        if got is None:
-            if self.held > self.memo_bytes:
-                self.memo, self.held = {}, 0
-            got = self.memo[word] = self.long(word)
-            self.held += 250 + 4 * len(word) + 40 * len(got)
-        return got
+        return Patterns.known(part.isascii() or max(part) < SETTLED)
 
     def long(self, word: str) -> list[int]:
-        return self.transducer.feed(word.encode()) + self.transducer.finish()
+        word = word.encode()
+        return _short(word, self.rules) if len(word) < 64 else self.transducer.feed(word) + self.transducer.finish()
 
     def ids(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, in lists of bounded length."""
@@ -311,17 +349,14 @@ class Encoder:
         yield from self._plain(text[at:] if at else text)
 
     def _plain(self, text: str) -> Iterator[list[int]]:
-        memo, short = self.memo, self.short
+        short = self.memo.__getitem__
         #: the start of a pre-token that may go on, and the name of the run that an unfinished long one goes on with
         tail, open_ = "", None
         for part, last in normalised(text, self.stretch):
             patterns = self.patterns(tail + part if tail else part)
             if last and not tail and open_ is None:
-                out = []
-                for w in patterns.find.findall(part):
-                    out += memo.get(w) or (short(w) if len(w) <= SHORT else self.long(w))
-                memo = self.memo
-                yield out
+                yield list(chain.from_iterable(map(short, patterns.find.findall(part))))
+                self.memo.forget()
                 return
             at = 0
             if open_ is not None:
@@ -344,11 +379,12 @@ class Encoder:
                         out = self.transducer.feed(word.encode())
                         open_ = "letters" if patterns.letters.match(word).end() else "others"
                         break
-                out += short(word) if len(word) <= SHORT else self.long(word)
+                out += short(word)
                 if len(out) > self.stretch:
                     yield out
                     out = []
             yield out
+            self.memo.forget()
 
 
 def _run(table, digest: bool, stretch: int):
