@@ -152,7 +152,7 @@ def merge(symbols: list[int], ranks: dict, found: list | None = None) -> list[in
         known, never = ranks.get, NEVER
         if found is None:
             found = [known(a << 32 | b, never) for a, b in zip(part, part[1:])]  # noqa: B905
-        while found and (best := min(found)) is not never:
+        while found and (best := min(found)) < never:  # never equals, not is: tables travel to workers
             i = found.index(best)
             part[i : i + 2] = [best[1]]
             del found[i]
