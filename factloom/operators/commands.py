@@ -38,21 +38,40 @@ def add_offerings(offerings: DataFrame, new: DataFrame, shelves: DataFrame) -> t
 
 
 def add_registrations(registrations: DataFrame, new: DataFrame, offerings: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Registered securities (company_id, offering_accn, ...) of an offering the company has; without one it is an error, listed."""
-    known = offerings.select("company_id", F.col("accn").alias("offering_accn")).distinct().withColumn("_known", F.lit(1))
-    hit, missed = _split(new.join(known, ["company_id", "offering_accn"], "left"), "_known", "error: no shelf offering of this accn", registrations)
+    """Registered securities (company_id, offering_accn, ...) of an offering the company has; without one it is an error, listed.
+
+    offerings: (company_id, accn), with seq where a command of the same queue adds the offering; one that comes later does not count.
+    """
+    since = F.coalesce("seq", F.lit(-1)) if "seq" in offerings.columns else F.lit(-1)
+    known = offerings.groupBy("company_id", F.col("accn").alias("offering_accn")).agg(F.min(since).alias("_since"))
+    met = new.join(known, ["company_id", "offering_accn"], "left").withColumn("_known", F.when(F.col("_since") < F.col("seq"), 1))
+    hit, missed = _split(met, "_known", "error: no shelf offering of this accn", registrations)
     return add(registrations, hit, keys), missed
 
 
 def by_attributes(new: DataFrame, securities: DataFrame) -> DataFrame:
     """new (company_id, attributes: map<string, string>) with the id of the company's first security whose JSON holds every attribute, else null.
 
-    securities: (company_id, id, security_attributes JSON). Attributes without an entry match nothing.
+    securities: (company_id, id, security_attributes JSON). No attributes, a null value and an attribute without an entry match nothing.
+
+    A relational division over an inverted index: securities are posted under each (company, key, value); each different set
+    of attributes asked for looks up the postings of its rarest pair, and those candidates whose other pairs are all posted too are counted out. So a value
+    that all securities share is looked up only where it is all that was asked, and commands that ask the same share one answer.
     """
-    held = securities.select("company_id", F.col("id").alias("_id"), F.from_json("security_attributes", "map<string, string>").alias("_held"))
-    same = F.forall(F.map_entries("attributes"), lambda e: F.coalesce(F.try_element_at("_held", e["key"]) == e["value"], F.lit(False)))
-    hit = new.join(held, "company_id").where((F.size(F.map_keys("attributes")) > 0) & same).groupBy("seq").agg(F.min("_id").alias("security_id"))
-    return new.join(hit, "seq", "left")
+    asked = F.array_sort(F.map_entries("attributes"))
+    wanted = new.where("size(attributes) > 0 and company_id is not null").select("company_id", asked.alias("_asked")).distinct()
+    pairs = wanted.select("company_id", "_asked", F.size("_asked").alias("_n"), F.explode("_asked").alias("_pair")).select("company_id", "_asked", "_n", F.col("_pair.key").alias("_key"), F.col("_pair.value").alias("_value"))
+    held = securities.select("company_id", F.col("id").alias("_id"), F.explode(F.from_json("security_attributes", "map<string, string>")).alias("_key", "_value")).distinct()
+    on = ["company_id", "_key", "_value"]
+    length = held.groupBy(*on).agg(F.count("*").alias("_length"))
+    # a pair that nothing holds leaves its set unanswered
+    rarest = pairs.join(length, on).groupBy("company_id", "_asked", "_n").agg(F.count("*").alias("_found"), F.min(F.struct("_length", "_key", "_value")).alias("_best")).where("_found = _n")
+    candidates = rarest.select("company_id", "_asked", "_n", F.col("_best._key").alias("_key"), F.col("_best._value").alias("_value")).join(held, on).select("company_id", "_asked", "_n", "_id")
+    single = candidates.where("_n = 1").select("company_id", "_asked", "_id")
+    rest = candidates.where("_n > 1").withColumn("_pair", F.explode("_asked")).select("company_id", "_asked", "_n", "_id", F.col("_pair.key").alias("_key"), F.col("_pair.value").alias("_value"))
+    several = rest.join(held, [*on, "_id"], "left_semi").groupBy("company_id", "_asked", "_n", "_id").agg(F.count("*").alias("_met")).where("_met = _n").select("company_id", "_asked", "_id")
+    answer = single.unionByName(several).groupBy("company_id", "_asked").agg(F.min("_id").alias("security_id"))
+    return new.withColumn("_asked", asked).join(answer, ["company_id", "_asked"], "left").drop("_asked")
 
 
 def add_outstanding(facts: DataFrame, new: DataFrame, securities: DataFrame) -> tuple[DataFrame, DataFrame]:

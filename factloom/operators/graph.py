@@ -36,6 +36,8 @@ def ancestors(edges: DataFrame) -> DataFrame:
         if (now := closure.count()) == known:
             break
         exact, known, reach = rounds.keep(_beyond(exact, exact).distinct()), now, 2 * reach
+        rounds.drop_before(2)
+    rounds.drop_before()  # the last table kept is the closure
     return closure
 
 
@@ -91,6 +93,51 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("a", "b", F.col("n.ancestor").alias("path"))
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, path): the shortest path of each pair in any graph, edges taken either way, of equally short ones the least node by node; pairs that no path joins have no row.
+
+    A search from both ends of all pairs at once: each round one side's frontiers send their paths to the neighbours, which keep the least; new nodes meet
+    the other side's frontier, and a pair that has met, or whose frontier is empty, leaves. So nodes within half the distance are
+    seen, cycles and several parents do no harm, and the rounds are as many as the longest path asked for has edges. Each round is a table;
+    earlier ones are deleted. Pairs are taken once; those with a null end and edges with a null end or two equal ends are left out; a node's path to
+    itself is the node.
+    """
+    rounds, held = Rounds(edges.sparkSession, "steps"), [Rounds(edges.sparkSession, side) for side in ("from", "to")]
+    apart = edges.where("parent <> child")
+    steps = rounds.keep(apart.select(F.col("parent").alias("node"), F.col("child").alias("next")).unionByName(apart.select(F.col("child").alias("node"), F.col("parent").alias("next"))).distinct())
+    asked = pairs.where("a is not null and b is not null").select("a", "b").distinct()
+    found = asked.where("a = b").select("a", "b", F.array("a").alias("path"))
+    open_ = asked.where("a <> b")
+    # (a, b, node, path): the nodes seen from each side, with the least path between them and that side's end; the frontier is the last round
+    front = [held[0].keep(open_.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path"))), held[1].keep(open_.select("a", "b", F.col("b").alias("node"), F.array("b").alias("path")))]
+    seen = [f.select("a", "b", "node") for f in front]
+    results, side = Rounds(edges.sparkSession, "met"), 0
+    found = [results.keep(found)]
+    while True:
+        path = F.concat("path", F.array("next")) if side == 0 else F.concat(F.array("next"), "path")
+        sent = front[side].join(steps, "node").select("a", "b", F.col("next").alias("node"), path.alias("path")).groupBy("a", "b", "node").agg(F.min("path").alias("path"))
+        fresh = held[side].keep(sent.join(seen[side], ["a", "b", "node"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        seen[side] = seen[side].unionByName(fresh.select("a", "b", "node"))
+        here, there = (fresh, front[1]) if side == 0 else (front[0], fresh)
+        both = here.join(there.select("a", "b", "node", F.col("path").alias("rest")), ["a", "b", "node"])
+        whole = F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))
+        met = results.keep(both.groupBy("a", "b").agg(F.min(whole).alias("path")))
+        found.append(met)
+        front[side] = fresh.join(met, ["a", "b"], "left_anti")
+        front[1 - side] = front[1 - side].join(fresh.select("a", "b").distinct(), ["a", "b"], "left_semi").join(met, ["a", "b"], "left_anti")
+        side = 1 - side
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    done = results.keep(out)
+    results.drop_before()
+    for r in (rounds, *held):
+        r.drop_before(0)
+    return done
+
+
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Edges with the new ones; an edge exists once."""
     return edges.unionByName(new.select(*edges.columns)).distinct()

@@ -6,12 +6,13 @@ expressions on one row; only joins to lexicons and groupings move data.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import durations, parse_date, quantity, security_key, swap_case_after
-from .intervals import longest_per_group, overlap_groups
+from .names import find_names
 
 #: Certainty of modal verbs and adverbs.
 CERTAINTY = {
@@ -44,19 +45,24 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _ends_so_far(lengths: pa.Array) -> pa.Array:
+    """Running sums of each list, in one pass over the batch."""
+    import numpy as np
+
+    flat = np.concatenate(([0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False))))
+    sizes = lengths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    sums = flat[1:] - np.repeat(flat[ends - sizes], sizes)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(sums, pa.int32()))
+
+
 def places(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, text>> of the matches of a pattern, in text order; ends are exclusive."""
+    """array<struct<start, end, text>> of the matches of a pattern, in text order; ends are exclusive. Linear in the text: matches and gaps come from the JVM, their running lengths from an Arrow batch."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, text: string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
-
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    widths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+    ends = F.arrow_udf(_ends_so_far, "array<int>")(widths)
+    return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
 
 
 def literal(word: Column) -> Column:
@@ -232,18 +238,17 @@ def alias_variants(alias: Column) -> Column:
 
 
 def alias_places(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, alias, start, end: places of base aliases, or their variants, after their definition. Of overlapping places the longest stays; those inside any definition don't count."""
-    base = found.where("role = 'base'").select(key, "alias", "paren").distinct()
-    defined = F.position("paren", F.col(text)) + F.length("paren") - 1
-    both = base.join(docs.select(key, text), key).withColumn("_from", defined).withColumn("_word", F.explode(alias_variants(F.col("alias"))))
-    hits = both.withColumn("_p", F.explode(places(F.substr(F.col(text), F.col("_from") + 1), literal(F.col("_word")))))
-    hits = hits.select(key, "alias", (F.col("_p.start") + F.col("_from")).alias("start"), (F.col("_p.end") + F.col("_from")).alias("end")).distinct()
-    parens = docs.select(key, F.explode(places(F.col(text), "\\([^(]*\\)")).alias("_p")).where(F.col("_p.text").rlike("[\"“][^\"“”]+[\"”]"))
-    parens = parens.select(key, F.col("_p.start").alias("_a"), F.col("_p.end").alias("_b"))
-    inside = [hits[key] == parens[key], hits["start"] >= parens["_a"], hits["end"] <= parens["_b"]]
-    free = hits.join(parens, inside, "left_anti").withColumn("last", F.col("end") - 1)
-    groups = overlap_groups(free, [key], "start", "last", ["alias"], alone=True)
-    return longest_per_group(groups, [key], "start", "end").select(key, "alias", "start", "end")
+    """key, alias, start, end: places of base aliases, or their variants, after their definition. Of overlapping places the longest stays; those inside any definition don't count.
+
+    One pass over a document finds all its aliases: see names.find_names.
+    """
+    t, defined = F.col(text), F.position("paren", F.col(text)) + F.length("paren") - 1
+    base = found.where("role = 'base'").join(docs.select(key, text), key).select(key, "alias", defined.alias("since"), F.explode(alias_variants(F.col("alias"))).alias("name"))
+    known = base.groupBy(key).agg(F.collect_set(F.struct("name", "since")).alias("_names"), F.collect_set(F.struct("name", "alias")).alias("_of"))
+    hits = docs.select(key, text).join(known, key).select(key, "_of", F.filter(places(t, "\\([^(]*\\)"), lambda p: p["text"].rlike("[\"“][^\"“”]+[\"”]")).alias("_parens"), find_names(t, F.col("_names"), hyphens=True).alias("_hits"))
+    free = F.filter("_hits", lambda h: ~F.exists("_parens", lambda p: (h["start"] >= p["start"]) & (h["end"] <= p["end"])))
+    alias = F.array_min(F.transform(F.filter("_of", lambda o: o["name"] == F.col("_h.name")), lambda o: o["alias"]))
+    return hits.select(key, "_of", F.explode(free).alias("_h")).select(key, alias.alias("alias"), F.col("_h.start").alias("start"), F.col("_h.end").alias("end"))
 
 
 def alias_references(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -255,12 +260,9 @@ def alias_references(found: DataFrame, docs: DataFrame, key: str, text: str) ->
 
 def second_pass(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, secu_key, start, end: every place of a security the document names, in any case, singular or plural; of overlapping places the longest stays."""
-    named = docs.select(key, text, F.explode(F.array_distinct(F.transform(securities(F.col(text)), security_key))).alias("secu_key"))
-    words = F.array_join(F.transform(F.split("secu_key", "\\s+"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
-    either = F.concat(F.lit("(?i)\\b"), words, F.lit("(?:s|es)?\\b"))
-    hits = named.withColumn("_p", F.explode(places(F.col(text), either))).select(key, "secu_key", F.col("_p.start").alias("start"), F.col("_p.end").alias("end"), (F.col("_p.end") - 1).alias("last"))
-    groups = overlap_groups(hits, [key], "start", "last", ["secu_key"], alone=True)
-    return longest_per_group(groups, [key], "start", "end").select(key, "secu_key", "start", "end")
+    named = F.array_distinct(F.transform(securities(F.col(text)), security_key))
+    hits = find_names(F.col(text), F.transform(named, lambda n: F.struct(n.alias("name"), F.lit(0).alias("since"))), fold=True, plural=True)
+    return docs.select(key, F.explode(hits).alias("_h")).select(key, F.col("_h.name").alias("secu_key"), F.col("_h.start").alias("start"), F.col("_h.end").alias("end"))
 
 
 def alias_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:

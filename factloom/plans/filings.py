@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import cash, commands, extract, facts, graph, html, items, paths, predicates, state
+from ..operators import command_log as command_log_
 from ..scratch import new_folder
 from ..sources import files, schemas
 from . import register, table
@@ -332,14 +333,14 @@ def _commands(spark, sf, every):
 
 
 def _offerings(spark, sf):
-    none = spark.createDataFrame([], "company_id long, accn string, shelf_accn string")
+    none = spark.createDataFrame([], "company_id long, accn string, shelf_accn string, seq long")
     shelves = commands.add(spark.createDataFrame([], "company_id long, accn string, seq long"), _commands(spark, sf, 2), ["company_id", "accn"])
     return commands.add_offerings(none, _commands(spark, sf, 3), shelves)
 
 
 @register("command_offerings", f"with {_OFFERS} select company_id, accn, accn as shelf_accn from h where ok group by 1, 2")
 def command_offerings(spark, sf):
-    return _offerings(spark, sf)[0]
+    return _offerings(spark, sf)[0].drop("seq")
 
 
 @register("command_offerings_missed", f"with {_OFFERS} select seq, 'no shelf registration of this accn' as reason from h where not coalesce(ok, false)")
@@ -347,7 +348,7 @@ def command_offerings_missed(spark, sf):
     return _offerings(spark, sf)[1]
 
 
-_REGISTERED = f"{_OFFERS}, f as (select distinct company_id, accn from h where ok), r as (select o_custkey as company_id, 'a' || (o_orderkey % 20) as offering_accn, o_orderkey % 4 as security_id, o_orderkey as seq from orders where o_orderkey % 5 = 0), z as (select r.*, f.accn is not null as ok from r left join f on r.company_id = f.company_id and offering_accn = accn)"
+_REGISTERED = f"{_OFFERS}, f as (select company_id, accn, min(seq) as since from h where ok group by all), r as (select o_custkey as company_id, 'a' || (o_orderkey % 20) as offering_accn, o_orderkey % 4 as security_id, o_orderkey as seq from orders where o_orderkey % 5 = 0), z as (select r.*, coalesce(f.since < r.seq, false) as ok from r left join f on r.company_id = f.company_id and offering_accn = accn)"
 
 
 def _registered(spark, sf):
@@ -366,6 +367,44 @@ def command_registrations_missed(spark, sf):
     return _registered(spark, sf)[1]
 
 
+_QUEUE = """q as (select o_orderkey as seq, ['company', 'shelf', 'offering', 'registration', 'resale', 'effect', 'shelf', 'offering', 'registration', 'other'][1 + (day(o_orderdate) % 10)] as op, o_custkey % 40 as company_id,
+        case when o_custkey % 17 <> 0 then 'a' || (month(o_orderdate) % 4) end as accn, 'a' || (year(o_orderdate) % 4) as offering_accn, o_orderkey % 3 as security_id from orders),
+    companies as (select *, row_number() over (partition by company_id order by seq) = 1 as is_first from q where op = 'company'),
+    filed as (select q.*, q.accn is null as keyless, not exists (select 1 from companies c where c.company_id = q.company_id and c.seq < q.seq) as lacks from q where op in ('shelf', 'resale', 'effect')),
+    shelves as (select *, row_number() over (partition by op, company_id, accn order by seq) = 1 as is_first from filed where not keyless and not lacks),
+    offered as (select q.*, q.accn is null as keyless, not exists (select 1 from shelves s where s.op = 'shelf' and s.company_id = q.company_id and s.accn = q.accn and s.seq < q.seq) as lacks from q where op = 'offering'),
+    offerings as (select *, row_number() over (partition by company_id, accn order by seq) = 1 as is_first from offered where not keyless and not lacks),
+    registered as (select q.*, not exists (select 1 from offerings o where o.company_id = q.company_id and o.accn = q.offering_accn and o.seq < q.seq) as lacks from q where op = 'registration'),
+    registrations as (select *, row_number() over (partition by company_id, offering_accn, security_id order by seq) = 1 as is_first from registered where not lacks),
+    history as (select seq, op, 'rejected' as status, 'unknown op' as reason from q where op = 'other'
+        union all select seq, op, case when is_first then 'applied' else 'present' end, null from (select seq, op, is_first from companies union all select seq, op, is_first from shelves union all select seq, op, is_first from offerings union all select seq, op, is_first from registrations)
+        union all select seq, op, 'rejected', 'no key' from (select seq, op, keyless from filed union all select seq, op, keyless from offered) where keyless
+        union all select seq, op, 'rejected', 'no company' from filed where lacks and not keyless
+        union all select seq, op, 'rejected', 'no shelf registration of this accn' from offered where lacks and not keyless
+        union all select seq, op, 'rejected', 'error: no shelf offering of this accn' from registered where lacks)"""
+
+
+def _queue(spark, sf):
+    kinds = "array('company', 'shelf', 'offering', 'registration', 'resale', 'effect', 'shelf', 'offering', 'registration', 'other')"
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey as seq", f"{kinds}[day(o_orderdate) % 10] as op", "o_custkey % 40 as company_id", "case when o_custkey % 17 <> 0 then concat('a', month(o_orderdate) % 4) end as accn",
+        "concat('a', year(o_orderdate) % 4) as offering_accn", "o_orderkey % 3 as security_id",
+    )
+
+
+@register("command_log", f"with {_QUEUE} select * from history")
+def command_log(spark, sf):
+    return command_log_.replay(_queue(spark, sf)).select("seq", "op", "status", "reason")
+
+
+@register("command_log_tables", f"""with {_QUEUE} select 'offering' as op, company_id, accn, null::bigint as security_id from offerings where is_first
+    union all select 'registration', company_id, offering_accn, security_id from registrations where is_first""")
+def command_log_tables(spark, sf):
+    history = command_log_.replay(_queue(spark, sf))
+    offerings = command_log_.made(history, "offering", ["op", "company_id", "accn"]).withColumn("security_id", F.lit(None).cast("long"))
+    return offerings.unionByName(command_log_.made(history, "registration", ["op", "company_id", "offering_accn", "security_id"]).withColumnRenamed("offering_accn", "accn"))
+
+
 _SECURITIES = "u as (select s_nationkey::bigint as company_id, min(s_suppkey) as id, (s_suppkey % 4)::varchar as rate, s_name as name from supplier group by s_nationkey, s_suppkey, s_name), w as (select o_custkey % 25 as company_id, o_orderkey as seq, (o_orderkey % 4)::varchar as rate, o_totalprice as amount, strftime(o_orderdate, '%Y-%m-%d') as instant, 'a' || (o_orderkey % 20) as accn from orders), v as (select w.seq, min(u.id) as security_id from w join u on u.company_id = w.company_id and u.rate = w.rate group by 1), x as (select w.*, v.security_id from w left join v using (seq))"
 
 

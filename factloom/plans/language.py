@@ -267,7 +267,8 @@ def greedy_spans(spark, sf):
     both = lambda c: F.concat(text.places(c, "\\b\\p{Lu}\\w+"), text.places(c, "\\b\\p{Lu}\\w+ \\w+"))
     d = table(spark, sf, "documents").select("doc_id", both(F.coalesce("text", F.lit(""))).alias("s"))
     spans = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return d.select("doc_id", F.size(intervals.keep_longest(spans)).alias("spans"), F.aggregate(intervals.keep_longest(spans), F.lit(0), lambda a, x: a + x["end"] - x["start"]).alias("covered"))
+    kept = d.select("doc_id", intervals.keep_longest(spans).alias("kept"))
+    return kept.select("doc_id", F.size("kept").alias("spans"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("covered"))
 
 
 @register("longest_match_per_start", "select l_orderkey, l_linenumber, max(l_quantity)::bigint as length from lineitem group by 1, 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -173,10 +174,29 @@ def tree_distance(spark, sf):
     return graph.tree_distance(_edges(spark, sf), _pairs(spark, sf)).select("a", "b", "distance")
 
 
-@register("shortest_path", f"""with recursive {_EDGES}, {_PAIRS}, u(child, anc, depth) as (select child, child, 0 from e union all select u.child, e.parent, u.depth + 1 from u join e on e.child = u.anc)
-    select a, b, (min(x.depth + y.depth) + 1)::int as nodes from p join u x on x.child = a join u y on y.child = b and x.anc = y.anc group by 1, 2""")
+@register("shortest_path", f"""with recursive {_EDGES}, {_PAIRS}, u(child, anc, depth, path) as (select child, child, 0, [child] from e union all select u.child, e.parent, u.depth + 1, u.path || [e.parent] from u join e on e.child = u.anc)
+    select a, b, array_to_string(arg_min(x.path || list_reverse(y.path)[2:], x.depth + y.depth), '/') as path from p join u x on x.child = a join u y on y.child = b and x.anc = y.anc group by 1, 2""")
 def shortest_path(spark, sf):
-    return graph.shortest_paths(_edges(spark, sf), _pairs(spark, sf)).select("a", "b", F.size("path").alias("nodes"))
+    return graph.shortest_paths(_edges(spark, sf), _pairs(spark, sf)).select("a", "b", F.array_join("path", "/").alias("path"))
+
+
+_CHAINS = """c as (select 's' || s_suppkey as parent, 's' || lead(s_suppkey) over (partition by s_nationkey order by s_acctbal, s_suppkey) as child from supplier
+    union all select 's' || s_suppkey, 's' || lead(s_suppkey) over (partition by floor(s_acctbal / 1500) order by s_suppkey) from supplier),
+    g as (select parent as f, child as t from c where child is not null union select child, parent from c where child is not null)"""
+
+
+@register("paths_in_any_graph", f"""with recursive {_CHAINS}, {_PAIRS},
+    r(a, b, node, depth, path) using key (a, b, node) as (select a, b, a, 0, [a] from p
+        union select r.a, r.b, g.t, r.depth + 1, min(r.path || [g.t]) from r join g on g.f = r.node left join recurring.r v on v.a = r.a and v.b = r.b and v.node = g.t where v.node is null group by r.a, r.b, g.t, r.depth)
+    select a, b, array_to_string(path, '/') as path from r where node = b""")
+def paths_in_any_graph(spark, sf):
+    """Suppliers of a nation in order of balance, and those of a balance class in order of key, form chains that cross: cycles, and pairs without a path."""
+    s = table(spark, sf, "supplier")
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    after = lambda *part: F.lead("s_suppkey").over(W.partitionBy(*part[:-1]).orderBy(*part[-1]))
+    by_nation = s.select(name(F.col("s_suppkey")).alias("parent"), name(after("s_nationkey", ["s_acctbal", "s_suppkey"])).alias("child"))
+    by_class = s.select(name(F.col("s_suppkey")).alias("parent"), name(after(F.floor(F.col("s_acctbal") / 1500), ["s_suppkey"])).alias("child"))
+    return graph.paths_between(by_nation.unionByName(by_class), _pairs(spark, sf)).select("a", "b", F.array_join("path", "/").alias("path"))
 
 
 _NUMBERS = "n as (select doc_id, i, x from (select doc_id, unnest(m) as x, generate_subscripts(m, 1) as i from (select doc_id, regexp_extract_all(text, '[0-9][0-9.,]*') as m from documents)))"

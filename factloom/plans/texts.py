@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import items, predicates, text
+from ..operators import items, names, predicates, text
 from ..streaming import incremental
 from . import register, table
 
@@ -43,3 +43,19 @@ def incremental_ingest(spark, sf):
 @register("unparsed_batch", "select conv_id, turn from conversations where length(text) <= 200")
 def unparsed_batch(spark, sf):
     return predicates.not_too_long(table(spark, sf, "conversations"), "text", 200).select("conv_id", "turn")
+
+
+@register("names_found_again", """
+    with t as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'), lambda x: lower(x)) as t from documents),
+    n as (select doc_id, t, [t[1:3], t[1:2], t[4:4]] as names from t where len(t) >= 4 and len(list_distinct(t[1:4])) = 4),
+    h as (select doc_id, unnest([1, 2, 3]) as name_no, unnest(names) as name, names, t from n),
+    p as (select doc_id, name_no, len(list_filter(range(1, len(t) + 1), lambda i: t[i:i + len(name) - 1] = name and (name_no <> 2 or t[i:i + 2] <> names[1]))) as places from h)
+    select doc_id, name_no, places::bigint as places from p where places > 0""")
+def names_found_again(spark, sf):
+    """The first three words of a document, the first two, and the fourth, found again in its whole text in any case; where the first two begin the first three, the longer counts."""
+    token = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"), F.lit(0))
+    d = _docs(spark, sf).withColumn("t", F.transform(F.slice(token, 1, 4), F.lower)).where("size(t) = 4 and size(array_distinct(t)) = 4")
+    name = lambda a, n: F.struct(F.array_join(F.slice("t", a, n), " ").alias("name"), F.lit(0).alias("since"))
+    given = F.array(name(1, 3), name(1, 2), name(4, 1))
+    hits = d.select("doc_id", F.transform(given, lambda x: x["name"]).alias("names"), F.explode(names.find_names(F.col("text"), given, fold=True)).alias("h"))
+    return hits.groupBy("doc_id", F.array_position("names", F.col("h.name")).cast("int").alias("name_no")).agg(F.count("*").alias("places"))

@@ -33,14 +33,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Rounds:
     """Tables of an iteration, written as Parquet so that lineage stays one round long."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, new_folder(spark, label), 0
+        self.spark, self.root, self.n, self.gone = spark, new_folder(spark, label), 0, 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_before(self, kept: int = 1) -> None:
+        """Deletes all but the last tables kept; nothing may read them any more."""
+        for n in range(self.gone + 1, self.n - kept + 1):
+            delete(self.spark, f"{self.root}/{n}")
+        self.gone = max(self.gone, self.n - kept)
