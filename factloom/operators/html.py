@@ -69,8 +69,9 @@ class Document(HTMLParser):
             elif tag in ("td", "th"):
                 if not rows:
                     rows.append([])
-                span = at.get("colspan", "1")
-                rows[-1].append([[], int(span) if span.isdigit() and 0 < int(span) < 1000 else 1])
+                wide, deep = at.get("colspan", "1").strip(), at.get("rowspan", "1").strip()
+                # a rowspan of 0 reaches down to the last row
+                rows[-1].append([[], int(wide) if wide.isdigit() and 0 < int(wide) < 1000 else 1, int(deep) if deep.isdigit() and int(deep) < 65535 else 1])
                 self.open_tables[-1]["header"] |= tag == "th"
         if tag not in _VOID:
             self.stack.append((tag, self._under(tag, at, self.stack[-1][1] if self.stack else _PLAIN)))
@@ -114,16 +115,36 @@ def parse(html: str | None, exclude: tuple[str, ...] = ()) -> Document:
     return doc
 
 
+def grid(table: dict) -> list[list[str]]:
+    """Rows of fields with all spans laid out: a cell's text stands in its first column, in each row that it spans; its other columns are empty.
+
+    Cells fill the places that cells of rows above have not taken; where a cell reaches into places already taken, the earlier one keeps them.
+    """
+    rows, taken, out = table["rows"], {}, []
+    for r, row in enumerate(rows):
+        column = 0
+        for texts, wide, deep in row:
+            while (r, column) in taken:
+                column += 1
+            text = " ".join(texts)
+            for down in range(r, len(rows) if deep == 0 else min(len(rows), r + deep)):
+                for c in range(column, column + wide):
+                    taken.setdefault((down, c), text if c == column else "")
+            column += wide
+        width = 1 + max((c for q, c in taken if q == r), default=-1)
+        out.append([taken.pop((r, c), "") for c in range(width)])
+    return out
+
+
 def matrix(table: dict, spans: str = "none") -> list[list[str | None]]:
-    """Rows of fields. spans: "none" one field a cell; "separate" repeats a spanning field as empty ones; "merge" joins fields under a spanning header."""
-    rows = [[(" ".join(c), n) for c, n in row] for row in table["rows"]]
+    """Rows of fields. spans: "none" one field a cell; "separate" repeats a spanning field as empty ones; "merge" joins fields under a spanning header. The last two carry cells down that span rows."""
     if spans == "none":
-        return [[t for t, _ in row] for row in rows]
-    wide = [[x for t, n in row for x in [t, *[""] * (n - 1)]] for row in rows]
-    if spans == "separate" or not rows:
+        return [[" ".join(c) for c, *_ in row] for row in table["rows"]]
+    wide = grid(table)
+    if spans == "separate" or not wide:
         return wide
     starts, at = [], 0
-    for _, n in rows[0]:
+    for _, n, _ in table["rows"][0]:
         starts.append((at, at + n))
         at += n
     return [[" ".join(x for x in row[a:b] if x) for a, b in starts] + row[at:] for row in wide]
@@ -158,7 +179,7 @@ def classify(rows: list[list[str]]) -> str:
 
 def has_header(table: dict) -> bool:
     """A header cell anywhere, or text in the first row."""
-    return table["header"] or bool(table["rows"]) and any(" ".join(c).strip() for c, _ in table["rows"][0])
+    return table["header"] or bool(table["rows"]) and any(" ".join(c).strip() for c, *_ in table["rows"][0])
 
 
 def as_text(kind: str, rows: list[list[str]]) -> str | None:
@@ -210,17 +231,12 @@ def section_starts(doc: Document) -> tuple[str, list[tuple[int, str]]]:
     tables = toc_tables(doc)
     if tables:
         titles = [next((c for c in row if c and not re.fullmatch(r"[0-9ivxlc\-. ]+", c.lower())), "") for row in clean_matrix(matrix(tables[0]))]
-        shape = lambda s: re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
-        found, after = {}, tables[0]["end"]
-        names = [(i, shape(t)) for i, t, _ in headers(doc) if i >= after] or [(i, shape(p["text"])) for i, p in enumerate(doc.pieces) if i >= after]
-        for title in filter(None, titles):
-            name = shape(title)
-            hit = next((i for i, t in names if t == name), None)
-            if hit is None and len(name.split()) >= 4:
-                first = " ".join(name.split()[:4])
-                hit = next((i for i, t in names if t.startswith(first) and len(t) <= 2 * len(name)), None)
-            if hit is not None:
-                found.setdefault(hit, title)
+        from .headings import align
+
+        after = tables[0]["end"]
+        names = [(i, t) for i, t, _ in headers(doc) if i >= after] or [(i, p["text"]) for i, p in enumerate(doc.pieces) if i >= after and len(p["text"]) <= 300]
+        titles = list(filter(None, titles))
+        found = {names[j][0]: titles[i] for i, j, _ in align(titles, [t for _, t in names])}
         if len(found) >= 2:
             return "toc_titles", sorted(found.items())
     return "headers", [(i, t) for i, t, _ in headers(doc)]
@@ -302,6 +318,22 @@ def split_sections(docs: DataFrame, key: str, html: str) -> DataFrame:
     return docs.select(key, html).mapInArrow(run, f"`{key}` {kind}, {SECTION_SCHEMA}")
 
 
+def table_rows(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """key, table_no, row_no, fields: the rows of every table of a page with spans laid out (see grid), as they stand, in one Arrow pass. A nested table is a table of its own."""
+
+    def run(batches):
+        for batch in batches:
+            keys, rows = [], []
+            for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for n, t in enumerate(parse(h).tables):
+                    for r, fields in enumerate(grid(t)):
+                        keys.append(k)
+                        rows.append((n, r, fields))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.string())))]], names=[key, "table_no", "row_no", "fields"])
+
+    return docs.select(key, html).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, table_no int, row_no int, fields array<string>")
+
+
 def text_content(docs: DataFrame, key: str, html: str, exclude: tuple[str, ...] = ("title",)) -> DataFrame:
     """key, text: all text outside the excluded tags, pieces joined by one space."""
 

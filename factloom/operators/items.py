@@ -70,6 +70,11 @@ def main_table(rows: Column, keys: list[str]) -> Column:
     return F.map_filter(F.create_map(*out), lambda k, v: v.isNotNull())
 
 
+def main_table_of(tables: Column, keys: list[str]) -> Column:
+    """main_table over several tables read as one: a cover table that a page break splits. tables: array<struct<rows: array<array<string>>, ...>>."""
+    return main_table(F.flatten(F.transform(tables, lambda t: t["rows"])), keys)
+
+
 def effectiveness(docs: DataFrame, key: str, xml: str) -> DataFrame:
     """key, for_form (form, else the submission type), effective_date, file_number, cik of effectiveness notices. Malformed XML gives nulls."""
     schema = "submissionType string, effectiveData struct<finalEffectivenessDispDate string, form string, filer struct<cik string, fileNumber string>>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import items, names, predicates, text
+from ..operators import headings, html, items, names, predicates, text
 from ..streaming import incremental
 from . import register, table
 
@@ -59,3 +59,67 @@ def names_found_again(spark, sf):
     given = F.array(name(1, 3), name(1, 2), name(4, 1))
     hits = d.select("doc_id", F.transform(given, lambda x: x["name"]).alias("names"), F.explode(names.find_names(F.col("text"), given, fold=True)).alias("h"))
     return hits.groupBy("doc_id", F.array_position("names", F.col("h.name")).cast("int").alias("name_no")).agg(F.count("*").alias("places"))
+
+
+#: group, and what stands before, at the start, at the end and after a heading of it
+_STYLES = (
+    ("center_b", '<p align="CENTER">', "<b>", "</b>", "</p>"),
+    ("textcenter_strong", '<div style="text-align:center">', "<strong>", "</strong>", "</div>"),
+    ("textcenter_b", '<div style="TEXT-ALIGN: center"><i>', "<b>", "</b>", "</i></div>"),
+    ("textcenter_weight", '<div style="text-align: center">', '<span style="font-weight:bold">', "</span>", "</div>"),
+    ("td_textcenter_font_b", '<table><tr><td style="text-align:center"><font>', "<b>", "</b>", "</font></td></tr></table>"),
+    ("td_textcenter_font_weight", '<table><tr><td style="text-align:center">', '<font style="font-weight: 700">', "</font>", "</td></tr></table>"),
+    ("b_u", "<p><b>", "<u>", "</u>", "</b></p>"),
+    ("font_bold_text_align_center_parent", '<div style="font: bold 10pt Times; text-align:center">', '<font size="2">', "</font>", "</div>"),
+)
+_STYLE_ROWS = ", ".join("(" + ", ".join(f"'{x}'" for x in (n, *s)).replace(f"'{n}'", str(n), 1) + ")" for n, s in enumerate(_STYLES))
+
+
+@register("styled_headings", f"""
+    with s(n, grp, pre, o, c, post) as (values {_STYLE_ROWS}),
+    t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as t from documents), h as (select * from t join s on n = doc_id % 8 where len(t) >= 5)
+    select doc_id, 0::int as number, grp as "group", true as main, upper(t[1] || ' ' || t[2]) as text, 2::int as lines, 0::int as under, o || upper(t[1]) || c || post || chr(10) || pre || o || upper(t[2]) || c as source from h
+    union all select doc_id, 1, grp, false, lower(t[3] || ' ' || t[4]), 1, 0, o || lower(t[3] || ' ' || t[4]) || c from h
+    union all select doc_id, 2, grp, true, upper(t[5]), 1, 2, o || upper(t[5]) || c from h""")
+def styled_headings(spark, sf):
+    """Whole documents as pages, their first words as headings in one of eight styles: two lines of a main heading, a heading under it, and the text before another main one."""
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for n, s in enumerate(_STYLES) for x in (n, s[i])]), (F.col("doc_id") % 8).cast("int"))
+    d = _docs(spark, sf).withColumn("t", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).where("size(t) >= 5")
+    pre, opened, closed, post = (pick(i) for i in range(1, 5))
+    word = lambda i: F.get("t", F.lit(i))
+    heading = lambda x: F.concat(pre, opened, x, closed, post)
+    body = F.concat(F.lit("<p>"), F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), F.lit("</p>"))
+    page = F.concat(heading(F.upper(word(0))), F.lit("\n"), heading(F.upper(word(1))), heading(F.lower(F.concat(word(2), F.lit(" "), word(3)))), body, heading(F.upper(word(4))), body)
+    # the narrower styles first: each of the eight then picks its own headings
+    found = headings.styled_headings(d.select("doc_id", page.alias("html")), "doc_id", "html", dict(reversed(headings.GROUPS.items())))
+    return found.join(d.select("doc_id", page.alias("html")), "doc_id").select("doc_id", "number", "group", "main", "text", "lines", "under", F.substr("html", F.col("start") + 1, F.col("end") - F.col("start")).alias("source"))
+
+
+@register("titles_aligned", """
+    with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]{3,}')[1:9] as t from documents), d as (select doc_id from t where len(t) = 9 and len(list_distinct(t)) = 9)
+    select doc_id, n::int as title_no, place::int as heading_no, k::int as joined from d, (values (0, 1, 1), (1, 2, 1), (2, 4, 2)) v(n, place, k)""")
+def titles_aligned(spark, sf):
+    """Nine words of a document make three titles; their headings have a line break, lack a word, come twice, or stand in two lines."""
+    d = _docs(spark, sf).withColumn("t", F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{3,}"), F.lit(0)), 1, 9)).where("size(t) = 9 and size(array_distinct(t)) = 9")
+    title = lambda a, n: F.array_join(F.slice("t", a, n), " ")
+    broken = F.upper(F.array_join(F.slice("t", 1, 3), "\n "))
+    lacking = F.concat_ws(" ", *[F.get("t", F.lit(i)) for i in (3, 4, 6)])
+    found = F.array(F.lit("..."), broken, lacking, title(1, 3), title(8, 1), title(9, 1))
+    return headings.aligned_titles(d.select("doc_id", F.array(title(1, 3), title(4, 4), title(8, 2)).alias("titles"), found.alias("found")), "doc_id", "titles", "found")
+
+
+@register("spanned_tables", """
+    with l as (select l_orderkey, l_returnflag, l_linenumber, l_quantity::bigint as q, row_number() over (partition by l_orderkey order by l_returnflag, l_linenumber, l_quantity, l_extendedprice) as r from lineitem)
+    select l_orderkey, (r - 1)::int as row_no, l_orderkey::varchar || '/' || l_returnflag || '/' || l_linenumber || '/' || q || '/' as fields from l""")
+def spanned_tables(spark, sf):
+    """A table for each order: its key spans all rows, a flag the rows of its lines, and the quantity two columns."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
+    w = W.partitionBy("l_orderkey")
+    lines = li.withColumn("r", F.row_number().over(w.orderBy("l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice"))).withColumn("n", F.count("*").over(w))
+    flag = W.partitionBy("l_orderkey", "l_returnflag")
+    lines = lines.withColumn("f", F.count("*").over(flag)).withColumn("first", F.min("r").over(flag))
+    cell = lambda text, **spans: F.concat(F.lit("<td"), *[F.concat(F.lit(f' {k}="'), v.cast("string"), F.lit('"')) for k, v in spans.items()], F.lit(">"), text.cast("string"), F.lit("</td>"))
+    tr = F.concat(F.lit("<tr>"), F.when(F.col("r") == 1, cell(F.col("l_orderkey"), rowspan=F.col("n"))).otherwise(""), F.when(F.col("r") == F.col("first"), cell(F.col("l_returnflag"), rowspan=F.col("f"))).otherwise(""), cell(F.col("l_linenumber")), cell(F.col("q"), colspan=F.lit(2)), F.lit("</tr>"))
+    # an order has a few lines
+    pages = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("r", tr.alias("tr")))).alias("rows")).select("l_orderkey", F.concat(F.lit("<table>"), F.array_join(F.col("rows.tr"), ""), F.lit("</table>")).alias("html"))
+    return html.table_rows(pages, "l_orderkey", "html").select("l_orderkey", "row_no", F.array_join("fields", "/").alias("fields"))
