@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import headings, html, items, names, predicates, text
-from ..streaming import incremental
+from ..scratch import new_folder
+from ..streaming import incremental, keyed
 from . import register, table
 
 
@@ -40,6 +41,16 @@ def incremental_ingest(spark, sf):
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@register("newest_events", "select user_id, event_id, ts, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id::varchar desc) = 1")
+def newest_events(spark, sf):
+    """The newest event of each user, folded with keyed state from files that come out of order, one a batch."""
+    root = new_folder(spark, "newest")
+    table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").repartition(3, "event_type").write.parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    keyed.fold_newest(spark, f"{root}/in", schema, f"{root}/changes", f"{root}/log", ["user_id"], "ts", files_per_batch=1).awaitTermination()
+    return keyed.newest(spark, schema, f"{root}/changes", ["user_id"]).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+
+
 @register("unparsed_batch", "select conv_id, turn from conversations where length(text) <= 200")
 def unparsed_batch(spark, sf):
     return predicates.not_too_long(table(spark, sf, "conversations"), "text", 200).select("conv_id", "turn")
