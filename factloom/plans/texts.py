@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import headings, html, items, names, predicates, text
 from ..scratch import new_folder
 from ..streaming import incremental, keyed
+from ..sources import pdf
 from . import register, table
 
 
@@ -134,3 +135,42 @@ def spanned_tables(spark, sf):
     # an order has a few lines
     pages = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("r", tr.alias("tr")))).alias("rows")).select("l_orderkey", F.concat(F.lit("<table>"), F.array_join(F.col("rows.tr"), ""), F.lit("</table>")).alias("html"))
     return html.table_rows(pages, "l_orderkey", "html").select("l_orderkey", "row_no", F.array_join("fields", "/").alias("fields"))
+
+
+def _pdf(pages: list[list[tuple[float, float, str]]]) -> bytes:
+    """A PDF whose pages show texts at given places, as a printer driver writes one."""
+    import zlib
+
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(), 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding /FirstChar 0 /Widths [" + b"600 " * 256 + b"] >>"}
+    for i, shown in enumerate(pages):
+        safe = lambda t: t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+        body = zlib.compress(("BT /F1 9 Tf " + " ".join(f"1 0 0 1 {x:.1f} {y:.1f} Tm ({safe(t)}) Tj" for x, y, t in shown) + " ET").encode("cp1252", "replace"))
+        objects[4 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>".encode()
+        objects[5 + 2 * i] = f"<< /Length {len(body)} /Filter /FlateDecode >>\nstream\n".encode() + body + b"\nendstream"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in sorted(objects.items())) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@register("pdf_tables", """
+    with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_extendedprice) as r, count(*) over (partition by l_orderkey) as n from lineitem)
+    select l_orderkey, 1::int as page, (r - 1)::int as row_no, 'part ' || l_partkey || '|' || l_linenumber || '|' || l_quantity::bigint as fields from l where n > 1""")
+def pdf_tables(spark, sf):
+    """A PDF for each order with its lines as a table of five columns under a heading; the reader gives back three of them. A single line is no table."""
+    li = table(spark, sf, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber as a, l_partkey as b, l_quantity as q, l_extendedprice as c, l_returnflag as f, cast(l_shipdate as string) as d) as l")
+    # an order has a few lines
+    orders = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+
+    def draw(frames):
+        import pandas as pd
+
+        for frame in frames:
+            made = []
+            for key, rows in zip(frame["l_orderkey"], frame["lines"], strict=True):
+                shown = [(60.0, 740.0, f"Order {key}")]
+                for n, x in enumerate(rows):
+                    shown += [(left, 700.0 - 12 * n, t) for left, t in ((60.0, f"part {x['b']}"), (160.0, x["f"]), (220.0, str(x["a"])), (290.0, str(int(x["q"]))), (360.0, x["d"]))]
+                made.append(_pdf([shown]))
+            yield pd.DataFrame({"l_orderkey": frame["l_orderkey"], "content": made})
+
+    files = orders.mapInPandas(draw, "l_orderkey long, content binary")
+    return pdf.table_rows(files, "l_orderkey", "content").select("l_orderkey", "page", "row_no", F.array_join("fields", "|").alias("fields"))
