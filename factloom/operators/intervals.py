@@ -67,11 +67,23 @@ def keep_longest(spans: Column) -> Column:
     return F.arrow_udf(run, "array<struct<start: long, end: long>>")(F.transform(spans, lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))))
 
 
-def runs_of_equal(tokens: DataFrame, keys: Sequence[str], position: str, label: str) -> DataFrame:
-    """Spans of consecutive positions with one label: keys, label, first, last."""
-    w = W.partitionBy(*keys, label).orderBy(position)
-    island = F.col(position) - F.row_number().over(w)
-    return tokens.where(F.col(label).isNotNull()).withColumn("_island", island).groupBy(*keys, label, "_island").agg(F.min(position).alias("first"), F.max(position).alias("last")).drop("_island")
+def runs_of_equal(tokens: DataFrame, keys: Sequence[str], position: str, label: str, width: int = 1 << 16) -> DataFrame:
+    """Spans of consecutive positions (whole numbers, each once a key) with one label: keys, label, first, last.
+
+    Positions are binned by `width`: runs inside a bin are found there, and only those that touch a bin's edge are put together over the bins, so
+    however common a label is, a window holds `width` rows of it, or one or two for each bin. Without keys the label alone parts the rows.
+    """
+    by = [*keys, label]
+    bin_ = F.floor(F.col(position) / width)
+    w = W.partitionBy(*by, "_bin").orderBy(position)
+    rows = tokens.where(F.col(label).isNotNull()).withColumn("_bin", bin_).withColumn("_island", F.col(position) - F.row_number().over(w))
+    runs = rows.groupBy(*by, "_bin", "_island").agg(F.min(position).alias("first"), F.max(position).alias("last"))
+    edge = (F.col("first") == F.col("_bin") * width) | (F.col("last") == (F.col("_bin") + 1) * width - 1)
+    order = W.partitionBy(*by).orderBy("first")
+    open_ = runs.where(edge).withColumn("_opens", F.when(F.lag("last").over(order) == F.col("first") - 1, 0).otherwise(1))
+    open_ = open_.withColumn("_island", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    whole = open_.groupBy(*by, "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.where(~edge).select(*by, "first", "last").unionByName(whole.select(*by, "first", "last"))
 
 
 def pairs_within(rows: DataFrame, group: str, position: str, label: str, distance: int | None = None) -> DataFrame:

@@ -85,8 +85,8 @@ def copy_first_match(target: DataFrame, source: DataFrame, keys: Sequence[str],
 
 
 def resolve_reference(rows: DataFrame, targets: DataFrame, name: str, key: str, out: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with the key of the target they name, rows that name none)."""
-    by_name = targets.select(F.col(name), F.col(key).alias(out)).dropDuplicates([name])
+    """(rows with the key of the target they name, rows that name none). Of several targets of a name the one with the least key counts."""
+    by_name = targets.groupBy(name).agg(F.min(key).alias(out))
     return rows.join(by_name, name), rows.join(by_name, name, "left_anti")
 
 

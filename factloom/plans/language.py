@@ -289,17 +289,17 @@ def formatted_matches(spark, sf):
     return o.select("k", text.format_matches(F.col("id"), F.col("v"), formats).alias("value"))
 
 
-_NAMED = "t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]{4,}') as t from documents), w as (select doc_id, upper(t[1][1:1]) || t[1][2:] as a, upper(t[2][1:1]) || t[2][2:] as b from t where len(t) > 1 and t[1] <> t[2])"
+_NAMED = "t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]{7,}') as t from documents), w as (select doc_id, upper(t[1][1:1]) || t[1][2:] as a, upper(t[2][1:1]) || t[2][2:] as b from t where len(t) > 1 and t[1] <> t[2])"
 
 
 @register("coreference_chains", f"""with {_NAMED}
-    select doc_id, 1::int as chain, [a || ' Holdings Corp.', 'The company', 'It', a] as texts from w union all select doc_id, 2, ['Mr. ' || b, 'He', 'his', b] from w""")
+    select doc_id, 1::int as chain, a || ' Holdings Corp./The company/It/' || a as texts from w union all select doc_id, 2, 'Mr. ' || b || '/He/his/' || b from w""")
 def coreference_chains(spark, sf):
     """Names made of each document's words: a company and a person taken up by a noun, by pronouns and by a part of the name."""
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{4,}"), F.lit(0)).alias("t")).where("size(t) > 1 and t[0] <> t[1]")
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{7,}"), F.lit(0)).alias("t")).where("size(t) > 1 and t[0] <> t[1]")
     name = lambda i: F.initcap(F.get("t", F.lit(i)))
     a, b = name(0), name(1)
     said = F.concat(F.lit("In May "), a, F.lit(" Holdings Corp. filed a report. The company sold units to Mr. "), b, F.lit(". It waits. He kept his seat. "), a, F.lit(" ended. We met "), b, F.lit("."))
     found = coreference.coreference(d.select("doc_id", said.alias("s")), "doc_id", "s")
     # a planted text has a few mentions
-    return found.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("m")).select("doc_id", "chain", F.col("m.text").alias("texts"))
+    return found.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("m")).select("doc_id", "chain", F.array_join(F.col("m.text"), "/").alias("texts"))

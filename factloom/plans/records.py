@@ -135,8 +135,7 @@ def groups_with_both(spark, sf):
 
 @register("label_runs", "with i as (select *, event_id - row_number() over (partition by event_type order by event_id) as g from events) select event_type, min(event_id) as first, max(event_id) as last from i group by event_type, g")
 def label_runs(spark, sf):
-    e = table(spark, sf, "events").withColumn("d", F.lit(1))
-    return intervals.runs_of_equal(e, ["d"], "event_id", "event_type").drop("d")
+    return intervals.runs_of_equal(table(spark, sf, "events"), [], "event_id", "event_type", width=1024)
 
 
 def _edges(spark, sf):

@@ -173,3 +173,20 @@ def test_attributes_by_comparing_all(spark):
         assert r.security_id == (min(hits) if hits else None), (r, hits)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "NestedLoop" not in plan
+
+
+def test_runs_over_bins(spark):
+    rnd = random.Random(16)
+    rows = [(k, p, label) for k in (1, 2) for p, label in enumerate(rnd.choices(["a", "a", "a", "b", None], k=90)) if rnd.random() < 0.95]
+    want = []
+    for k in (1, 2):
+        mine = {p: label for j, p, label in rows if j == k and label}
+        for p, label in sorted(mine.items()):
+            if mine.get(p - 1) != label:
+                last = p
+                while mine.get(last + 1) == label:
+                    last += 1
+                want.append((k, label, p, last))
+    df = spark.createDataFrame(rows, "k int, p long, l string")
+    for width in (1, 4, 1 << 16):
+        assert sorted(map(tuple, intervals.runs_of_equal(df, ["k"], "p", "l", width).collect())) == sorted(want)
