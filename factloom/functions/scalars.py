@@ -158,9 +158,9 @@ def is_outdated(updated: Column, max_age_hours: float, now: Column) -> Column:
 
 
 def char_to_token(starts: Column, lengths: Column, at: Column) -> Column:
-    """Index of the token that covers a character, null between tokens."""
-    hit = F.filter(F.sequence(F.lit(0), F.size(starts) - 1), lambda i: (F.get(starts, i) <= at) & (at < F.get(starts, i) + F.get(lengths, i)))
-    return F.when(F.size(starts) > 0, F.get(hit, F.lit(0)))
+    """Index of the token that covers a character, null between tokens. Starts ascend: the last one not after the character tells."""
+    last = F.size(F.filter(starts, lambda s: s <= at)) - 1
+    return F.when((last >= 0) & (at < F.get(starts, last) + F.get(lengths, last)), last)
 
 
 def nested(array: Column, f) -> Column:

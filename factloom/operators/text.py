@@ -60,9 +60,11 @@ def places(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, text>> of the matches of a pattern, in text order; ends are exclusive. Linear in the text: matches and gaps come from the JVM, their running lengths from an Arrow batch."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern)
-    widths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+    # side by side: inside a lambda an array would be made anew for each element; the last gap has no match
+    widths = F.zip_with(found, gaps, lambda m, g: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
     ends = F.arrow_udf(_ends_so_far, "array<int>")(widths)
-    return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
+    both = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
+    return F.filter(both, lambda p: p["text"].isNotNull())
 
 
 def literal(word: Column) -> Column:

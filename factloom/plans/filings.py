@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cash, commands, extract, facts, graph, html, items, paths, predicates, state
+from ..operators import cash, commands, extract, facts, graph, html, items, paths, predicates, state, text
 from ..operators import command_log as command_log_
 from ..scratch import new_folder
 from ..sources import files, schemas
@@ -501,28 +502,49 @@ def round_unhandled(spark, sf):
 
 # ---- dependency trees: each order a sentence of its own
 
+#: Orders of a customer as tokens of a sentence, in order of key; the token at place r hangs on that at r / 2, its part of speech and relation come from the order.
+_TREE = """r as (select o_custkey as doc, o_orderkey as token, row_number() over (partition by o_custkey order by o_orderkey) as r,
+        case o_orderpriority[1] when '1' then 'VERB' when '3' then 'ADV' when '5' then 'AUX' else 'NOUN' end as pos, case o_orderstatus when 'O' then 'nsubj' when 'F' then 'dobj' else 'advmod' end as dep from orders),
+    e as (select a.doc, b.token as parent, a.token as child from r a join r b on a.doc = b.doc and b.r = a.r // 2 where a.r > 1),
+    u as (select doc, parent as over_, child as under_ from e union select u.doc, e.parent, u.under_ from u join e on e.doc = u.doc and e.child = u.over_)"""
+
+
 def _tree(spark, sf):
-    """Tokens "warrants (of class) expire on day", the parts by order; edges from head to dependant."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"))
-    words = [(0, "expire", "VERB", "ROOT"), (1, "warrants", "NOUN", "nsubj"), (2, "on", "ADP", "prep"), (3, "day", "NOUN", "pobj"), (4, "soon", "ADV", "advmod")]
-    tokens = o.select("doc", F.inline(F.array(*[F.struct(F.lit(i).alias("token"), F.lit(w).alias("word"), F.lit(p).alias("pos"), F.lit(d).alias("dep")) for i, w, p, d in words])))
-    edges = o.select("doc", F.inline(F.array(*[F.struct(F.lit(a).alias("parent"), F.lit(b).alias("child")) for a, b in ((0, 1), (0, 2), (2, 3), (0, 4))])))
-    return tokens.where("token < 4 or doc % 2 = 0"), edges.where("child < 4 or doc % 2 = 0")
+    o = table(spark, sf, "orders")
+    tokens = o.select(
+        F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("token"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("r"),
+        F.expr("case substr(o_orderpriority, 1, 1) when '1' then 'VERB' when '3' then 'ADV' when '5' then 'AUX' else 'NOUN' end").alias("pos"), F.expr("case o_orderstatus when 'O' then 'nsubj' when 'F' then 'dobj' else 'advmod' end").alias("dep"),
+    )
+    heads = tokens.select("doc", F.col("r").alias("at"), F.col("token").alias("parent"))
+    kids = tokens.where("r > 1").select("doc", F.floor(F.col("r") / 2).alias("at"), F.col("token").alias("child"))
+    return tokens, kids.join(heads, ["doc", "at"]).select("doc", "parent", "child")
 
 
-@register("dependency_pattern", "select o_orderkey as doc, 1::int as noun, 0::int as verb, 3::int as date, case when o_orderkey % 2 = 0 then 4 end::int as adverb from orders")
+@register("dependency_pattern", f"""with recursive {_TREE}
+    select n.doc, n.token as noun, v.token as verb, d.token as date, a.token as adverb from r n join e on e.doc = n.doc and e.child = n.token join r v on v.doc = n.doc and v.token = e.parent
+        join u on u.doc = v.doc and u.over_ = v.token join r d on d.doc = u.doc and d.token = u.under_
+        left join (select e.doc, e.parent, r.token from e join r on r.doc = e.doc and r.token = e.child where r.pos = 'ADV') a on a.doc = v.doc and a.parent = v.token
+    where n.dep = 'nsubj' and v.pos in ('VERB', 'AUX') and d.pos = 'NOUN' and d.dep <> 'nsubj'""")
 def dependency_pattern(spark, sf):
     tokens, edges = _tree(spark, sf)
-    pattern = [{"id": "noun", "attrs": {"dep": ["nsubj", "nsubjpass"]}}, {"id": "verb", "attrs": {"pos": "VERB"}, "of": "noun", "op": "<"}, {"id": "date", "attrs": {"pos": "NOUN"}, "not": {"dep": ["nsubj"]}, "of": "verb", "op": ">>"}, {"id": "adverb", "attrs": {"pos": "ADV"}, "of": "verb", "op": ">", "optional": True}]
+    pattern = [{"id": "noun", "attrs": {"dep": ["nsubj", "nsubjpass"]}}, {"id": "verb", "attrs": {"pos": ["VERB", "AUX"]}, "of": "noun", "op": "<"}, {"id": "date", "attrs": {"pos": "NOUN"}, "not": {"dep": ["nsubj"]}, "of": "verb", "op": ">>"}, {"id": "adverb", "attrs": {"pos": "ADV"}, "of": "verb", "op": ">", "optional": True}]
     return graph.match_pattern(tokens, edges, pattern)
 
 
-@register("path_groups", "select o_orderkey as doc, case o_orderkey % 3 when 0 then 'verbal' when 1 then 'noun' else 'amod' end as kind, case o_orderkey % 3 when 0 then 'expire on' when 1 then 'of' else '' end as label, (o_orderkey % 3 = 0)::int as verbs, o_orderkey % 3 <> 2 or true as valid, case o_orderkey % 3 when 0 then 3 when 1 then 2 else 2 end::int as left from orders")
+@register("path_groups", """
+    with t as (select l_orderkey as doc, list({'token': 'w' || l_partkey, 'p': ['VERB', 'NOUN', 'NOUN', 'NOUN', 'NOUN', 'NOUN', 'ADP', 'ADP', 'ADJ', 'ADV', 'PUNCT'][1 + l_partkey % 11], 'd': ['nsubj', 'prep', 'amod', 'advmod', 'pobj'][1 + l_suppkey % 5]} order by l_linenumber, l_partkey, l_suppkey, l_quantity) as t from lineitem group by 1),
+    c as (select *, len(list_filter(t, lambda x: x.p = 'VERB')) as verbs, len(list_filter(t, lambda x: x.p = 'NOUN')) as nouns, len(list_filter(t, lambda x: x.p = 'ADP')) as adps from t)
+    select doc, case when verbs > 0 then 'verbal' when len(list_filter(t, lambda x: x.d = 'amod')) > 0 then 'amod' when nouns >= 2 and len(t) = nouns + adps then 'noun' when len(list_filter(t, lambda x: x.d = 'advmod')) > 0 then 'adverbal' else 'unknown' end as kind,
+        array_to_string(list_transform(t[2:len(t) - 1], lambda x: x.token), ' ') as label, verbs::int as verbs, len(t) between 2 and 8 and len(list_filter(t, lambda x: x.p = 'PUNCT')) = 0 as valid,
+        (len(t) - len(list_filter(t[2:len(t) - 1], lambda x: x.p = 'ADP')))::int as left from c""")
 def path_groups(spark, sf):
-    word = lambda w, p, d: F.struct(F.lit(w).alias("token"), F.lit(p).alias("pos"), F.lit(d).alias("dep"))
-    m = F.col("o_orderkey") % 3
-    path = F.when(m == 0, F.array(word("warrants", "NOUN", "nsubj"), word("expire", "VERB", "ROOT"), word("on", "ADP", "prep"), word("day", "NOUN", "pobj"))).when(m == 1, F.array(word("shares", "NOUN", "x"), word("of", "ADP", "prep"), word("stock", "NOUN", "pobj"))).otherwise(F.array(word("new", "ADJ", "amod"), word("stock", "NOUN", "x")))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), paths.group(path).alias("kind"), paths.relation_label(path).alias("label"), paths.counts(path)["verbs"].alias("verbs"), paths.valid(path).alias("valid"), F.size(paths.without(path, ["ADP"])).alias("left"))
+    """The lines of an order as the tokens of a path, their parts of speech from the part, their relations from the supplier."""
+    word = "struct(l_linenumber, l_partkey, l_suppkey, l_quantity, concat('w', l_partkey) as token, array('VERB', 'NOUN', 'NOUN', 'NOUN', 'NOUN', 'NOUN', 'ADP', 'ADP', 'ADJ', 'ADV', 'PUNCT')[l_partkey % 11] as pos, array('nsubj', 'prep', 'amod', 'advmod', 'pobj')[l_suppkey % 5] as dep)"
+    # an order has a few lines
+    path = F.transform("t", lambda x: F.struct(x["token"].alias("token"), x["pos"].alias("pos"), x["dep"].alias("dep")))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.expr(word))).alias("t")).select("doc", path.alias("path"))
+    c = F.col("path")
+    return lines.select("doc", paths.group(c).alias("kind"), paths.relation_label(c).alias("label"), paths.counts(c)["verbs"].alias("verbs"), paths.valid(c).alias("valid"), F.size(paths.without(c, ["ADP"])).alias("left"))
 
 
 @register("nearest_verbs", "select l_orderkey, arg_min(l_linenumber, l_suppkey * 10 + l_linenumber)::int as nearest, arg_max(l_linenumber, l_suppkey * 10 - l_linenumber)::int as farthest from lineitem group by 1")
@@ -532,7 +554,7 @@ def nearest_verbs(spark, sf):
     return near.join(paths.nearest_verb(d, "l_orderkey", "verb", "distance", farthest=True).selectExpr("l_orderkey", "verb as farthest"), "l_orderkey")
 
 
-@register("verb_subjects", "select o_orderkey as doc, 0::int as verb, 1::int as subject from orders")
+@register("verb_subjects", f"with recursive {_TREE} select e.doc, e.parent as verb, e.child as subject from e join r v on v.doc = e.doc and v.token = e.parent join r n on n.doc = e.doc and n.token = e.child where v.pos in ('VERB', 'AUX') and n.dep = 'nsubj'")
 def verb_subjects(spark, sf):
     return paths.subjects(*_tree(spark, sf))
 
@@ -581,11 +603,15 @@ def cases_swapped(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), S.swap_case_after(F.concat(F.lit("no-par-x-"), F.col("p_name")), "-").alias("swapped"))
 
 
-@register("token_offsets", "select o_orderkey as k, case when o_orderkey % 12 < 3 then 0 when o_orderkey % 12 between 4 and 8 then 1 when o_orderkey % 12 > 9 then 2 end::int as token, abs((o_orderkey % 5 + 3) - 10) / 2.0 as distance from orders")
+@register("token_offsets", """
+    with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) // 2 as mid from documents)
+    select doc_id, case when t[mid + 1:mid + 1] in ('', ' ') then null else len(regexp_extract_all(t[1:mid + 1], '[^ ]+')) - 1 end::int as token, abs((doc_id % 5 + 3) - 10) / 2.0 as distance from d""")
 def token_offsets(spark, sf):
-    starts, lengths = F.array(F.lit(0), F.lit(4), F.lit(10)), F.array(F.lit(3), F.lit(5), F.lit(2))
-    k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(k.alias("k"), S.char_to_token(starts, lengths, k % 12).alias("token"), S.span_distance(k % 5, F.lit(3), F.lit(4), F.lit(6)).alias("distance"))
+    """The token that covers the middle character of each whole document."""
+    d = table(spark, sf, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    found = text.places(F.col("t"), "[^ ]+")
+    d = d.select("doc_id", F.floor(F.length("t") / 2).cast("int").alias("at"), F.transform(found, lambda p: p["start"]).alias("starts"), F.transform(found, lambda p: p["end"] - p["start"]).alias("sizes"))
+    return d.select("doc_id", S.char_to_token(F.col("starts"), F.col("sizes"), F.col("at")).alias("token"), S.span_distance(F.col("doc_id") % 5, F.lit(3), F.lit(4), F.lit(6)).alias("distance"))
 
 
 @register("nested_fields", "select p_partkey as k, upper(p_name) || '/' || upper(p_brand) || '/' || upper(p_type) as fields from part")

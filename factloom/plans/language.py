@@ -98,11 +98,17 @@ def certainty(spark, sf):
     return _said(spark, sf, t=t).select("k", c["marker"].alias("marker"), c["level"].alias("level"), text.negated(F.col("t")).alias("negated"))
 
 
-@register("merged_tokens", f"with {_SQL} select k, 7::int as n, 'par value' as first, (400 + k % 50) || '(a)(' || (k % 9) || ')' as law, 'Rule ' || (400 + k % 50) || '(a)(' || (k % 9) || ')' as act from o")
+_MERGED = r"(?i)par\s+value|[0-9]+[a-z]?(?:\([a-z0-9]{1,4}\))+|\([a-z0-9]{1,4}\)|\$|[0-9][0-9,]*(?:\.[0-9]+)?|[0-9A-Za-z_''-]+|[^0-9A-Za-z_\s]"
+
+
+@register("merged_tokens", f"""with t as (select doc_id, regexp_extract_all(coalesce(text, '') || ' par value, Rule 4' || doc_id || '(a)(1), (iv).', '{_MERGED}') as t from documents)
+    select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as tokens, 'Rule 4' || doc_id || '(a)(1)' as act from t""")
 def merged_tokens(spark, sf):
-    t = "concat('par value under Rule ', 400 + k % 50, '(a)(', k % 9, ') and (iv) .')"
+    """The tokens of whole documents that end in a reference to the law."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" par value, Rule 4"), F.col("doc_id").cast("string"), F.lit("(a)(1), (iv)."))
+    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
     tokens = text.merged_tokens(F.col("t"))
-    return _said(spark, sf, t=t).select("k", F.size(tokens).alias("n"), F.get(tokens, F.lit(0)).alias("first"), F.get(tokens, F.lit(3)).alias("law"), F.get(text.act_references(F.col("t")), F.lit(0)).alias("act"))
+    return d.select("doc_id", F.size(tokens).alias("n"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("tokens"), F.element_at(text.act_references(F.col("t")), -1).alias("act"))
 
 
 @register("entity_families", f"with {_SQL} select k, 'Loan ' || chr((65 + k % 26)::int) || ' Purchase Agreement' as contract, (k % 2)::int as placements, ['these shares'] = ['these shares'] as refers, 'exercise price' as attribute from o")
@@ -113,15 +119,18 @@ def entity_families(spark, sf):
     return _said(spark, sf, t=t).select("k", first(text.contracts(c)).alias("contract"), F.size(text.placements(c)).alias("placements"), (text.security_refs(c) == F.array(F.lit("these shares"))).alias("refers"), first(text.security_attributes(c)).alias("attribute"))
 
 
-@register("entities_added", "select o_orderkey as k, case o_orderkey % 3 when 0 then 'DATE:0-5' when 1 then 'SECU:3-9' else 'DATE:0-5,SECU:7-9' end as spans from orders")
+@register("entities_added", """
+    with s as (select o_orderkey as k, o_orderkey % 5 as a, 1 + o_custkey % 6 as la, 1 + (o_orderkey // 5) % 3 as g, 1 + (o_custkey // 6) % 6 as lb, (o_orderkey // 7) % 14 as s, 1 + (o_custkey // 3) % 9 as ls from orders),
+    m as (select *, a + la + g as b, s < a + la and a < s + ls as m1, s < a + la + g + lb and a + la + g < s + ls as m2 from s),
+    w as (select *, (not m1 or ls >= la) and (not m2 or ls >= lb) as wins from m)
+    select k, array_to_string(list_sort(list_filter([case when not wins or not m1 then 'DATE:' || a || '-' || (a + la) end, case when not wins or not m2 then 'MONEY:' || b || '-' || (b + lb) end, case when wins then 'SECU:' || s || '-' || (s + ls) end], lambda x: x is not null)), ',') as spans from w""")
 def entities_added(spark, sf):
-    span = lambda a, b, label: F.struct(F.lit(a).alias("start"), b.alias("end"), F.lit(label).alias("label"))
-    m = F.col("k") % 3
-    # as long as the old span wins, shorter loses, apart stays beside it
-    new = F.when(m == 0, F.array(span(3, F.lit(5), "SECU"))).when(m == 1, F.array(span(3, F.lit(9), "SECU"))).otherwise(F.array(span(7, F.lit(9), "SECU")))
-    done = text.add_entities(F.array(span(0, F.lit(5), "DATE")), new, ["MONEY"])
-    named = F.transform(done, lambda s: F.concat(s["label"], F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
-    return _said(spark, sf).select("k", F.array_join(F.array_sort(named), ",").alias("spans"))
+    """Two old spans and a new one whose places and lengths come from the order."""
+    o = table(spark, sf, "orders").selectExpr("o_orderkey as k", "o_orderkey % 5 as a", "1 + o_custkey % 6 as la", "1 + (o_orderkey div 5) % 3 as g", "1 + (o_custkey div 6) % 6 as lb", "(o_orderkey div 7) % 14 as s", "1 + (o_custkey div 3) % 9 as ls")
+    span = lambda a, b, label: F.struct(F.expr(a).alias("start"), F.expr(b).alias("end"), F.lit(label).alias("label"))
+    done = text.add_entities(F.array(span("a", "a + la", "DATE"), span("a + la + g", "a + la + g + lb", "MONEY")), F.array(span("s", "s + ls", "SECU")), ["LAW"])
+    named = F.transform(done, lambda x: F.concat(x["label"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return o.select("k", F.array_join(F.array_sort(named), ",").alias("spans"))
 
 
 @register("issuable_phrases", f"with {_SQL} select k, (k % 3)::int as n, case when k % 2 = 0 then 'This prospectus relates to the resale of shares.' end as relates, case when k % 5 < 4 then (1 + k % 90) * 1e6 end::double as offering from o")
@@ -170,15 +179,6 @@ def second_pass(spark, sf):
     return text.second_pass(_said(spark, sf, t=t).select("k", "t"), "k", "t").groupBy("k", "secu_key").agg(F.count("*").alias("n"))
 
 
-@register("chain_references", f"with {_SQL} select k, 'Company' as alias, 40::int as start, 42::int as \"end\" from o where k % 2 = 0")
-def chain_references(spark, sf):
-    o = _said(spark, sf)
-    span = lambda a, b, c: F.struct(F.lit(c).alias("chain"), F.lit(a).alias("start"), F.lit(b).alias("end"))
-    mentions = o.select("k", F.inline(F.array(span(10, 17, 1), span(40, 42, 1), span(60, 62, 2))))
-    known = o.select("k", F.lit("Company").alias("alias"), F.expr("if(k % 2 = 0, 10, 11)").alias("start"), F.lit(17).alias("end"))
-    return text.chain_references(mentions, known, "k")
-
-
 _STATED = ("An at the market program, by a sales agreement with Agent.", "SUBJECT TO COMPLETION. The selling stockholders offer shares.", "We may sell from time to time in one or more offerings.", "A shelf registration; the details are not complete and may be changed.", "We will not receive any proceeds.", "Plain words from a market in completion.")
 
 
@@ -292,14 +292,30 @@ def formatted_matches(spark, sf):
 _NAMED = "t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]{7,}') as t from documents), w as (select doc_id, upper(t[1][1:1]) || t[1][2:] as a, upper(t[2][1:1]) || t[2][2:] as b from t where len(t) > 1 and t[1] <> t[2])"
 
 
-@register("coreference_chains", f"""with {_NAMED}
-    select doc_id, 1::int as chain, a || ' Holdings Corp./The company/It/' || a as texts from w union all select doc_id, 2, 'Mr. ' || b || '/He/his/' || b from w""")
-def coreference_chains(spark, sf):
-    """Names made of each document's words: a company and a person taken up by a noun, by pronouns and by a part of the name."""
+def _met_again(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{7,}"), F.lit(0)).alias("t")).where("size(t) > 1 and t[0] <> t[1]")
     name = lambda i: F.initcap(F.get("t", F.lit(i)))
     a, b = name(0), name(1)
     said = F.concat(F.lit("In May "), a, F.lit(" Holdings Corp. filed a report. The company sold units to Mr. "), b, F.lit(". It waits. He kept his seat. "), a, F.lit(" ended. We met "), b, F.lit("."))
-    found = coreference.coreference(d.select("doc_id", said.alias("s")), "doc_id", "s")
+    return d.select("doc_id", a.alias("a"), said.alias("s"))
+
+
+@register("coreference_chains", f"""with {_NAMED}
+    select doc_id, 1::int as chain, a || ' Holdings Corp./The company/It/' || a as texts from w union all select doc_id, 2, 'Mr. ' || b || '/He/his/' || b from w""")
+def coreference_chains(spark, sf):
+    """Names made of each document's words: a company and a person taken up by a noun, by pronouns and by a part of the name."""
+    d = _met_again(spark, sf)
+    found = coreference.coreference(d, "doc_id", "s")
     # a planted text has a few mentions
     return found.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("m")).select("doc_id", "chain", F.array_join(F.col("m.text"), "/").alias("texts"))
+
+
+@register("chain_references", f"""with {_NAMED}, s as (select doc_id, a, 'In May ' || a || ' Holdings Corp. filed a report. The company sold units to Mr. ' || b || '. It waits. He kept his seat. ' || a || ' ended. We met ' || b || '.' as s from w)
+    select doc_id, a as alias, (strpos(s, 'The company') - 1)::int as start, (strpos(s, 'The company') + 10)::int as "end" from s union all select doc_id, a, (strpos(s, 'It waits') - 1)::int, (strpos(s, 'It waits') + 1)::int from s
+    union all select doc_id, a, (strpos(s, a || ' ended') - 1)::int, (strpos(s, a || ' ended') - 1 + length(a))::int from s""")
+def chain_references(spark, sf):
+    """The later mentions of a company whose first mention has an alias, through the chains read from the sentences."""
+    d = _met_again(spark, sf)
+    mentions = coreference.coreference(d, "doc_id", "s").select("doc_id", "chain", "start", "end")
+    known = d.select("doc_id", F.col("a").alias("alias"), F.lit(7).alias("start"), (F.lit(7) + F.length("a") + F.length(F.lit(" Holdings Corp."))).alias("end"))
+    return text.chain_references(mentions, known, "doc_id")

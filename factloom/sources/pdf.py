@@ -277,7 +277,8 @@ def cut(rows: list[list[Run]], apart: float = 1.9) -> Iterator[list[list[Run]]]:
         return
     steps = [a[0].base - b[0].base for a, b in zip(rows, rows[1:], strict=False)]
     if steps:
-        usual = sorted(steps)[(len(steps) - 1) // 2]
+        # a lone distance says nothing: lines stand at most one and a half sizes apart
+        usual = min(sorted(steps)[(len(steps) - 1) // 2], 1.5 * rows[0][0].size)
         at = max(range(len(steps)), key=steps.__getitem__)
         if steps[at] > apart * max(usual, max(r.size for r in rows[at])):
             yield from cut(rows[: at + 1], apart)
@@ -309,17 +310,26 @@ PDF_SCHEMA = "page int, table_no int, row_no int, fields array<string>"
 def table_rows(files: DataFrame, key: str, content: str, drop: bool = True) -> DataFrame:
     """key, page, table_no, row_no, fields: rows of the tables of PDF files (binary column), pages from 1, in one Arrow pass. drop applies drop_columns. Null or broken files have no rows."""
 
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+
     def run(batches):
         for batch in batches:
+            keys, rows = [], []
+
+            def done():
+                return pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=[key, "page", "table_no", "row_no", "fields"])
+
             for k, data in zip(batch.column(0), batch.column(1), strict=True):
-                keys, rows = [], []
                 file = PdfFile(data.as_py() or b"")
                 for page, body in enumerate(file.pages(), 1):
                     for n, found in enumerate(tables(file.runs(body))):
                         for r, fields in enumerate(drop_columns(found) if drop else found):
                             keys.append(k.as_py())
                             rows.append((page, n, r, fields))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))]], names=[key, "page", "table_no", "row_no", "fields"])
+                if len(rows) > 10_000:
+                    yield done()
+                    keys, rows = [], []
+            yield done()
 
     return files.select(key, F.col(content).cast("binary")).mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, {PDF_SCHEMA}")
 
