@@ -3,7 +3,8 @@
 A text's relative frequencies of hashed byte 2- to 4-grams (lower-cased, everything but letters
 collapsed to one space) are scored first by one-versus-rest SVMs for the language family, then by
 one-versus-one SVMs among the languages of that family. Training takes a bounded sample
-(`per_language` rows in expectation for each language, by a hash of the text, so one scan and no sort); prediction is
+(`per_language` rows in expectation for each language, by a hash of the text, so one scan and no sort), whose texts become features on the
+executors: the driver gets `dimension` numbers a row, however long its text; prediction is
 a single scan with a weight table of fixed size broadcast to the tasks, each whole text in one
 row, and no shuffle.
 """
@@ -52,6 +53,17 @@ def _slots(texts: list[str], dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
+def features(texts: list[str], dimension: int) -> np.ndarray:
+    """A row for each text: square roots of the n-grams' shares, and 1."""
+    out = np.zeros((len(texts), dimension + 1), np.float32)
+    slots, begin = _slots(texts, dimension)
+    for i in range(len(texts)):
+        out[i, :-1] = np.bincount(slots[:, begin[i] : begin[i + 1]].ravel(), minlength=dimension)
+    out[:, :-1] = np.sqrt(out[:, :-1] / np.maximum(1, out[:, :-1].sum(1, keepdims=True)))
+    out[:, -1] = 1
+    return out
+
+
 class Model:
     """Families, languages, and one weight column for each binary decision."""
 
@@ -63,18 +75,9 @@ class Model:
             self.decisions += [("pair", a, b) for a, b in combinations([x for x in self.languages if family(x) == f], 2)]
         self.weights = np.zeros((dimension + 1, len(self.decisions)), np.float32)
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension + 1), np.float32)
-        slots, begin = _slots(texts, self.dimension)
-        for i in range(len(texts)):
-            out[i, :-1] = np.bincount(slots[:, begin[i] : begin[i + 1]].ravel(), minlength=self.dimension)
-        out[:, :-1] = np.sqrt(out[:, :-1] / np.maximum(1, out[:, :-1].sum(1, keepdims=True)))
-        out[:, -1] = 1
-        return out
-
-    def fit(self, texts: list[str], langs: list[str], epochs: int, penalty: float) -> Model:
-        """Averaged stochastic subgradient descent on the hinge loss, rows in a fixed pseudorandom order."""
-        x, langs = self.features(texts), np.array(langs)
+    def fit(self, x: np.ndarray, langs: list[str], epochs: int, penalty: float) -> Model:
+        """Averaged stochastic subgradient descent on the hinge loss over rows of features(), in a fixed pseudorandom order."""
+        langs = np.array(langs)
         fams = np.array([family(v) for v in langs])
         for column, (kind, a, b) in enumerate(self.decisions):
             rows = np.arange(len(langs)) if kind == "family" else np.flatnonzero((langs == a) | (langs == b))
@@ -98,7 +101,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and confidence: the product of the family's and the worst pair's logistic margins."""
-        margins = self.features(texts) @ self.weights
+        margins = features(texts, self.dimension) @ self.weights
         out = []
         for row in margins:
             of = {(k, a, b): m for (k, a, b), m in zip(self.decisions, row.tolist(), strict=True)}
@@ -142,15 +145,29 @@ def _predict(model_of):
     return run
 
 
-def sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """(text, lang) of about `per_language` different texts of each language, chosen by a hash of the text; all, where there are no more."""
+def _featured(dimension: int):
+    def run(batches):
+        for batch in batches:
+            langs, rows = [], []
+            for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+                if _LETTER.search(t := text.as_py()):
+                    langs.append(lang)
+                    rows.append(features([t], dimension)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v.as_py() for v in langs], pa.string()), pa.array(rows, pa.binary())], names=["lang", "features"])
+
+    return run
+
+
+def sample(docs: DataFrame, per_language: int, dimension: int) -> list[tuple[str, bytes]]:
+    """(lang, features) of about `per_language` different texts of each language, chosen by a hash of the text; all, where there are no more. Texts without a letter give none."""
     rows = docs.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()
     if not sizes:
         return []
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["n"]))])
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    return sorted((r["text"], r["lang"]) for r in rows.where(chosen).select("text", "lang").distinct().collect())
+    found = rows.where(chosen).select("text", "lang").distinct().mapInArrow(_featured(dimension), "lang string, features binary")
+    return sorted((r["lang"], bytes(r["features"])) for r in found.collect())
 
 
 def identify_languages(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, dimension: int = DIMENSION, epochs: int = EPOCHS, penalty: float = PENALTY) -> DataFrame:
@@ -161,10 +178,10 @@ def identify_languages(docs: DataFrame, training: Column, per_language: int = PE
     rows stay apart; extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = [(t, v) for t, v in sample(docs.where(training).select("text", "lang"), per_language) if _LETTER.search(t)]
-    model = Model(sorted({v for _, v in rows}), dimension)
+    rows = sample(docs.where(training).select("text", "lang"), per_language, dimension)
+    model = Model(sorted({v for v, _ in rows}), dimension)
     if rows:
-        model.fit([t for t, _ in rows], [v for _, v in rows], epochs, penalty)
+        model.fit(np.frombuffer(b"".join([x for _, x in rows]), np.float32).reshape(len(rows), -1), [v for v, _ in rows], epochs, penalty)
     shared = spark.sparkContext.broadcast(model)
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return cols.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
