@@ -289,7 +289,7 @@ def formatted_matches(spark, sf):
     return o.select("k", text.format_matches(F.col("id"), F.col("v"), formats).alias("value"))
 
 
-_NAMED = "t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]{7,}') as t from documents), w as (select doc_id, upper(t[1][1:1]) || t[1][2:] as a, upper(t[2][1:1]) || t[2][2:] as b from t where len(t) > 1 and t[1] <> t[2])"
+_MET_AGAIN = "t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]{7,}') as t from documents), w as (select doc_id, upper(t[1][1:1]) || t[1][2:] as a, upper(t[2][1:1]) || t[2][2:] as b from t where len(t) > 1 and t[1] <> t[2])"
 
 
 def _met_again(spark, sf):
@@ -300,7 +300,7 @@ def _met_again(spark, sf):
     return d.select("doc_id", a.alias("a"), said.alias("s"))
 
 
-@register("coreference_chains", f"""with {_NAMED}
+@register("coreference_chains", f"""with {_MET_AGAIN}
     select doc_id, 1::int as chain, a || ' Holdings Corp./The company/It/' || a as texts from w union all select doc_id, 2, 'Mr. ' || b || '/He/his/' || b from w""")
 def coreference_chains(spark, sf):
     """Names made of each document's words: a company and a person taken up by a noun, by pronouns and by a part of the name."""
@@ -310,7 +310,7 @@ def coreference_chains(spark, sf):
     return found.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("m")).select("doc_id", "chain", F.array_join(F.col("m.text"), "/").alias("texts"))
 
 
-@register("chain_references", f"""with {_NAMED}, s as (select doc_id, a, 'In May ' || a || ' Holdings Corp. filed a report. The company sold units to Mr. ' || b || '. It waits. He kept his seat. ' || a || ' ended. We met ' || b || '.' as s from w)
+@register("chain_references", f"""with {_MET_AGAIN}, s as (select doc_id, a, 'In May ' || a || ' Holdings Corp. filed a report. The company sold units to Mr. ' || b || '. It waits. He kept his seat. ' || a || ' ended. We met ' || b || '.' as s from w)
     select doc_id, a as alias, (strpos(s, 'The company') - 1)::int as start, (strpos(s, 'The company') + 10)::int as "end" from s union all select doc_id, a, (strpos(s, 'It waits') - 1)::int, (strpos(s, 'It waits') + 1)::int from s
     union all select doc_id, a, (strpos(s, a || ' ended') - 1)::int, (strpos(s, a || ' ended') - 1 + length(a))::int from s""")
 def chain_references(spark, sf):
