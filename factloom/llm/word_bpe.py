@@ -100,8 +100,8 @@ def sufficient_lookahead(rules: list[tuple[int, int, int]], size: dict[int, int]
     return max(weight, default=0)
 
 
-#: Stands after every rule.
-NEVER = (1 << 31, 0)
+#: Stands after every rule; and the bits of a rule's product.
+NEVER, _PRODUCT = 1 << 63, (1 << 32) - 1
 
 
 class Rules:
@@ -114,8 +114,8 @@ class Rules:
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        #: left << 32 | right to (rank, product)
-        self.ranks = {a << 32 | b: (rank, product) for rank, (a, b, product) in enumerate(rules)}
+        #: left << 32 | right to rank << 32 | product
+        self.ranks = {a << 32 | b: rank << 32 | product for rank, (a, b, product) in enumerate(rules)}
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + end] for c in letters]
@@ -142,41 +142,41 @@ def _short(word: bytes, rules: Rules) -> list[int]:
     return merge(part, rules.ranks, found)
 
 
-def merge(symbols: list[int], ranks: dict, found: list | None = None) -> list[int]:
-    """Tokens of a run of symbols, by rules left << 32 | right -> (rank, product): the adjacent pair of least rank merges first, the leftmost among equals.
+def merge(symbols: list[int], ranks: dict[int, int], found: list[int] | None = None) -> list[int]:
+    """Tokens of a run of symbols, by rules left << 32 | right -> rank << 32 | product: the adjacent pair of least rank merges first, the leftmost among equals.
 
     found: the rules of adjacent symbols, where they are known; NEVER where there is none.
     """
-    part, n = list(symbols), len(symbols)
+    part, n, known, never = list(symbols), len(symbols), ranks.get, NEVER
     if n < 64:
-        known, never = ranks.get, NEVER
         if found is None:
             found = [known(a << 32 | b, never) for a, b in zip(part, part[1:])]  # noqa: B905
-        while found and (best := min(found)) < never:  # never equals, not is: tables travel to workers
-            i = found.index(best)
-            part[i : i + 2] = [best[1]]
+        while found and (best := min(found)) < never:
+            i, product = found.index(best), best & _PRODUCT
+            part[i : i + 2] = [product]
             del found[i]
             if i:
-                found[i - 1] = known(part[i - 1] << 32 | best[1], never)
+                found[i - 1] = known(part[i - 1] << 32 | product, never)
             if i < len(found):
-                found[i] = known(best[1] << 32 | part[i + 1], never)
+                found[i] = known(product << 32 | part[i + 1], never)
         return part
     after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
-    heap = [(r[0], i, part[i], part[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get(part[i] << 32 | part[i + 1]))]
+    heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := known(part[i] << 32 | part[i + 1])) is not None]
     heapify(heap)
     while heap:
-        _, i, a, b, product = heappop(heap)
+        r, i, a, b = heappop(heap)
         j = after[i]
         if gone[i] or j >= n or part[i] != a or part[j] != b:
             continue
-        part[i], gone[j] = product, True
+        part[i] = product = r & _PRODUCT
+        gone[j] = True
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if r := ranks.get(product << 32 | part[k]):
-                heappush(heap, (r[0], i, product, part[k], r[1]))
-        if (h := before[i]) >= 0 and (r := ranks.get(part[h] << 32 | product)):
-            heappush(heap, (r[0], h, part[h], product, r[1]))
+            if (r := known(product << 32 | part[k])) is not None:
+                heappush(heap, (r, i, product, part[k]))
+        if (h := before[i]) >= 0 and (r := known(part[h] << 32 | product)) is not None:
+            heappush(heap, (r, h, part[h], product))
     return [p for p, g in zip(part, gone, strict=True) if not g]
 
 
@@ -228,7 +228,7 @@ class Decoder:
         self.rules, self.state = rules, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join([self.rules.raw[i] for i in ids]))
+        return self.state.decode(b"".join(map(self.rules.raw.__getitem__, ids)))
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -391,8 +391,9 @@ def _run(table, digest: bool, stretch: int):
     def run(batches):
         rules = table.value
         encoder = Encoder(rules, stretch)
-        digits = {i: b"%d" % i for i in rules.spelled}
-        spelled = {i: t.encode() for i, t in rules.spelled.items()}
+        ids_ = range(max(rules.spelled) + 1)
+        digit = [b"%d" % i for i in ids_].__getitem__
+        spelling = [rules.spelled.get(i, "").encode() for i in ids_].__getitem__
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -403,8 +404,8 @@ def _run(table, digest: bool, stretch: int):
                     for ids in parts:
                         gap = b" " if n else b""
                         n += len(ids)
-                        sums[0].update(gap + b" ".join([digits[i] for i in ids]))
-                        sums[1].update(gap + b" ".join([spelled[i] for i in ids]))
+                        sums[0].update(gap + b" ".join(map(digit, ids)))
+                        sums[1].update(gap + b" ".join(map(spelling, ids)))
                         sums[2].update(decoder.feed(ids).encode())
                     sums[2].update(decoder.finish().encode())
                     rows.append((doc.as_py(), n, *[s.hexdigest() for s in sums]))

@@ -232,7 +232,7 @@ def test_lookahead_of_small_lists():
                 lists.append((u, v, tokens[-1]))
         size = {0: 1, 1: 1}
         hold = sufficient_lookahead(lists, size)
-        ranks = {u << 32 | v: (i, p) for i, (u, v, p) in enumerate(lists)}
+        ranks = {u << 32 | v: i << 32 | p for i, (u, v, p) in enumerate(lists)}
         for text in itertools.product((0, 1), repeat=9):
             whole = merge(list(text), ranks)
             for n in range(9):
