@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import ancestors
+
 NOUNS, VERBS = ["NOUN", "PROPN"], ["VERB", "AUX"]
 
 
@@ -57,3 +59,20 @@ def subjects(tokens: DataFrame, edges: DataFrame) -> DataFrame:
     kids = edges.join(tokens.select("doc", F.col("token").alias("child"), F.col("dep")), ["doc", "child"]).where(F.col("dep").isin("nsubj", "nsubjpass"))
     verbs = tokens.where(F.col("pos").isin(VERBS)).select("doc", F.col("token").alias("parent"))
     return kids.join(verbs, ["doc", "parent"]).select("doc", F.col("parent").alias("verb"), F.col("child").alias("subject"))
+
+
+def phrases(tokens: DataFrame, edges: DataFrame, pos: list[str], children: list[str] | None = None) -> DataFrame:
+    """(doc, head, first, last, size): the phrase of each token with one of these parts of speech, that is the token and all that hangs below it: its least and
+    largest token number and how many there are. With `children`, only heads with a direct dependant of one of these relations.
+
+    tokens: (doc, token, pos, dep); edges: (doc, parent, child). A prepositional phrase has an ADP at its head, a verbal one a VERB or AUX with an object.
+    """
+    node = lambda c: F.struct(F.col("doc"), F.col(c).alias("token"))
+    heads = tokens.where(F.col("pos").isin(pos)).select("doc", F.col("token").alias("head"))
+    if children is not None:
+        below = edges.join(tokens.where(F.col("dep").isin(children)).select("doc", F.col("token").alias("child")), ["doc", "child"])
+        heads = heads.join(below.select("doc", F.col("parent").alias("head")), ["doc", "head"], "left_semi")
+    up = ancestors(edges.select(node("parent").alias("parent"), node("child").alias("child")))
+    under = up.select(F.col("ancestor.doc").alias("doc"), F.col("ancestor.token").alias("head"), F.col("child.token").alias("token"))
+    whole = heads.join(under, ["doc", "head"]).unionByName(heads.withColumn("token", F.col("head")))
+    return whole.groupBy("doc", "head").agg(F.min("token").alias("first"), F.max("token").alias("last"), F.count("*").alias("size"))

@@ -133,6 +133,35 @@ def certainty(sentence: Column) -> Column:
     return F.struct(marker.alias("marker"), level.alias("level"))
 
 
+_AUX = "(?:may|might|must|shall|should|will|would|can|could|ought|is|are|was|were|be|been|has|have|had|do|does|did)"
+_BETWEEN = "(?:\\s+(?:not|never|also|only|currently|hereby|likely|probably|perhaps|possibly|certainly|surely|" + _AUX + "))*"
+_GROUP = f"(?i)\\b({_AUX})({_BETWEEN})\\s+(?!(?:i|we|you|he|she|it|they|the|an?|this|that|these|those|our|its|their)\\b)([a-z][a-z-]*)"
+
+
+def verb_groups(sentence: Column) -> Column:
+    """array<struct<verb, group, negated, marker, level>>: each auxiliary verb with what stands between it and the verb (or adjective) that it belongs to.
+
+    A group is negated if it holds not, never or a contracted n't itself, which reads as not: a negation elsewhere in the sentence says nothing about it. Its marker is the first word of the group that
+    bears a certainty, and without one its level is 1. The month of May is no auxiliary.
+    """
+    s = F.regexp_replace(sentence, "\\bMay\\s+[0-9]", " ")
+    for short, long in (("(?i)\\bcan['’]t\\b", "can not"), ("(?i)\\bwon['’]t\\b", "will not"), ("(?i)n['’]t\\b", " not")):
+        s = F.regexp_replace(s, short, long)
+    part = lambda n: all_matches(s, _GROUP, n)
+    words = [w for w in CERTAINTY if w not in NOT_MARKERS]
+    level = F.create_map(*[F.lit(x) for w in words for x in (w, CERTAINTY[w])])
+
+    def group(x: Column) -> Column:
+        held = F.trim(F.concat(x["1"], F.lit(" "), F.regexp_replace(F.trim(x["2"]), "\\s+", " ")))
+        marker = F.nullif(F.lower(F.regexp_extract(held, "(?i)\\b(" + "|".join(words) + ")\\b", 1)), F.lit(""))
+        return F.struct(
+            F.lower(x["3"]).alias("verb"), held.alias("group"), held.rlike("(?i)\\b(?:not|never)\\b").alias("negated"),
+            marker.alias("marker"), F.coalesce(F.element_at(level, marker), F.lit(1.0)).alias("level"),
+        )
+
+    return F.transform(F.arrays_zip(part(1).alias("1"), part(2).alias("2"), part(3).alias("3")), group)
+
+
 def negated(sentence: Column) -> Column:
     """The verb group holds not, n't or never."""
     return sentence.rlike("(?i)\\b(?:not|never)\\b|n['’]t\\b")

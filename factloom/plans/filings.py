@@ -179,6 +179,13 @@ def source_sql(spark, sf):
     return files.read_sql(spark, "select o_orderkey, o_totalprice from sql_done where o_totalprice > :least", {"least": 100000})
 
 
+@register("source_section_failures", """select page_id, case page_id % 3 when 1 then 'no text' else 'no section of this title' end as reason from pages where page_id % 3 > 0""")
+def source_section_failures(spark, sf):
+    """Raw pages whose title is wanted, empty ones, and those with another title."""
+    p = table(spark, sf, "pages").select("page_id", F.expr("case page_id % 3 when 1 then '' when 2 then html else concat('<h1>WANTED ', page_id, '</h1><p>x</p>', html) end").alias("html"))
+    return files.section_failures(p, html.split_sections(p, "page_id", "html"), "page_id", "^WANTED [0-9]+$")
+
+
 @register("source_sections", "select page_id, 'Risk of ' || page_id as text from pages")
 def source_sections(spark, sf):
     root = new_folder(spark, "sections")
@@ -559,6 +566,13 @@ def verb_subjects(spark, sf):
     return paths.subjects(*_tree(spark, sf))
 
 
+@register("phrases", f"""with recursive {_TREE}, h as (select * from r where pos in ('VERB', 'AUX') and exists (select 1 from e join r c on c.doc = e.doc and c.token = e.child where e.doc = r.doc and e.parent = r.token and c.dep = 'dobj')),
+    s as (select doc, token as head, token from h union all select h.doc, h.token, u.under_ from h join u on u.doc = h.doc and u.over_ = h.token)
+    select doc, head, min(token) as first, max(token) as last, count(*) as size from s group by 1, 2""")
+def phrases(spark, sf):
+    return paths.phrases(*_tree(spark, sf), ["VERB", "AUX"], ["dobj"])
+
+
 _E = "e as (select 'r' || n_regionkey as parent, 'n' || n_nationkey as child from nation)"
 
 

@@ -319,3 +319,16 @@ def chain_references(spark, sf):
     mentions = coreference.coreference(d, "doc_id", "s").select("doc_id", "chain", "start", "end")
     known = d.select("doc_id", F.col("a").alias("alias"), F.lit(7).alias("start"), (F.lit(7) + F.length("a") + F.length(F.lit(" Holdings Corp."))).alias("end"))
     return text.chain_references(mentions, known, "doc_id")
+
+
+_WORDS_OF = "t as (select doc_id as k, regexp_extract_all(coalesce(text, ''), '[a-z]{7,}') as t from documents), w as (select k, t[1] as a, t[2] as b, t[3] as c from t where len(t) > 2)"
+
+
+@register("verb_groups", f"""with {_WORDS_OF}, m as (select *, ['may', 'will', 'could', 'must', 'are'][1 + k % 5] as m, ['', ' not', ' never', ' also'][1 + (k // 5) % 4] as x from w)
+    select k, 0::int as n, a as verb, m || x as "group", (k // 5) % 4 in (1, 2) as negated, case when m not in ('will', 'are') then m end as marker, case m when 'may' then 0.2 when 'could' then 0.25 when 'must' then 0.9 else 1.0 end::double as level from m
+    union all select k, 1, b, case when k % 2 = 0 then 'would not' else 'would' end, k % 2 = 0, 'would', 0.7 from m union all select k, 2, c, 'has been', false, null, 1.0 from m""")
+def verb_groups(spark, sf):
+    """Three verbs of a sentence, words of the document, each with a group of its own."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{7,}"), F.lit(0)).alias("t")).where("size(t) > 2")
+    said = F.expr("concat('We ', array('may', 'will', 'could', 'must', 'are')[k % 5], array('', ' not', ' never', ' also')[(k div 5) % 4], ' ', t[0], ' on May 5, they ', if(k % 2 = 0, 'wouldn\\'t', 'would'), ' ', t[1], ' and it has  been ', t[2], '.')")
+    return d.select("k", F.posexplode(text.verb_groups(said)).alias("n", "g")).select("k", "n", "g.*")

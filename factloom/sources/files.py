@@ -68,6 +68,13 @@ def write_sections(sections: DataFrame, title: str, delimiter: str, path: str) -
     sections.where(F.col("title").rlike(title)).select("text").write.option("lineSep", delimiter).text(path)
 
 
+def section_failures(docs: DataFrame, sections: DataFrame, key: str, title: str) -> DataFrame:
+    """key, reason: documents of an export that give nothing to it: `no text`, where the split found no section, or `no section of this title`."""
+    found = sections.groupBy(key).agg(F.max(F.col("title").rlike(title)).alias("_hit"))
+    met = docs.select(key).join(found, key, "left").where("not coalesce(_hit, false)")
+    return met.select(key, F.when(F.col("_hit").isNull(), "no text").otherwise("no section of this title").alias("reason"))
+
+
 def run_sql_file(spark: SparkSession, text: str) -> DataFrame | None:
     """Runs statements separated by semicolons at line ends; gives the last result."""
     out = None

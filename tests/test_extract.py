@@ -40,3 +40,44 @@ def test_paths(spark):
     assert [tuple(r) for r in got] == [("verbal", "expire on", 1, True, 3), ("noun", "of", 0, True, 2)]
     near = spark.createDataFrame([("t", "v1", 3), ("t", "v2", 2)], "t string, v string, d int")
     assert paths.nearest_verb(near, "t", "v", "d").first().v == "v2"
+
+
+def test_verb_groups(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators import text
+
+    said = "We may not sell, but they can't have been paid; nor will it also expire on May 3. Never mind. It is effective."
+    rows = spark.createDataFrame([(said,), (None,), ("",)], "s string").select(text.verb_groups(F.col("s")).alias("g")).collect()
+    assert [(g.group, g.verb, g.negated, g.marker, g.level) for g in rows[0].g] == [("may not", "sell", True, "may", 0.2), ("can not have been", "paid", True, "can", 0.3), ("is", "effective", False, None, 1.0)]
+    assert not rows[2].g
+
+
+def test_phrases_by_walking(spark):
+    import random
+
+    from factloom.operators import paths
+
+    rnd = random.Random(51)
+    tokens, edges = [], []
+    for doc in range(20):
+        for t in range(1, 13):
+            tokens.append((doc, t, rnd.choice(["ADP", "VERB", "NOUN"]), rnd.choice(["dobj", "prep", "nsubj"])))
+            if t > 1:
+                edges.append((doc, rnd.randrange(1, t), t))
+    below = {}
+    for doc, a, b in edges:
+        below.setdefault((doc, a), []).append(b)
+
+    def under(doc, t):
+        return [t, *[x for c in below.get((doc, t), ()) for x in under(doc, c)]]
+
+    dep = {(d, t): r for d, t, _, r in tokens}
+    for pos, children in ((["ADP"], None), (["VERB"], ["dobj"])):
+        want = []
+        for d, t, p, _ in tokens:
+            if p in pos and (children is None or any(dep[d, c] in children for c in below.get((d, t), ()))):
+                found = under(d, t)
+                want.append((d, t, min(found), max(found), len(found)))
+        got = paths.phrases(spark.createDataFrame(tokens, "doc long, token long, pos string, dep string"), spark.createDataFrame(edges, "doc long, parent long, child long"), pos, children)
+        assert sorted(map(tuple, got.select("doc", "head", "first", "last", "size").collect())) == sorted(want)
