@@ -361,7 +361,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, per_lab
 
     Learns from rows of labels (doc_id, toxic in 0, 1) where `training` holds; other values and
     null are skipped. Null and empty texts score as texts without a word; every text scores 0 if
-    nothing can be learned. Repeated rows stay apart; extra columns are ignored; an empty table gives no rows.
+    nothing can be learned. Repeated rows stay apart; extra columns are ignored; an empty table gives no rows. The whole text counts;
+    only its length stops counting beyond e^LONGEST different tokens (about 160,000).
     """
     shared = _learn(docs, labels, training, per_label)
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
