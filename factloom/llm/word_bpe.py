@@ -14,6 +14,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -47,6 +48,7 @@ LOWER = {
 }
 #: Below this code point (Latin, Greek, Cyrillic) all versions of Unicode in use agree.
 SETTLED = "\u0530"
+_UNSETTLED = re.compile(f"[{SETTLED}-\U0010ffff]")
 
 _DONE = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("plain", pa.string())])
 DONE = "doc_id long, ids array<int>, decoded string, plain string"
@@ -250,7 +252,7 @@ def _composes(c: str) -> bool:
 def lowered(text: str) -> str:
     """Lower case of each character by itself: a final sigma is not told apart."""
     out = text.replace("\u03a3", "\u03c3").lower()
-    return out if out.isascii() or max(out) < SETTLED else out.translate(LOWER)
+    return out if out.isascii() or not _UNSETTLED.search(out) else out.translate(LOWER)
 
 
 @cache
@@ -284,8 +286,6 @@ class Patterns:
     """The pre-token pattern of the file and the runs that may go on, with classes from a table of the stated Unicode version, or `quick`, for texts below SETTLED."""
 
     def __init__(self, quick: bool):
-        import re
-
         import regex
 
         letters, numbers = (r"\p{L}", r"\p{N}") if quick else classes()
@@ -325,15 +325,13 @@ class Encoder:
     """Texts to ids, token spellings and text; remembers short pre-tokens up to MEMO_BYTES."""
 
     def __init__(self, rules: Rules, stretch: int = STRETCH, memo_bytes: int = MEMO_BYTES, stride: int = STRIDE):
-        import re
-
         self.rules, self.stretch = rules, stretch
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(rules.special, key=len, reverse=True))) if rules.special else None
         self.transducer = Transducer(rules, stride)
         self.memo = Memo(self.long, memo_bytes)
 
     def patterns(self, part: str) -> Patterns:
-        return Patterns.known(part.isascii() or max(part) < SETTLED)
+        return Patterns.known(part.isascii() or not _UNSETTLED.search(part))
 
     def long(self, word: str) -> list[int]:
         word = word.encode()
