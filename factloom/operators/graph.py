@@ -7,7 +7,10 @@ counts reach the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import Rounds
@@ -96,46 +99,68 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, path): the shortest path of each pair in any graph, edges taken either way, of equally short ones the least node by node; pairs that no path joins have no row.
 
-    A search from both ends of all pairs at once: each round one side's frontiers send their paths to the neighbours, which keep the least; new nodes meet
-    the other side's frontier, and a pair that has met, or whose frontier is empty, leaves. So nodes within half the distance are
-    seen, cycles and several parents do no harm, and the rounds are as many as the longest path asked for has edges. Each round is a table;
-    earlier ones are deleted. Pairs are taken once; those with a null end and edges with a null end or two equal ends are left out; a node's path to
-    itself is the node.
+    A search from both ends of all pairs at once: each round one side's frontier steps to its neighbours; new nodes meet the other side's
+    frontier, and a pair that has met, or whose frontier is empty, leaves. So nodes within half the distance are
+    seen, cycles and several parents do no harm, and the rounds are as many as the longest path asked for has edges. A row holds numbers, not the path: nodes are
+    numbered in their order, and a row names the one before it. A round's nodes have neighbours in the two rounds of its side before it only, so it is compared with
+    those alone. Each round is a table; the paths are read back from them at the end, and then they are deleted. Pairs are taken once; those with a
+    null end and edges with a null end or two equal ends are left out; a node's path to itself is the node.
     """
-    rounds, held = Rounds(edges.sparkSession, "steps"), [Rounds(edges.sparkSession, side) for side in ("from", "to")]
-    apart = edges.where("parent <> child")
-    steps = rounds.keep(apart.select(F.col("parent").alias("node"), F.col("child").alias("next")).unionByName(apart.select(F.col("child").alias("node"), F.col("parent").alias("next"))).distinct())
-    asked = pairs.where("a is not null and b is not null").select("a", "b").distinct()
-    found = asked.where("a = b").select("a", "b", F.array("a").alias("path"))
-    open_ = asked.where("a <> b")
-    # (a, b, node, path): the nodes seen from each side, with the least path between them and that side's end; the frontier is the last round
-    front = [held[0].keep(open_.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path"))), held[1].keep(open_.select("a", "b", F.col("b").alias("node"), F.array("b").alias("path")))]
-    seen = [f.select("a", "b", "node") for f in front]
-    results, side = Rounds(edges.sparkSession, "met"), 0
-    found = [results.keep(found)]
-    while True:
-        path = F.concat("path", F.array("next")) if side == 0 else F.concat(F.array("next"), "path")
-        sent = front[side].join(steps, "node").select("a", "b", F.col("next").alias("node"), path.alias("path")).groupBy("a", "b", "node").agg(F.min("path").alias("path"))
-        fresh = held[side].keep(sent.join(seen[side], ["a", "b", "node"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        seen[side] = seen[side].unionByName(fresh.select("a", "b", "node"))
-        here, there = (fresh, front[1]) if side == 0 else (front[0], fresh)
-        both = here.join(there.select("a", "b", "node", F.col("path").alias("rest")), ["a", "b", "node"])
-        whole = F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))
-        met = results.keep(both.groupBy("a", "b").agg(F.min(whole).alias("path")))
-        found.append(met)
-        front[side] = fresh.join(met, ["a", "b"], "left_anti")
-        front[1 - side] = front[1 - side].join(fresh.select("a", "b").distinct(), ["a", "b"], "left_semi").join(met, ["a", "b"], "left_anti")
+    spark = edges.sparkSession
+    rounds, held, ends = Rounds(spark, "steps"), [Rounds(spark, side) for side in ("from", "to")], Rounds(spark, "met")
+    number, apart = F.monotonically_increasing_id(), edges.where("parent <> child")
+    pairs = pairs.where("a is not null and b is not null").select("a", "b").distinct()
+    # ordered partitions are numbered in order
+    names = rounds.keep(apart.select(F.explode(F.array("parent", "child")).alias("name")).distinct().orderBy("name").withColumn("node", number))
+    numbered = lambda df, *columns: reduce(lambda d, c: d.join(names.select(F.col("name").alias(c), F.col("node").alias(f"n_{c}")), c), columns, df)
+    one_way = numbered(apart, "parent", "child").select(F.col("n_parent").alias("node"), F.col("n_child").alias("next"))
+    steps = rounds.keep(one_way.unionByName(one_way.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct())
+    asked = rounds.keep(numbered(pairs.where("a <> b"), "a", "b").withColumn("pair", number))
+    alive = asked.select("pair")
+    # (pair, node, place, back): the nodes at a distance from one end. From a, place is that of a node's least path among those of the pair, and back the place of the
+    # node before it; from b, place is the node, and back the next one
+    one = F.lit(1).cast("long")
+    levels = [[held[0].keep(asked.select("pair", F.col("n_a").alias("node"), one.alias("place"), one.alias("back")))], [held[1].keep(asked.select("pair", F.col("n_b").alias("node"), F.col("n_b").alias("place"), F.col("n_b").alias("back")))]]
+    met, side = [], 0
+    while not alive.isEmpty():
+        least = levels[side][-1].join(alive, "pair", "left_semi").join(steps, "node").groupBy("pair", F.col("next").alias("node")).agg(F.min("place").alias("back"))
+        known = reduce(DataFrame.unionByName, [level.select("pair", "node") for level in levels[side][-2:]])
+        fresh = least.join(known.hint("merge"), ["pair", "node"], "left_anti")
+        place = F.row_number().over(W.partitionBy("pair").orderBy("back", "node")).cast("long") if side == 0 else F.col("node")
+        fresh = held[side].keep(fresh.select("pair", "node", place.alias("place"), "back"))
+        levels[side].append(fresh)
+        there = levels[1 - side][-1].select("pair", "node", F.col("place").alias("_place"))
+        hit = F.when(F.col("_place").isNotNull(), F.col("place" if side == 0 else "_place"))
+        state = ends.keep(fresh.join(there.hint("merge"), ["pair", "node"], "left").groupBy("pair").agg(F.min(hit).alias("place")))
+        alive = state.where("place is null").select("pair")
+        met.append((state.where("place is not null"), len(levels[0]) - 1, len(levels[1]) - 1))
         side = 1 - side
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    done = results.keep(out)
-    results.drop_before()
-    for r in (rounds, *held):
+    walks, out = Rounds(spark, "walks"), pairs.where("a = b").select("a", "b", F.array("a").alias("path"))
+    if met:
+        up = _walk_back(walks, levels[0], [(m.withColumn("path", F.array().cast("array<long>")), at) for m, at, _ in met])
+        # the meeting is the last node of its way from a, and the place to go on from towards b
+        down = _walk_back(walks, levels[1], [(up.where(F.size("path") == at + 1).select("pair", F.element_at("path", -1).alias("place"), F.array().cast("array<long>").alias("path")).join(m.select("pair"), "pair", "left_semi"), on) for m, at, on in met])
+        whole = F.concat("path", F.slice(F.reverse("rest"), 2, F.greatest(F.size("rest") - 1, F.lit(0))))
+        both = walks.keep(up.join(down.withColumnRenamed("path", "rest"), "pair").select("pair", F.posexplode(whole).alias("at", "node")))
+        paths = both.join(names, "node").groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("at", "name")))["name"].alias("path"))
+        out = out.unionByName(asked.join(paths, "pair").select("a", "b", "path"))
+    found = Rounds(spark, "paths").keep(out)
+    for r in (rounds, *held, ends, walks):
         r.drop_before(0)
-    return done
+    return found
+
+
+def _walk_back(walks: Rounds, levels: list[DataFrame], met: list[tuple[DataFrame, int]], stride: int = 6) -> DataFrame:
+    """(pair, path): from places (pair, place, path), each at its distance, to the end where the search began, a level a join. The path is in order from that end."""
+    now = None
+    for at in range(len(levels) - 1, -1, -1):
+        for start in [m for m, depth in met if depth == at]:
+            now = start if now is None else now.unionByName(start)
+        if now is not None:
+            now = now.join(levels[at].select("pair", "place", "back", "node"), ["pair", "place"]).select("pair", F.col("back").alias("place"), F.concat(F.array("node"), "path").alias("path"))
+            if at % stride == 0:
+                now = walks.keep(now)
+    return now.select("pair", "path")
 
 
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:

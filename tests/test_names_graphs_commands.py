@@ -123,6 +123,16 @@ def test_paths_between_by_breadth_first(spark):
     assert graph.paths_between(none, spark.createDataFrame([(1, 2)], "a int, b int")).count() == 0
 
 
+def test_paths_between_reads_few_rounds(spark, monkeypatch):
+    read = []
+    keep = graph.Rounds.keep
+    monkeypatch.setattr(graph.Rounds, "keep", lambda self, df: (read.append(len(df.inputFiles())) if "/from-" in self.root or "/to-" in self.root else None, keep(self, df))[1])
+    chain = [(i, i + 1) for i in range(16)]
+    got = graph.paths_between(spark.createDataFrame(chain, "parent int, child int"), spark.createDataFrame([(0, 16)], "a int, b int")).first()
+    assert list(got.path) == list(range(17))
+    assert len(read) > 16 and max(read[-4:]) <= max(read[6:10])
+
+
 def test_command_log_by_replaying(spark):
     rnd = random.Random(5)
     ops = ["company", "shelf", "offering", "registration", "resale", "effect", "odd", None]
