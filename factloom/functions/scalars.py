@@ -24,6 +24,11 @@ def lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with the value computed once a row, however often f names it: an expression named twice is worked out twice, and nested ones by powers."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def american_number(text: Column) -> Column:
     """A number with comma groups and a decimal point, as double.
 
@@ -42,7 +47,7 @@ def quantity(text: Column) -> Column:
     # the sentence's own stop or comma is no part of the number
     digits = F.regexp_replace(digits, "[.,]+$", "")
     scale = F.when(text.rlike("(?i)billions?"), 1e9).when(text.rlike("(?i)millions?"), 1e6).otherwise(1.0)
-    return F.when(digits != "", american_number(digits) * scale).otherwise(number_word(F.trim(text)))
+    return once(digits, lambda d: F.when(d != "", american_number(d) * scale).otherwise(number_word(F.trim(text))))
 
 
 def number_word(word: Column) -> Column:

@@ -143,6 +143,13 @@ def test_long_numbers_called_cusip(spark):
     assert [r.c for r in got] == ["1000000AB1", "G3728V 109", "123456AB1", None, None, None]
 
 
+def test_exercise_price_searches_once(spark):
+    said = ["The exercise price of $1,234.50 per share.", "A conversion price equal to $2 million.", "The exercise price of $1.00 to $2.00.", "An exercise price of $1 and a conversion price of $2.", "None.", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", text.exercise_price(F.col("t"))["amount"].alias("p"))
+    assert [r.p for r in df.orderBy("i").collect()] == [1234.5, 2e6, None, None, None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("redem") == 1
+
+
 def test_text(spark):
     assert one(spark, text.certainty, "Possibly the board can't agree.", "Holders should not rely on this.", "The board will meet.") == [("possibly", 0.3), ("should", 0.4), (None, 1.0)]
     assert one(spark, text.securities, "Listed are our Ordinary Shares, Class B common stock and Tranche 2 Warrants. A warrant certificate is none.") == [["Ordinary Shares", "Class B common stock", "Tranche 2 Warrants"]]
