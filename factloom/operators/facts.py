@@ -82,6 +82,17 @@ def cash_flow(facts: DataFrame, entity: str, kind: str) -> DataFrame:
     return dedup_by(wanted, [entity, "start", "end"], order).select(entity, "start", "end", "val")
 
 
+def cash_flows(facts: DataFrame, entity: str) -> DataFrame:
+    """entity, kind, start, end, val: cash_flow of every kind in one pass over the facts."""
+    exact = {tag: kind for kind, (_, tag) in FLOW_TAGS.items()}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in exact.items() for x in kv]), F.col("tag"))
+    wanted = select_facts(facts, tuple(exact), taxonomy=("taxonomy", "us-gaap")).withColumn("kind", kind)
+    # rows of one group are of one kind: the other kinds' columns are null in all of them
+    first, newest = (lambda c: F.when(F.col("kind") == "financing", F.col(c))), (lambda c: F.when(F.col("kind") != "financing", F.col(c)))
+    order = [first("fy").asc_nulls_last(), first("val"), newest("fy").desc_nulls_last(), newest("val").desc()]
+    return dedup_by(wanted, [entity, "kind", "start", "end"], order).select(entity, "kind", "start", "end", "val")
+
+
 def review_cash(facts: DataFrame, entity: str) -> DataFrame:
     """The wide review table: a column per cash tag over both taxonomies, by end."""
     return outer_by_tag(facts.where(F.col("taxonomy").isin("us-gaap", "dei")), [entity, "end"], "tag", CASH_TAGS, "val").orderBy(entity, "end")

@@ -33,7 +33,8 @@ def _documents(spark, sf):
         fact("us-gaap", "NetCashProvidedByUsedInOperatingActivities", year, "if(k % 2 = 0, v, -v)", "1990 + k % 9"), fact("us-gaap", "NetCashProvidedByUsedInInvestingActivities", year, "-v * 0.25", "1990 + k % 9", "k % 2 = 0"),
         fact("us-gaap", "NetCashProvidedByUsedInFinancingActivities", year, "v * 0.125", "1990 + k % 9", "k % 5 < 3"), fact("dei", "EntityCommonStockSharesOutstanding", "null", "k % 1000", "year(day)"),
     )
-    rows = o.select("c", F.explode(F.array_compact(made)).alias("f")).select("c", "f.*")
+    # dealt once: the groupings below keep a customer together
+    rows = o.repartition("c").select("c", F.explode(F.array_compact(made)).alias("f")).select("c", "f.*")
     tags = rows.groupBy("c", "taxonomy", "tag").agg(F.create_map(F.lit("USD"), F.collect_list("row")).alias("units"))
     taxonomies = tags.groupBy("c", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("tags"))
     whole = taxonomies.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
@@ -73,14 +74,12 @@ _FLOWS = f"{_TAGGED}, w as ({' union all '.join(f'({s})' for s in _FLOW.values()
 
 
 def _flows(spark, sf):
-    f = _facts(spark, sf)
-    each = [facts.cash_flow(f, "c", kind).withColumn("kind", F.lit(kind)) for kind in facts.FLOW_TAGS]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    return facts.cash_flows(_facts(spark, sf), "c")
 
 
 @register("facts_cash_flow", f"with {_FLOWS} select c, kind, strftime(start, '%Y-%m-%d') as start, strftime(\"end\", '%Y-%m-%d') as \"end\", val from w")
 def facts_cash_flow(spark, sf):
-    return _days(_flows(spark, sf), "start", "end")
+    return _days(_flows(spark, sf), "start", "end").select("c", "kind", "start", "end", "val")
 
 
 _BURN = f"""{_FLOWS}, r as (select *, val / nullif("end" - start, 0) as rate from w),
