@@ -150,6 +150,36 @@ def test_exercise_price_searches_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("redem") == 1
 
 
+def test_flows_in_one_pass(spark):
+    rnd = random.Random(8)
+    tags = [t for _, t in facts.FLOW_TAGS.values()] + ["Cash", None]
+    rows = [(rnd.randrange(3), rnd.choice(["us-gaap", "dei"]), rnd.choice(tags), rnd.choice(["a", None]), rnd.choice("xyz"), rnd.choice([1.0, 2.0, float("nan"), None]), rnd.choice([1, 2, None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "c int, taxonomy string, tag string, start string, `end` string, val double, fy int")
+    got = facts.cash_flows(df, "c")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = [(r.c, kind, r.start, r.end, str(r.val)) for kind in facts.FLOW_TAGS for r in facts.cash_flow(df, "c", kind).collect()]
+    assert sorted([(r.c, r.kind, r.start, r.end, str(r.val)) for r in got.collect()], key=str) == sorted(want, key=str)
+
+
+def test_alias_references_read_texts_once(spark):
+    docs = spark.createDataFrame([(1, 'A (the "Bank-a") and B (the "Firm"). Bank-A pays the Firm; Bank-a rests.'), (2, 'C (the "Firm") is alone.'), (3, "No alias.")], "id int, t string")
+    found = text.aliases(docs, "id", "t").localCheckpoint()
+    got = text.alias_references(found, docs, "id", "t")
+    assert sorted(map(tuple, got.collect())) == [(1, "Bank-a", 2), (1, "Firm", 1), (2, "Firm", 0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_plain_tables_without_the_parser(monkeypatch):
+    rnd = random.Random(9)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", '<td rowspan="2">', '<th colspan="3" rowspan="0">', "</td>", "a  b", " ", "x > y", '<td style="a" >', "</tr >"]
+    odd = ["&amp;", "<b>", "<!-- c -->", "<TD>", "<td rowspan=2>", "<script>"]
+    for n in range(600):
+        page = "".join(rnd.choice(bits if n % 3 or rnd.random() < 0.8 else odd) for _ in range(rnd.randrange(25)))
+        assert [t["rows"] for t in html.page_tables(page)] == [t["rows"] for t in html.parse(page).tables], page
+    monkeypatch.setattr(html, "parse", None)
+    assert [html.grid(t) for t in html.page_tables('<table><tr><td rowspan="2">k</td><td>1</td></tr><tr><td>2</td></tr></table>')] == [[["k", "1"], ["k", "2"]]]
+
+
 def test_text(spark):
     assert one(spark, text.certainty, "Possibly the board can't agree.", "Holders should not rely on this.", "The board will meet.") == [("possibly", 0.3), ("should", 0.4), (None, 1.0)]
     assert one(spark, text.securities, "Listed are our Ordinary Shares, Class B common stock and Tranche 2 Warrants. A warrant certificate is none.") == [["Ordinary Shares", "Class B common stock", "Tranche 2 Warrants"]]
