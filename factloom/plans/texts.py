@@ -44,12 +44,12 @@ def incremental_ingest(spark, sf):
 
 @register("newest_events", "select user_id, event_id, ts, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id::varchar desc) = 1")
 def newest_events(spark, sf):
-    """The newest event of each user, folded with keyed state from files that come out of order, one a batch."""
-    root = new_folder(spark, "newest")
-    table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").repartition(3, "event_type").write.parquet(f"{root}/in")
+    """The newest event of each user, folded with keyed state from files that each hold all times, a third of them a batch: the number of batches does not grow with the table."""
+    root, files = new_folder(spark, "newest"), max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type").repartition(files).write.parquet(f"{root}/in")
     schema = spark.read.parquet(f"{root}/in").schema
-    keyed.fold_newest(spark, f"{root}/in", schema, f"{root}/changes", f"{root}/log", ["user_id"], "ts", files_per_batch=1).awaitTermination()
-    return keyed.newest(spark, schema, f"{root}/changes", ["user_id"]).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    keyed.fold_newest(spark, f"{root}/in", schema, f"{root}/changes", f"{root}/log", ["user_id"], "ts", files_per_batch=-(-files // 3)).awaitTermination()
+    return keyed.newest(spark, schema, f"{root}/changes", ["user_id"]).select("user_id", "event_id", "ts", "event_type")
 
 
 @register("unparsed_batch", "select conv_id, turn from conversations where length(text) <= 200")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegralType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegralType, MapType, StructField, StructType, VariantType
 
 from ..operators.facts import dedup_by
 from ..scratch import delete
@@ -19,11 +19,12 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 class Newest(StatefulProcessor):
     """Holds each key's place in the order and its row; gives the row whenever a newer one has come.
 
-    With a watermark, a timer drops the state of a key once the watermark has passed its newest time: whatever still counts is newer.
+    A timer drops the state of a key once the watermark has passed its newest time: whatever still counts is newer. Each key of a batch costs some
+    calls between Python and the state store, so only a fold with a lateness bound goes this way.
     """
 
-    def __init__(self, keys: list[str], by: str, timed: bool, held: StructType):
-        self.keys, self.by, self.timed, self.held = keys, by, timed, held
+    def __init__(self, keys: list[str], by: str, held: StructType):
+        self.keys, self.by, self.held = keys, by, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("newest", self.held)
@@ -41,10 +42,9 @@ class Newest(StatefulProcessor):
                     best, fresh = row, True
         if fresh:
             self.state.update(best)
-            if self.timed:
-                for old in self.handle.listTimers():
-                    self.handle.deleteTimer(old)
-                self.handle.registerTimer(int(pd.Timestamp(best[0]).timestamp() * 1000) + 1)
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(pd.Timestamp(best[0]).timestamp() * 1000) + 1)
             yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, **{n: [v] for n, v in zip(names, best, strict=True)}})
 
     def _order(self, row: tuple) -> tuple:
@@ -59,6 +59,24 @@ class Newest(StatefulProcessor):
         pass
 
 
+def _newest_of(rows: DataFrame, keys: list[str], by: str, rest: list[StructField]) -> DataFrame:
+    """Each key's newest row so far, as a streaming aggregate; of a batch's keys, those whose newest row came with this batch.
+
+    A row carries its batch's time, which a repeated batch takes from the log. Of equal rows the one with the least time stays, so a row
+    that was there before does not count as new.
+    """
+    now = F.unix_millis(F.current_timestamp())
+
+    def place(f: StructField):
+        if isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType)):
+            return F.to_json(F.struct(f.name)).alias(f.name)
+        return F.struct(F.col(f.name).cast("string").alias("text"), F.col(f.name).alias("value")).alias(f.name)
+
+    order = F.struct(by, *[place(f) for f in rest], (-F.col("_batch_time")).alias("_batch_time"))
+    newest = rows.withColumn("_batch_time", now).groupBy(*keys).agg(F.max_by(F.struct(by, *[f.name for f in rest], "_batch_time"), order).alias("_newest"))
+    return newest.where(F.col("_newest._batch_time") == now).select(*keys, "_newest.*").drop("_batch_time")
+
+
 def fold_newest(spark: SparkSession, source: str, schema: StructType, changes: str, checkpoint: str, keys: list[str], by: str, lateness: str | None = None, files_per_batch: int | None = None):
     """Starts a query that folds new files of `source` into the newest row of each key by `by`, and stops when it has caught up; newest() reads the table.
 
@@ -68,19 +86,19 @@ def fold_newest(spark: SparkSession, source: str, schema: StructType, changes: s
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     rest = [f for f in schema if f.name not in (*keys, by)]
-    held = StructType([schema[by], *rest])
-    out = StructType([*[schema[k] for k in keys], *held.fields])
     reader = spark.readStream.schema(schema)
     rows = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
     if lateness:
-        rows = rows.withWatermark(by, lateness)
-    held = StructType([StructField(f.name, f.dataType, True) for f in held])
-    found = rows.groupBy(*keys).transformWithStateInPandas(Newest(keys, by, bool(lateness), held), outputStructType=out, outputMode="Append", timeMode="EventTime" if lateness else "None")
+        held = StructType([StructField(f.name, f.dataType, True) for f in (schema[by], *rest)])
+        out = StructType([*[schema[k] for k in keys], *held.fields])
+        found = rows.withWatermark(by, lateness).groupBy(*keys).transformWithStateInPandas(Newest(keys, by, held), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    else:
+        found = _newest_of(rows, keys, by, rest)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return found.writeStream.outputMode("append" if lateness else "update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest(spark: SparkSession, schema: StructType, changes: str, keys: list[str]) -> DataFrame:

@@ -64,3 +64,38 @@ def test_empty_source(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(source)
     keyed.fold_newest(spark, source, SCHEMA, changes, log, ["k"], "at").awaitTermination()
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_many_keys_without_calls_for_each(spark, tmp_path):
+    """The state store's own aggregate folds the rows; a batch writes the keys whose row it changed, and nulls, NaN, nested values and times without a zone come back as they went."""
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("at", T.TimestampNTZType()), T.StructField("x", T.DoubleType()), T.StructField("m", T.MapType(T.StringType(), T.LongType()))])
+    source, changes, log = str(tmp_path / "in"), str(tmp_path / "changes"), str(tmp_path / "log")
+    gap, zone = dt.datetime(2024, 3, 10, 2, 30), spark.conf.get("spark.sql.session.timeZone")
+    steps = [
+        [(n, gap, float(n), {"a": n}) for n in range(500)] + [(None, None, None, None), (1000, None, float("nan"), None)],
+        [(n, gap if n % 2 else gap + dt.timedelta(minutes=n % 5), float(n), {"a": n}) for n in range(500)] + [(None, gap, 1.0, {}), (1000, None, None, {"b": 1})],
+    ]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for step in steps:
+            spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(source)
+            query = keyed.fold_newest(spark, source, schema, changes, log, ["k"], "at", files_per_batch=1)
+            query.awaitTermination()
+        assert [o.operatorName for o in query.lastProgress.stateOperators] == ["stateStoreSave"]
+        got = {r["k"]: r for r in keyed.newest(spark, schema, changes, ["k"]).collect()}
+        changed = {r["k"] for r in spark.read.parquet(f"{changes}/batch=1").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(got) == 502 and changed == {None, *[n for n in range(0, 500, 2) if n % 5]}
+    assert all((got[n]["at"], got[n]["x"], got[n]["m"]) == (gap if n % 2 else gap + dt.timedelta(minutes=n % 5), n, {"a": n}) for n in range(500))
+    assert (got[None]["at"], got[None]["x"], got[None]["m"]) == (gap, 1, {}) and got[1000]["at"] is None and got[1000]["x"] != got[1000]["x"]
+
+
+def test_newest_events_in_few_batches_of_many_files(spark, tmp_path, monkeypatch):
+    """Files follow the partitions, so that no task writes a large part of the table, and batches do not."""
+    from factloom.plans import texts
+
+    monkeypatch.setattr(texts, "new_folder", lambda session, label: str(tmp_path / label))
+    assert texts.newest_events(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(list((tmp_path / "newest" / "in").glob("*.parquet"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(list((tmp_path / "newest" / "changes").glob("batch=*"))) <= 3
