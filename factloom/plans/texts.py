@@ -46,7 +46,7 @@ def incremental_ingest(spark, sf):
 def newest_events(spark, sf):
     """The newest event of each user, folded with keyed state from files that each hold all times, a third of them a batch: the number of batches does not grow with the table."""
     root, files = new_folder(spark, "newest"), max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type").repartition(files).write.parquet(f"{root}/in")
+    table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type").repartition(files, "event_id").write.parquet(f"{root}/in")
     schema = spark.read.parquet(f"{root}/in").schema
     keyed.fold_newest(spark, f"{root}/in", schema, f"{root}/changes", f"{root}/log", ["user_id"], "ts", files_per_batch=-(-files // 3)).awaitTermination()
     return keyed.newest(spark, schema, f"{root}/changes", ["user_id"]).select("user_id", "event_id", "ts", "event_type")

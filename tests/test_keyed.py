@@ -99,3 +99,18 @@ def test_newest_events_in_few_batches_of_many_files(spark, tmp_path, monkeypatch
     assert texts.newest_events(spark, "/root/testdata/sf0.001").count() > 0
     assert len(list((tmp_path / "newest" / "in").glob("*.parquet"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len(list((tmp_path / "newest" / "changes").glob("batch=*"))) <= 3
+
+
+def test_repeated_batch_writes_the_same(spark, tmp_path):
+    """A batch whose end was not logged runs again with the time it had, and writes the same changes."""
+    source, changes, log = str(tmp_path / "in"), str(tmp_path / "changes"), tmp_path / "log"
+    batch = lambda: sorted(tuple(r) for r in spark.read.schema(SCHEMA).parquet(f"{changes}/batch=1").collect())
+    for step in ([(1, DAY, "a", 1), (2, DAY, "a", 1)], [(1, DAY + dt.timedelta(days=1), "b", 1), (2, DAY, "a", 1), (3, DAY, "c", 1)]):
+        spark.createDataFrame(step, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        keyed.fold_newest(spark, source, SCHEMA, changes, str(log), ["k"], "at", files_per_batch=1).awaitTermination()
+    first = batch()
+    assert [r[0] for r in first] == [1, 3]
+    for name in ("1", ".1.crc"):
+        (log / "commits" / name).unlink(missing_ok=True)
+    keyed.fold_newest(spark, source, SCHEMA, changes, str(log), ["k"], "at", files_per_batch=1).awaitTermination()
+    assert batch() == first and (log / "commits" / "1").exists()
