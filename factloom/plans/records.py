@@ -195,7 +195,7 @@ def paths_in_any_graph(spark, sf):
     after = lambda *part: F.lead("s_suppkey").over(W.partitionBy(*part[:-1]).orderBy(*part[-1]))
     by_nation = s.select(name(F.col("s_suppkey")).alias("parent"), name(after("s_nationkey", ["s_acctbal", "s_suppkey"])).alias("child"))
     by_class = s.select(name(F.col("s_suppkey")).alias("parent"), name(after(F.floor(F.col("s_acctbal") / 1500), ["s_suppkey"])).alias("child"))
-    return graph.paths_between(by_nation.unionByName(by_class), _pairs(spark, sf)).select("a", "b", F.array_join("path", "/").alias("path"))
+    return graph.paths_within(by_nation.unionByName(by_class), _pairs(spark, sf)).select("a", "b", F.array_join("path", "/").alias("path"))
 
 
 _NUMBERS = "n as (select doc_id, i, x from (select doc_id, unnest(m) as x, generate_subscripts(m, 1) as i from (select doc_id, regexp_extract_all(text, '[0-9][0-9.,]*') as m from documents)))"

@@ -8,6 +8,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from factloom.operators import command_log, commands, graph, intervals, names, text
+from factloom.plans import records
 
 
 def greedy(spans):
@@ -133,6 +134,23 @@ def test_paths_between_reads_few_rounds(spark, monkeypatch):
     assert len(read) > 16 and max(read[-4:]) <= max(read[6:10])
 
 
+def test_paths_within_tasks(spark, monkeypatch):
+    rnd = random.Random(11)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(80)] + [(None, 1), (3, 3), (100, 101)]
+    pairs = [(rnd.randrange(62), rnd.randrange(62)) for _ in range(200)] + [(5, 5), (100, 1), (None, 2), (100, 101)]
+    edges, pairs = spark.createDataFrame(edges, "parent int, child int"), spark.createDataFrame(pairs, "a int, b int")
+    by_rounds = sorted(graph.paths_between(edges, pairs).collect())
+    assert len(by_rounds) > 100 and by_rounds == sorted(graph.paths_within(edges, pairs).collect()) == sorted(graph.paths_within(edges, pairs, most=1).collect())
+    assert graph.paths_within(edges.where("false"), pairs.where("a <> b")).count() == 0
+    kept, keep = [], graph.Rounds.keep
+    monkeypatch.setattr(graph.Rounds, "keep", lambda self, df: (kept.append(self.root), keep(self, df))[1])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "parent int, child int")
+    monkeypatch.setattr(records, "_pairs", lambda spark, sf: spark.createDataFrame([("s0", "s300")], "a string, b string"))
+    monkeypatch.setattr(records, "table", lambda spark, sf, name: chain.selectExpr("parent as s_suppkey", "0 as s_nationkey", "0 as s_acctbal").unionByName(spark.createDataFrame([(300, 0, 0)], "s_suppkey int, s_nationkey int, s_acctbal int")))
+    assert records.paths_in_any_graph(spark, "").first().path.split("/") == [f"s{i}" for i in range(301)]
+    assert len(kept) <= 5
+
+
 def test_command_log_by_replaying(spark):
     rnd = random.Random(5)
     ops = ["company", "shelf", "offering", "registration", "resale", "effect", "odd", None]
